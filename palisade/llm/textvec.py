@@ -8,11 +8,14 @@ different words or shingles share one with probability about 2**-64.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 SLICE_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -73,6 +76,32 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         start = stop
 
 
+def map_rows(
+    df: DataFrame, keep: Sequence[str], sources: Sequence[str], new: dict[str, T.DataType],
+    make: Callable[[pa.RecordBatch], Sequence], limit: int = SLICE_BYTES, rows: int = 1 << 16,
+) -> DataFrame:
+    """The ``keep`` columns of ``df`` with columns made from ``sources``, a bounded run of rows at a time.
+
+    ``make`` gets a batch whose columns are named ``s0``, ``s1``... for the sources and
+    returns one value list or array for each new column. Runs are bounded by the bytes
+    of the first source (a longer row makes a run of its own) and by ``rows``.
+    """
+    fields = [*(df.schema[k] for k in keep), *(T.StructField(k, v) for k, v in new.items())]
+    schema = T.StructType(fields)
+    kinds = [to_arrow_type(v) for v in new.values()]
+    wide = df.select(*[df[f"`{k}`"].alias(f"k{i}") for i, k in enumerate(keep)], *[df[f"`{s}`"].alias(f"s{i}") for i, s in enumerate(sources)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for run_of in slices(batch, "s0", limit):
+                for at in range(0, run_of.num_rows, rows):
+                    part = run_of.slice(at, rows)
+                    made = [x if isinstance(x, pa.Array) else pa.array(x, k) for x, k in zip(make(part), kinds, strict=True)]
+                    yield pa.RecordBatch.from_arrays([*(part.column(f"k{i}") for i in range(len(keep))), *made], names=schema.names)
+
+    return wide.mapInArrow(run, schema)
+
+
 def words(buf: np.ndarray, offsets: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words are maximal runs without ASCII white space, A-Z folded if asked.
 
