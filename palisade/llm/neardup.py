@@ -8,9 +8,10 @@ the registers' order relations estimates their similarity, and what may reach th
 threshold is verified on the full sets.
 
 Buckets are never expanded into pairs. First every member of a bucket meets the
-bucket's smallest id only; verified links make components. Then buckets that still
-hold several components are gone through in blocks inside tasks, and only pairs across
-components whose estimate may reach the threshold leave them. Links inside a component
+bucket's smallest id only; verified links make components. Buckets that then still hold
+several components are gone through in blocks inside tasks: what registers let be linked
+across components makes clusters, and the texts of a cluster meet in blocks, where the
+pairs across components are verified and only links leave. Links inside a component
 cannot change it, so nothing is lost but what no band finds: with 32 bands of 4, less
 than 1e-10 of pairs at a similarity of 0.85, 5e-8 at 0.8.
 
@@ -134,6 +135,44 @@ def likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(sided[0], "a").join(sided[1], "b").mapInArrow(run, "a long, b long")
 
 
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    if not len(a) or not len(b):
+        return 0
+    return int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
+
+
+def _near(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    common = _common(a, b)
+    return common > 0 and 100 * common >= percent * (len(a) + len(b) - common)
+
+
+def texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """The (doc_id, text) rows of ``docs`` whose id may be in ``ids``; a few others pass too.
+
+    A bit map of fixed size (2**26 bits) tells which hashes of ids occur, so the texts
+    of all other documents need no shuffle.
+    """
+    bits = 1 << 26
+    slot = F.pmod(F.xxhash64(F.col("id")), F.lit(bits))
+    maps = ids.select((slot + 1).alias("s")).groupBy(F.bitmap_bucket_number("s").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("m"))
+    wanted = np.zeros(bits, bool)
+    for r in maps.toLocalIterator():
+        own = np.unpackbits(np.frombuffer(r["m"], np.uint8), bitorder="little")
+        start = (r["k"] - 1) * len(own)
+        wanted[start : start + len(own)] = own[: max(0, bits - start)]
+    packed = docs.sparkSession.sparkContext.broadcast(np.packbits(wanted))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = packed.value
+        for batch in batches:
+            s = batch.column("s").to_numpy()
+            yield batch.filter(pa.array((table[s >> 3] >> (7 - (s & 7)).astype(np.uint8)) & 1 == 1)).select(["doc_id", "text"])
+
+    hashed = docs.where("doc_id IS NOT NULL").select("doc_id", "text", F.pmod(F.xxhash64(F.col("doc_id")), F.lit(bits)).alias("s"))
+    return hashed.mapInArrow(run, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())]))
+
+
 def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The (a, b) pairs with 100 * |A & B| >= percent * |A | B|, on full sets.
 
@@ -144,7 +183,8 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
     counts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("m"))
     leaders = counts.select("a", F.explode(F.sequence(F.lit(0), (share - 1).cast("int"))).alias("part"), F.col("a").alias("id"), F.lit(0).alias("side"))
     others = pairs.join(counts, "a").select("a", F.pmod(F.xxhash64("b"), share).cast("int").alias("part"), F.col("b").alias("id"), F.lit(1).alias("side"))
-    rows = docs.select(F.col("doc_id").alias("id"), "text").join(leaders.union(others), "id")
+    wanted = stage(leaders.union(others), "pairs")
+    rows = texts_of(wanted, docs).select(F.col("doc_id").alias("id"), "text").join(wanted, "id")
     placed = rows.repartition("a", "part").sortWithinPartitions("a", "part", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,47 +201,97 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
                         mark, leading = (a[i], p[i]), []
                     if side[i] == 0:
                         leading.append(own)
-                        continue
-                    for lead in leading:
-                        common = len(np.intersect1d(lead, own, assume_unique=True))
-                        if common and 100 * common >= percent * (len(lead) + len(own) - common):
-                            out.append(i)
-                            break
+                    elif any(_near(lead, own, percent) for lead in leading):
+                        out.append(i)
                 yield pa.RecordBatch.from_arrays([pa.array(a[out]), pa.array(ids[out])], names=["a", "b"])
 
-    return placed.mapInArrow(run, "a long, b long").distinct()
+    return placed.mapInArrow(run, "a long, b long")
 
 
-def across(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b) pairs of different components within a band, by estimate; blocks meet blocks inside tasks.
+class _Forest:
+    """Union-find over the ids of one block."""
 
-    ``members`` has band, id, component, n, sketch and m, the number of the band's members.
-    """
-    least = least_estimate(percent)
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    own = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = x = self.up.get(y, y)
+        return x
+
+    def union(self, x: int, y: int) -> bool:
+        x, y = self.root(x), self.root(y)
+        self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _blocks(members: DataFrame, key: str, extra: list[str]) -> DataFrame:
+    """``members`` dealt so that any two rows of a key meet in one (key, i, j) group of two blocks at most."""
+    count = F.ceil(F.col("m") / BLOCK).cast("int")
+    own = members.withColumn("blocks", count).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "n", "sketch")
-    placed = met.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    met = met.select(key, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "n", "sketch", *extra)
+    return met.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")
+
+
+def _possible(group: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows of the first block with the later rows, in other components, that their registers and sizes let reach ``percent``."""
+    own, ids, comp, n = (group.column(c).to_numpy() for c in ("own", "id", "component", "n"))
+    i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+    regs = _registers_of(group.column("sketch"))
+    left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+    enough = math.floor(least_estimate(percent) * REGISTERS)
+    for x in left.tolist():
+        y = right[(comp[right] != comp[x]) & (100 * np.minimum(n[right], n[x]) >= percent * np.maximum(n[right], n[x]))]
+        if i == j:
+            y = y[y > x]
+        if len(y):
+            y = y[(regs[y] == regs[x]).sum(axis=1) >= enough]
+        if len(y):
+            yield x, y
+
+
+def possible_forest(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b) edges that connect, in each block, what pairs across components might connect; a forest for each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(batches, ["band", "i", "j"]):
-            own, ids, comp, n = (group.column(c).to_numpy() for c in ("own", "id", "component", "n"))
-            i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-            regs = _registers_of(group.column("sketch"))
-            left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-            for x in left.tolist():
-                y = right[(comp[right] != comp[x]) & (100 * np.minimum(n[right], n[x]) >= percent * np.maximum(n[right], n[x]))]
-                if i == j:
-                    y = y[y > x]
-                # equal registers are at most as likely as the similarity and the base allow; the estimate decides
-                y = y[(regs[y] == regs[x]).sum(axis=1) >= (least - 0.1) * REGISTERS]
-                if len(y):
-                    y = y[likely_jaccard(np.repeat(regs[x : x + 1], len(y), 0), regs[y], np.full(len(y), n[x]), n[y]) >= least]
-                    if len(y):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[x], ids[y])), pa.array(np.maximum(ids[x], ids[y]))], names=["a", "b"])
-
-    return placed.mapInArrow(run, "a long, b long").distinct()
+            ids, forest, edges = group.column("id").to_numpy(), _Forest(), []
+            for x, y in _possible(group, percent):
+                edges += [(int(ids[x]), b) for b in ids[y].tolist() if forest.union(int(ids[x]), b)]
+            yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return _blocks(members, "band", []).mapInArrow(run, "a long, b long").distinct()
+
+
+def verified_across(members: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links between components within a cluster, verified on full sets in blocks.
+
+    ``members`` has cluster, id, component, n, sketch, text and m, the cluster's size. A
+    block skips pairs whose components it has linked already.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs(batches, ["cluster", "i", "j"]):
+            ids, comp, texts = group.column("id").to_numpy(), group.column("component").to_numpy(), group.column("text")
+            sets: dict[int, np.ndarray] = {}
+
+            def of(row: int, texts=texts, sets=sets) -> np.ndarray:
+                if row not in sets:
+                    hashes, _, _, first = words(*utf8(texts.slice(row, 1)))
+                    sets[row] = np.unique(shingles(hashes, first, k)[0])
+                return sets[row]
+
+            forest, links = _Forest(), []
+            for x, ys in _possible(group, percent):
+                for y in ys.tolist():
+                    a, b = int(comp[x]), int(comp[y])
+                    if forest.root(a) != forest.root(b) and _near(of(x), of(y), percent):
+                        forest.union(a, b)
+                        links.append((int(ids[x]), int(ids[y])))
+            yield pa.RecordBatch.from_arrays([pa.array([e[c] for e in links], pa.int64()) for c in (0, 1)], names=["a", "b"])
+
+    return _blocks(members, "cluster", ["text"]).mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -212,22 +302,26 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
         F.min("doc_id").alias("id"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n")), "sets")
     banded = stage(bands(sets), "bands")
     stars = banded.groupBy("band").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    pairs = banded.join(stars, "band").where("id != a").select("a", F.col("id").alias("b")).distinct()
-    tried = stage(likely(pairs, sets, percent), "tried")
-    links = stage(verified(tried, plain, k, percent), "links")
+    shared = stage(banded.join(stars, "band"), "shared")
+    pairs = shared.where("id != a").select("a", F.col("id").alias("b")).distinct()
+    links = stage(verified(stage(likely(pairs, sets, percent), "likely"), plain, k, percent), "links")
     # an id with several texts ties their sets together
     owners = sketched.where("doc_id IS NOT NULL").join(sets.select("set_key", "id"), "set_key").select("doc_id", "id")
-    shared = owners.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("doc_id", "a")
-    ties = stage(owners.join(shared, "doc_id").where("id != a").select("a", F.col("id").alias("b")), "ties")
-    labels = components(links.union(ties))
-    named = banded.join(labels, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
-    mixed = named.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("m")).where("m > 2 AND x != y").select("band", "m")
-    rest = named.join(mixed, "band").join(sets.select("id", "n", "sketch"), "id")
-    untried = stage(across(rest, percent).join(tried, ["a", "b"], "left_anti"), "across")
-    if not untried.isEmpty():
-        more = stage(verified(untried, plain, k, percent), "links")
+    several = owners.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("doc_id", "a")
+    links = links.union(stage(owners.join(several, "doc_id").where("id != a").select("a", F.col("id").alias("b")), "ties"))
+    labels = components(links)
+    named = stage(shared.where("m > 2").join(labels, "id", "left").select("band", "id", "m", F.coalesce("component", "id").alias("component")), "named")
+    mixed = named.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("band")
+    rest = stage(named.join(mixed, "band").join(sets.select("id", "n", "sketch"), "id"), "mixed")
+    edges = stage(possible_forest(rest, percent), "edges")
+    if not edges.isEmpty():
+        clusters = stage(components(edges).select("id", F.col("component").alias("cluster")), "clusters")
+        sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"))
+        facts = rest.select("id", "component", "n", "sketch").dropDuplicates(["id"])
+        members = clusters.join(facts, "id").join(texts_of(clusters, plain).select(F.col("doc_id").alias("id"), "text"), "id").join(sizes, "cluster")
+        more = stage(verified_across(members, k, percent), "links")
         if not more.isEmpty():
-            labels = components(links.union(ties).union(more))
+            labels = components(links.union(more))
     root = sets.join(labels, "id", "left").select("set_key", F.coalesce("component", "id").alias("component_id"))
     named = sketched.join(root, "set_key", "left")
     component = F.coalesce("component_id", "doc_id")
