@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language, neardup, secret_scan, simhash, toxicity
+from . import bpe, language, licenses, neardup, secret_scan, sentences, simhash, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.held_out_languages(_table(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), k=3, percent=85)
 
@@ -37,8 +41,24 @@ def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), bpe.default_path())
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.report(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op3_minhash_near_dedup, op4_simhash, op6_toxicity, op7_secret_scan, op8_bpe_round_trip)
+    f.__name__: f for f in (op1_language_id, op2_license_scan, op3_minhash_near_dedup, op4_simhash, op6_toxicity, op7_secret_scan, op8_bpe_round_trip, op9_warc, op10_substring_dedup)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+             r AS (SELECT html, max(page_id) AS response FROM p WHERE octet_length(encode(html)) >= 1000 GROUP BY html)
+        SELECT p.page_id, CAST(octet_length(encode(p.html)) AS BIGINT) AS payload_bytes, sha1(p.html) AS payload_digest,
+               CASE WHEN r.response <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN r.response <> p.page_id THEN r.response END AS refers_to
+        FROM p LEFT JOIN r ON p.html = r.html""",
+}
