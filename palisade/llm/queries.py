@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language, licenses, neardup, secret_scan, sentences, simhash, toxicity, warc
+from . import bpe, decontam, language, licenses, neardup, secret_scan, sentences, simhash, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.next_to(_table(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.held_out_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -50,7 +54,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_license_scan, op3_minhash_near_dedup, op4_simhash, op6_toxicity, op7_secret_scan, op8_bpe_round_trip, op9_warc, op10_substring_dedup)
+    f.__name__: f for f in (op1_language_id, op2_license_scan, op3_minhash_near_dedup, op4_simhash, op5_decontamination, op6_toxicity, op7_secret_scan, op8_bpe_round_trip, op9_warc, op10_substring_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {
