@@ -1,6 +1,6 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Documents are coded once: each word (letters and digits, A-Z folded) by its number in
+Documents are coded once: each word (letters and digits, in lower case) by its number in
 the benchmark's vocabulary, all other words by one number. TF-IDF vectors of all
 passages of ``PASSAGE`` words feed a distributed randomised decomposition: one pass
 sums A'AW over all passages, where W spans random directions and the items themselves,
@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,7 +45,7 @@ class Benchmark:
 
     def __init__(self, rows: list[tuple[int, str]]):
         self.ids = [i for i, _ in rows]
-        hashes, _, _, at = tokens(*utf8(pa.array([t for _, t in rows], pa.string())))
+        hashes, _, _, at = tokens(*utf8(pc.utf8_lower(pa.array([t for _, t in rows], pa.string()))))
         self.vocabulary = np.unique(hashes)
         self.items = [np.searchsorted(self.vocabulary, hashes[at[i] : at[i + 1]]) for i in range(len(rows))]
         self.slots = np.zeros(_SLOTS, bool)
@@ -66,7 +67,7 @@ def coded(docs: DataFrame, bench: Benchmark) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(bench)
 
     def make(part: pa.RecordBatch):
-        hashes, _, _, at = tokens(*utf8(part.column("s0")))
+        hashes, _, _, at = tokens(*utf8(pc.utf8_lower(part.column("s0"))))
         codes = shared.value.code(hashes)
         return ([codes[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)],)
 

@@ -165,3 +165,9 @@ def held_out_languages(docs: DataFrame) -> DataFrame:
     held = F.coalesce(fold_of("doc_id", 4) == 2, F.lit(False))
     model = train(docs.where(~held))
     return predict(docs.select("doc_id", "text", held.alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def identified(docs: DataFrame) -> DataFrame:
+    """``docs`` without the documents of which no language can be told (null texts and texts without a letter)."""
+    model = train(docs)
+    return predict(docs, model, lang_pred="_lang_pred", score="_score").where("_lang_pred != 'und'").select(*[F.col(f"`{c}`") for c in docs.columns])
