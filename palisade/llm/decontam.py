@@ -180,6 +180,15 @@ def latent_space(codes: DataFrame, weights: np.ndarray, directions: np.ndarray,
     return (left[:, keep] / np.maximum(s[keep], 1e-2 * s[0]))[:, :rank]
 
 
+def _windows(chunks: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Sums of WIDTH // STRIDE adjacent chunks of one document, fewer at its end."""
+    out = chunks.copy()
+    for j in range(1, min(WIDTH // STRIDE, len(doc))):
+        same = np.flatnonzero(doc[:-j] == doc[j:])
+        out[same] += chunks[same + j]
+    return out
+
+
 def lcs(masks: dict[int, int], length: int, words: list[int]) -> int:
     """Length of the longest common subsequence with the item whose word positions are ``masks``."""
     full = (1 << length) - 1
@@ -192,6 +201,12 @@ def lcs(masks: dict[int, int], length: int, words: list[int]) -> int:
     return length - row.bit_count()
 
 
+def _least_mass(weights: np.ndarray) -> float:
+    """Least weight of WIDTH adjacent words of an item, or of the whole item if shorter."""
+    sums = np.concatenate([[0.0], np.cumsum(weights)])
+    return float((sums[WIDTH:] - sums[:-WIDTH]).min()) if len(weights) >= WIDTH else float(sums[-1])
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, least_cosine: float = LEAST_COSINE, items: int = ITEMS) -> DataFrame:
     """doc_id, item_id, coverage, answer and at (word) of every document that holds a benchmark item."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -232,10 +247,12 @@ def _leaks(docs: DataFrame, bench: Benchmark, least_cosine: float) -> DataFrame:
             for p, w in enumerate(x.tolist()):
                 own[w] = own.get(w, 0) | 1 << p
             out.append((own, len(x)))
-    sent = docs.sparkSession.sparkContext.broadcast((terms, np.ascontiguousarray(aims.T), masks, tails, bench.ids))
+    mass = np.concatenate([weights, [0.0]])
+    least_mass = PARAPHRASE_COVERAGE * min((_least_mass(weights[item]) for item in bench.items if len(item)), default=0.0)
+    sent = docs.sparkSession.sparkContext.broadcast((terms, np.ascontiguousarray(aims.T), masks, tails, bench.ids, mass))
 
     def check(words: np.ndarray, item: int, low: int, high: int) -> tuple[float, bool, int] | None:
-        _, _, masks, tails, _ = sent.value
+        _, _, masks, tails, _, _ = sent.value
         (own, length), (end, tail) = masks[item], tails[item]
         room = length // 2 + WIDTH
         a, b = max(0, low - room), min(len(words), high + room)
@@ -251,7 +268,7 @@ def _leaks(docs: DataFrame, bench: Benchmark, least_cosine: float) -> DataFrame:
         return best if best and (best[0] >= LEAST_COVERAGE or best[1]) else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, aims, masks, _, ids = sent.value
+        terms, aims, masks, _, ids, mass = sent.value
         for part, words, at in _batches(batches, 1 << 16):
             doc_ids, out = part.column("doc_id").to_pylist(), []
             code = np.where(words == OTHER, len(terms) - 1, words)
@@ -262,18 +279,27 @@ def _leaks(docs: DataFrame, bench: Benchmark, least_cosine: float) -> DataFrame:
             if base[-1]:
                 place = np.arange(len(code)) - np.repeat(at[:-1], lengths)
                 cuts = np.flatnonzero(place % STRIDE == 0)
-                chunk = np.add.reduceat(terms[code], cuts, axis=0)
-                window = chunk.copy()
                 doc = np.repeat(np.arange(part.num_rows), steps)
-                for j in range(1, WIDTH // STRIDE):
-                    same = np.flatnonzero(doc[:-j] == doc[j:]) if len(doc) > j else np.zeros(0, np.int64)
-                    window[same] += chunk[same + j]
+                weight = np.add.reduceat(mass[code], cuts)
+                # windows whose benchmark words weigh too little to hold enough of any item need no vectors
+                heavy = np.flatnonzero(_windows(weight, doc) >= least_mass)
+                needed = np.zeros(len(doc) + WIDTH // STRIDE, bool)
+                for j in range(WIDTH // STRIDE):
+                    needed[heavy + j] = True
+                of = np.repeat(np.arange(len(doc)), np.diff(np.concatenate([cuts, [len(code)]])))
+                taken = np.flatnonzero(needed[of] & (words != OTHER))
+                if not len(taken):
+                    continue
+                chunk = np.zeros((len(doc), terms.shape[1]), np.float32)
+                edges = np.flatnonzero(np.concatenate([[True], of[taken][1:] != of[taken][:-1]]))
+                chunk[of[taken][edges]] = np.add.reduceat(terms[code[taken]], edges, axis=0)
+                window = _windows(chunk, doc)[heavy]
                 norm = np.sqrt(np.einsum("ij,ij->i", window, window))
                 close = (window @ aims) >= least_cosine * np.maximum(norm, 1e-12)[:, None]
                 close &= norm[:, None] > 0
                 hit_item, hit = np.nonzero(close.T)
                 last = None
-                for item, w in [*zip(hit_item.tolist(), hit.tolist(), strict=True), (-1, -1)]:
+                for item, w in [*zip(hit_item.tolist(), heavy[hit].tolist(), strict=True), (-1, -1)]:
                     # windows of one item in one document that touch are one region
                     if last and item == last[0] and w >= 0 and doc[w] == doc[last[2]] and w - last[2] <= WIDTH // STRIDE:
                         last = (item, last[1], w)

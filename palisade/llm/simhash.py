@@ -29,7 +29,7 @@ from .textvec import map_rows, mix, shingles, slices, utf8, words
 BITS = 256
 LONG = 9
 _SEEDS = np.random.default_rng(11).integers(1, 2**63, BITS // 64, dtype=np.int64).astype(np.uint64)
-_CHUNK = 1 << 15
+_CHUNK = 1 << 13
 
 
 def fingerprints(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -38,21 +38,23 @@ def fingerprints(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     terms, at = shingles(hashes, rows, 2)
     n = len(rows) - 1
     votes = np.zeros((n, BITS), np.int64)
-    weight = np.zeros(n, np.int64)
     counts = np.diff(at)
     start = np.repeat(rows[:-1] - at[:-1], counts) + np.arange(int(at[-1]))
     end = np.minimum(start + 1, np.repeat(rows[1:], counts) - 1)
-    heavy = (last[end] - first[start] >= LONG) if len(start) else np.zeros(0, bool)
+    weight = np.where(last[end] - first[start] >= LONG, 2, 1).astype(np.uint64) if len(start) else np.zeros(0, np.uint64)
     row = np.repeat(np.arange(n), counts)
-    for chosen in (np.arange(len(terms)), np.flatnonzero(heavy)):
-        for a in range(0, len(chosen), _CHUNK):
-            part = chosen[a : a + _CHUNK]
-            own = row[part]
-            cuts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-            bits = np.unpackbits(mix(terms[part][:, None] ^ _SEEDS[None, :]).view(np.uint8), axis=1)
-            votes[own[cuts]] += np.add.reduceat(bits, cuts, axis=0, dtype=np.int32)
-            weight[own[cuts]] += np.diff(np.concatenate([cuts, [len(part)]]))
-    return np.packbits(2 * votes > weight[:, None], axis=1)
+    for a in range(0, len(terms), _CHUNK):
+        part = slice(a, a + _CHUNK)
+        own = row[part]
+        # eight byte counters to a 64-bit word: at most 127 terms of weight 2 fit
+        cuts = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1])]))
+        long = np.concatenate([np.arange(c, e, 127) for c, e in zip(cuts, [*cuts[1:], len(own)], strict=True)])
+        bits = np.unpackbits(mix(terms[part][:, None] ^ _SEEDS[None, :]).view(np.uint8), axis=1).view(np.uint64)
+        summed = np.add.reduceat(bits * weight[part][:, None], long, axis=0).view(np.uint8)
+        group = np.searchsorted(long, cuts)
+        votes[own[cuts]] += np.add.reduceat(summed, group, axis=0, dtype=np.int64)
+    total = np.bincount(row, weight.astype(np.float64), n).astype(np.int64)
+    return np.packbits(2 * votes > total[:, None], axis=1)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -145,12 +147,16 @@ def next_to(docs: DataFrame, rows_a_part: int = 2000) -> DataFrame:
 
     def emit(rows: list[tuple[int | None, str, str]]) -> pa.RecordBatch:
         own, nexts = [t for _, t, _ in rows], [t for _, _, t in rows]
+        # the next document is mostly the next row: only those that are not need a fingerprint of their own
+        odd = [i for i in range(len(rows)) if i + 1 == len(rows) or nexts[i] is not own[i + 1]]
         mixed = [edited(t, n) for t, n in zip(own, nexts, strict=True)]
         made = []
-        for texts in (own, mixed, nexts):
+        for texts in (own, mixed, [nexts[i] for i in odd]):
             column = pa.array(texts, pa.string())
             made.append(np.concatenate([fingerprints(*utf8(s.column(0))) for s in slices(pa.RecordBatch.from_arrays([column], names=["t"]), "t")]))
-        f, e, n = made
+        f, e, other = made
+        n = np.concatenate([f[1:], other[-1:]])
+        n[odd] = other
         return pa.RecordBatch.from_arrays([
             pa.array([d for d, _, _ in rows], pa.int64()), pa.array([len(t) for t in own], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in mixed]),
             pa.array([x.tobytes().hex() for x in f]), pa.array([x.tobytes().hex() for x in e]), pa.array(likeness(f, e)), pa.array(likeness(f, n))], names=names)
