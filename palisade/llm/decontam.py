@@ -286,14 +286,20 @@ def _leaks(docs: DataFrame, bench: Benchmark, least_cosine: float) -> DataFrame:
                 needed = np.zeros(len(doc) + WIDTH // STRIDE, bool)
                 for j in range(WIDTH // STRIDE):
                     needed[heavy + j] = True
-                of = np.repeat(np.arange(len(doc)), np.diff(np.concatenate([cuts, [len(code)]])))
-                taken = np.flatnonzero(needed[of] & (words != OTHER))
-                if not len(taken):
+                own = np.flatnonzero(needed[: len(doc)])
+                if not len(own):
                     continue
-                chunk = np.zeros((len(doc), terms.shape[1]), np.float32)
-                edges = np.flatnonzero(np.concatenate([[True], of[taken][1:] != of[taken][:-1]]))
-                chunk[of[taken][edges]] = np.add.reduceat(terms[code[taken]], edges, axis=0)
-                window = _windows(chunk, doc)[heavy]
+                sizes = np.diff(np.concatenate([cuts, [len(code)]]))[own]
+                chunk = np.zeros((len(own), terms.shape[1]), np.float32)
+                for j in range(STRIDE):
+                    at_word = np.minimum(cuts[own] + j, len(code) - 1)
+                    chunk += terms[np.where(j < sizes, code[at_word], len(terms) - 1)]
+                row = np.zeros(len(needed), np.int64)
+                row[own] = np.arange(len(own))
+                window = chunk[row[heavy]]
+                for j in range(1, WIDTH // STRIDE):
+                    same = np.flatnonzero(doc[np.minimum(heavy + j, len(doc) - 1)] == np.where(heavy + j < len(doc), doc[heavy], -1))
+                    window[same] += chunk[row[heavy[same] + j]]
                 norm = np.sqrt(np.einsum("ij,ij->i", window, window))
                 close = (window @ aims) >= least_cosine * np.maximum(norm, 1e-12)[:, None]
                 close &= norm[:, None] > 0
