@@ -230,7 +230,7 @@ def _leaks(docs: DataFrame, bench: Benchmark, least_cosine: float) -> DataFrame:
     vectors = np.zeros((size, count))
     for k, item in enumerate(bench.items):
         np.add.at(vectors[:, k], item, 1)
-    vectors = np.where(vectors > 0, (1 + np.log(np.maximum(vectors, 1))), 0) * weights[:, None]
+    vectors *= weights[:, None]  # plain counts, as windows are sums of words
     random = np.random.default_rng(5).standard_normal((size, min(RANDOM, size)))
     directions, upper = np.linalg.qr(np.concatenate([vectors, random], axis=1))
     independent = np.abs(np.diag(upper)) > 1e-9 * np.abs(np.diag(upper)).max()

@@ -1,0 +1,139 @@
+"""The corpus operators on small inputs: brute force, round trips, nulls, ties, empty tables."""
+
+import hashlib
+import re
+from itertools import combinations
+
+import pytest
+
+from palisade.llm import bpe, decontam, language, licenses, neardup, secret_scan, sentences, simhash, toxicity, warc
+
+WORDS = [f"w{i}x" for i in range(400)]
+
+
+def frame(spark, texts):
+    return spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, component_id string")
+
+
+def near_texts():
+    base = WORDS[:120]
+    out = [" ".join(base), " ".join(base).upper(), None, "", "one", "ONE", "two words"]
+    for k in range(30):
+        out.append(" ".join(base[:k * 2] + [f"edit{k}"] + base[k * 2 + 1:]))
+    out += [" ".join(WORDS[a : a + 60]) for a in range(120, 340, 7)]
+    return out
+
+
+def brute(texts, k, percent):
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sets = []
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(low))
+        sets.append({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set())
+    up = list(range(len(texts)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in combinations(range(len(texts)), 2):
+        if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]) > 0:
+            x, y = sorted((root(a), root(b)))
+            up[y] = x
+    return {i: (len(s), root(i)) for i, s in enumerate(sets)}
+
+
+@pytest.mark.parametrize(("k", "percent"), [(3, 85), (5, 80)])
+def test_near_duplicates(spark, k, percent):
+    texts = near_texts()
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(frame(spark, texts), k, percent).collect()}
+    assert got == brute(texts, k, percent)
+
+
+def test_simhash(spark):
+    texts = ["a b c d e f g", None, "a b c d e f g", "éü " * 5, ""]
+    got = {r["doc_id"]: r for r in simhash.next_to(frame(spark, texts), rows_a_part=2).collect()}
+    plain = [t or "" for t in texts]
+    for i, t in enumerate(plain):
+        want = simhash.edited(t, plain[(i + 1) % len(plain)])
+        assert got[i]["edited_sha256"] == hashlib.sha256(want.encode()).hexdigest() and got[i]["n_chars"] == len(t)
+    assert got[0]["fingerprint"] == got[2]["fingerprint"] and got[1]["fingerprint"] == "0" * (simhash.BITS // 4)
+
+
+def test_simhash_within(spark):
+    rows = [("00" * 32,), ("00" * 31 + "07",), ("00" * 31 + "0f",), ("ff" * 32,)]
+    df = spark.createDataFrame(rows, "fingerprint string")
+    got = {(r["query"][-2:], r["found"][-2:], r["distance"]) for r in simhash.within(df, df, 3).collect()}
+    assert got == {("00", "00", 0), ("07", "07", 0), ("0f", "0f", 0), ("ff", "ff", 0), ("00", "07", 3), ("07", "00", 3), ("07", "0f", 1), ("0f", "07", 1)}
+
+
+def test_secrets():
+    text = 'é password = "abc" API_KEY: abcdef AKIA' + "Z" * 16 + " " + "0123456789abcdef" * 2 + " auth x9Qz7Lp2Vb8Kt4Wm1Rd6Yn3 ſecret=abcdefg"
+    base, every = secret_scan.scan(text)
+    assert [(k, text[a:b]) for a, k, b in base] == [("assign", "API_KEY: abcdef"), ("access", "AKIA" + "Z" * 16), ("hex", "0123456789abcdef" * 2)]
+    assert ("novel", "x9Qz7Lp2Vb8Kt4Wm1Rd6Yn3") in [(k, text[a:b]) for a, k, b in every]
+    assert secret_scan.scan(None) == ([], []) and "abcdef" not in secret_scan.redacted("token=abcdefgh")
+
+
+def test_bpe(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(bpe.default_path())
+    texts = ["Hello  world's", "", "<|endoftext|> é漢字\n\n 12345", "a" * 300, "\x00 \t x"]
+    for r, t in zip(bpe.round_trip(frame(spark, texts), bpe.default_path()).orderBy("doc_id").collect(), texts, strict=True):
+        ids = library.encode(t, add_special_tokens=False).ids
+        assert list(memoryview(bytes(r["token_ids"])).cast("I")) == ids and r["decoded"] == t
+
+
+def test_sentences(spark):
+    passage = "One two three four five six. Seven eight nine ten eleven twelve. Thirteen fourteen fifteen sixteen. "
+    texts = ["Alpha beta. " + passage + "Gamma.", "Delta. " + passage + "Epsilon zeta.", None, "", "No repeats here."]
+    got = {r["doc_id"]: r for r in sentences.cleaned(frame(spark, texts)).collect()}
+    assert set(got) == {1} and got[1]["first_doc_ids"] == [0] and got[1]["text"] == "Delta. Epsilon zeta." and got[1]["n_removed"] == 3
+
+
+def test_licenses(spark):
+    texts = ["x y z\nLicensed under the Apache License, Version 2.0.\n", "Released under the MIT license", None, "", "nothing"]
+    got = {(r["doc_id"], r["license"], texts[r["doc_id"]][r["start"] : r["end"]]) for r in licenses.scan(frame(spark, texts)).collect()}
+    assert got == {(0, "apache-2.0", "Licensed under the Apache License, Version 2.0"), (1, "mit", "Released under the MIT license")}
+
+
+def test_decontamination(spark):
+    item = "what is the capital of the small island state named after a volcano answer port marlin bay"
+    bench = spark.createDataFrame([(7, item), (8, None), (9, "")], "item_id long, text string")
+    docs = frame(spark, [" ".join(WORDS[:50]) + " " + item.upper() + " " + " ".join(WORDS[50:90]), " ".join(WORDS), None, "", "the capital of the state"])
+    assert [(r["doc_id"], r["item_id"]) for r in decontam.leaks(docs, bench).collect()] == [(0, 7)]
+    assert sorted(r["doc_id"] for r in decontam.decontaminate(docs, bench).collect()) == [1, 2, 3, 4]
+
+
+def test_language(spark):
+    rows = [(i, " ".join(("the house and water" if i % 2 else "das haus und wasser").split() * (1 + i % 3)), "en" if i % 2 else "de") for i in range(60)] + [(60, None, "en"), (61, "123 !!", "de")]
+    got = {r["doc_id"]: r for r in language.held_out_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(got[i]["lang_pred"] == rows[i][2] for i in range(60)) and got[60]["lang_pred"] == got[61]["lang_pred"] == "und"
+
+
+def test_toxicity(spark):
+    rows = [(i, ("you utter nitwit " if i % 3 == 0 else "") + " ".join(WORDS[i % 40 : i % 40 + 30])) for i in range(150)] + [(150, None)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(150)], "doc_id long, toxic int")
+    got = toxicity.held_out_scores(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()
+    assert len(got) == 151 and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in got)
+    held = [r for r in got if r["held_out"] and r["doc_id"] < 150]
+    pairs = [(a["score"], b["score"]) for a in held for b in held if a["doc_id"] % 3 == 0 and b["doc_id"] % 3]
+    assert sum(a > b for a, b in pairs) > 0.9 * len(pairs)
+
+
+def test_warc(spark):
+    big = "é\r\n\r\nWARC/1.1\r\n" * 100
+    rows = [(1, "http://b.a.org/x?q=1", big), (2, None, big), (3, "http://c.a.org", None), (4, "u", "small"), (5, "u", "small")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: tuple(r)[1:] for r in warc.round_trip(pages).collect()}
+    sha = hashlib.sha1(big.encode()).hexdigest()
+    assert got[1] == (len(big.encode()), sha, "revisit", 2) and got[2] == (len(big.encode()), sha, "response", None)
+    assert got[3] == (0, hashlib.sha1(b"").hexdigest(), "response", None) and got[5][2] == got[4][2] == "response"
+
+
+def test_empty_tables(spark):
+    docs = frame(spark, []).select("doc_id", "text")
+    assert neardup.near_duplicates(docs).count() == 0 and sentences.cleaned(docs).count() == 0 and licenses.scan(docs).count() == 0
+    assert simhash.next_to(docs).count() == 0 and secret_scan.digests(docs).count() == 0
