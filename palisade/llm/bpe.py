@@ -27,7 +27,7 @@ from .textvec import slices
 CACHE_ENTRIES = 150_000
 CACHED_CHARS = 48
 _NONE = 1 << 62
-_STEPPED = 33
+_STEPPED, _STEP_ROWS = 33, 4096
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -63,9 +63,8 @@ class Codec:
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.ranks.setdefault(vocab[a] << 20 | vocab[b], rank << 32)
             self.merged.append(vocab[a + b])
-        self.pair_keys = np.array(sorted(self.ranks), np.int64)
-        self.pair_ranks = np.array([self.ranks[k] for k in self.pair_keys.tolist()], np.int64)
         self.merged_ids = np.array(self.merged, np.int64)
+        self._tables()
         self.special = special
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.pieces = regex.compile(self.PATTERN).findall
@@ -124,56 +123,87 @@ class Codec:
             i = after[i]
         return out
 
+    def _tables(self) -> None:
+        """Ranks by hashed pair, in as many probes as the fullest slot needs, and by two bytes."""
+        bits = max(16, len(self.ranks).bit_length() + 4)
+        self.shift = np.uint64(64 - bits)
+        keys, ranks = (np.array(list(x), np.int64) for x in (self.ranks.keys(), self.ranks.values()))
+        slot = self._slot(keys)
+        order = np.argsort(slot, kind="stable")
+        keys, ranks, slot = keys[order], ranks[order], slot[order]
+        nth = np.arange(len(slot)) - np.searchsorted(slot, slot)
+        self.probes = []
+        for k in range(int(nth.max(initial=0)) + 1):
+            own = nth == k
+            table = np.full(1 << bits, -1, np.int64), np.full(1 << bits, _NONE, np.int64)
+            table[0][slot[own]], table[1][slot[own]] = keys[own], ranks[own]
+            self.probes.append(table)
+        ids = np.array(self.byte_id, np.int64)
+        self.byte_ranks = self._rank(np.repeat(ids, 256), np.tile(ids, 256))
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of pairs, shifted to make room for a position; a sentinel where nothing merges."""
         keys = left << 20 | right
-        found = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
-        return np.where((self.pair_keys[found] == keys) & (left >= 0) & (right >= 0), self.pair_ranks[found], _NONE)
+        slot, out = self._slot(keys), np.full(len(keys), _NONE, np.int64)
+        for known, ranks in self.probes:
+            np.copyto(out, ranks[slot], where=known[slot] == keys)
+        out[(left < 0) | (right < 0)] = _NONE
+        return out
 
     def merge_many(self, pieces: list[bytes], size: int) -> list[bytes]:
-        """Packed ids of pre-tokens of 2 to ``size + 1`` bytes: one segment tree for each, all merged in step."""
+        """Packed ids of pre-tokens of 2 to ``size + 1`` bytes: one segment tree for each, all merged in step.
+
+        Rows of all tables are addressed in their flat form.
+        """
         n, width = len(pieces), size + 1
         lengths = np.fromiter(map(len, pieces), np.int64, n)
         raw = np.frombuffer(b"".join([x.ljust(width, b"\0") for x in pieces]), np.uint8).reshape(n, width)
         columns = np.arange(width)
+        inside = columns < lengths[:, None]
         ids = np.full((n, width + 1), -1, np.int64)
-        ids[:, :width] = np.where(columns < lengths[:, None], np.array(self.byte_id)[raw], -1)
+        ids[:, :width] = np.where(inside, np.array(self.byte_id)[raw], -1)
         after = np.where(columns + 1 < lengths[:, None], columns + 1, width)
         before = np.broadcast_to(np.arange(-1, width), (n, width + 1)).copy()
-        gone_at = np.zeros((n, width), bool)
+        alive = inside.copy()
         tree = np.full((n, 2 * size), _NONE, np.int64)
-        ranks = self._rank(ids[:, :size], ids[:, 1:width])
-        tree[:, size:] = np.where(ranks < _NONE, ranks | np.arange(size), _NONE)
+        ranks = self.byte_ranks[raw[:, :size].astype(np.int64) << 8 | raw[:, 1:]]
+        tree[:, size:] = np.where((ranks < _NONE) & inside[:, 1:], ranks | np.arange(size), _NONE)
         level = size >> 1
         while level:
             tree[:, level : 2 * level] = np.minimum(tree[:, 2 * level : 4 * level : 2], tree[:, 2 * level + 1 : 4 * level : 2])
             level >>= 1
-        rows = np.arange(n)
-        while len(rows := rows[tree[rows, 1] < _NONE]):
-            best = tree[rows, 1]
+        flat_ids, flat_after, flat_before, flat_alive, flat_tree = (x.reshape(-1) for x in (ids, after, before, alive, tree))
+        depth, rows = size.bit_length() - 1, np.arange(n)
+        best = tree[:, 1]
+        while len(at_row := np.flatnonzero(best < _NONE)):
+            rows, best = rows[at_row], best[at_row]
+            wide, long, root = rows * (width + 1), rows * width, rows * (2 * size)
             at = best & 0xFFFFFFFF
-            gone = after[rows, at]
+            gone = flat_after[long + at]
             new = self.merged_ids[best >> 32]
-            ids[rows, at] = new
-            gone_at[rows, gone] = True
-            follows = after[rows, gone]
-            after[rows, at] = follows
-            before[rows, follows] = at
-            left = before[rows, at]
-            right_rank = self._rank(new, ids[rows, follows])
-            left_rank = self._rank(ids[rows, left], new)
+            flat_ids[wide + at] = new
+            flat_alive[long + gone] = False
+            follows = flat_after[long + gone]
+            flat_after[long + at] = follows
+            flat_before[wide + follows] = at
+            left = flat_before[wide + at]
+            right_rank = self._rank(new, flat_ids[wide + follows])
+            left_rank = self._rank(flat_ids[wide + np.maximum(left, 0)], new)
             for own, leaf, value in (
                 (gone < size, gone, np.full(len(rows), _NONE)),
                 (at < size, at, np.where(right_rank < _NONE, right_rank | at, _NONE)),
                 (left >= 0, left, np.where(left_rank < _NONE, left_rank | left, _NONE)),
             ):
-                r, i = rows[own], leaf[own] + size
-                tree[r, i] = value[own]
-                i = i >> 1
-                for _ in range(size.bit_length() - 1):
-                    tree[r, i] = np.minimum(tree[r, 2 * i], tree[r, 2 * i + 1])
+                base, i = root[own], leaf[own] + size
+                flat_tree[base + i] = value[own]
+                for _ in range(depth):
+                    pair = base + (i & -2)
                     i = i >> 1
-        alive = (columns < lengths[:, None]) & ~gone_at
+                    flat_tree[base + i] = np.minimum(flat_tree[pair], flat_tree[pair + 1])
+            best = flat_tree[root + 1]
         packed = ids[:, :width][alive].astype("<u4").tobytes()
         ends = (4 * np.cumsum(alive.sum(axis=1))).tolist()
         return [packed[a:b] for a, b in zip([0, *ends], ends, strict=False)]
@@ -190,8 +220,8 @@ class Codec:
             else:
                 classes.setdefault(1 << (n - 2).bit_length(), []).append((text, raw))
         for size, members in classes.items():
-            for a in range(0, len(members), 8192):
-                part = members[a : a + 8192]
+            for a in range(0, len(members), _STEP_ROWS):
+                part = members[a : a + _STEP_ROWS]
                 made.update(zip([t for t, _ in part], self.merge_many([r for _, r in part], size), strict=True))
         return made
 
@@ -199,10 +229,10 @@ class Codec:
         """The ids of whole texts as little-endian unsigned 32-bit integers."""
         rows = []
         for text in texts:
-            parts = [text or ""]
             if text and self.split_special is not None and self.split_special.search(text):
-                parts = self.split_special.split(text)
-            rows.append([p for x in parts for p in ([x] if x in self.special else self.pieces(x))])
+                rows.append([p for x in self.split_special.split(text) for p in ([x] if x in self.special else self.pieces(x))])
+            else:
+                rows.append(self.pieces(text or ""))
         wanted = set().union(*rows) if rows else set()
         known = {p: np.array([i], "<u4").tobytes() for p, i in self.special.items() if p in wanted}
         missing = set()
@@ -218,7 +248,7 @@ class Codec:
         if len(self.young) >= self.cache_entries:
             self.old, self.young = self.young, {}
         self.young.update((p, x) for p, x in known.items() if len(p) <= CACHED_CHARS and p not in self.special)
-        return [b"".join([known[p] for p in row]) for row in rows]
+        return [b"".join(map(known.__getitem__, row)) for row in rows]
 
     def decode(self, packed: bytes | None) -> str:
         """The text of packed ids; bytes that are not UTF-8 become U+FFFD."""
