@@ -2,7 +2,10 @@
 
 Three base patterns find assignments, access keys and long hexadecimal runs. Beyond
 them, every token-like run in a sensitive context (a name such as key, token or auth
-shortly before it) is a candidate: zstandard, primed with a dictionary of common
+shortly before it) is a candidate, and so is what follows an equals sign in the run that
+holds the name (``AWS_SECRET_ACCESS_KEY=...``); only the start of a candidate must be near
+the name, it ends where the run ends. What ``_``, ``-`` or ``/`` joins to a name is part of
+the name. Zstandard, primed with a dictionary of common
 identifiers and the text around the run, tells how many bytes the run adds. A run that
 costs nearly as many bits as its alphabet allows is reported as ``novel``; identifiers,
 paths, words and repeats of what stands nearby compress away and are not.
@@ -33,7 +36,9 @@ HEX = re.compile(r"[0-9a-f]+")
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 6, 20, 24
 
 HEX_RUN = re.compile(r"[0-9a-f]{24,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+CANDIDATE_LEAST = 16
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % CANDIDATE_LEAST)
+EQUALS = re.compile("=+")
 CONTEXT = re.compile(r"(?:key|token|secret|passw|pwd|auth|bearer|credential|private|signature|session)", re.I | re.A)
 CONTEXT_BEFORE, AROUND = 40, 256
 NOVEL_BYTES_A_CHAR = 0.66
@@ -77,14 +82,19 @@ def novel_spans(text: str, base: list[tuple[int, str, int]]) -> list[tuple[int,
         return []
     seen, found = set(), []
     for mark in marks:
-        for m in CANDIDATE.finditer(text, mark, mark + CONTEXT_BEFORE + 4096):
-            start, end = m.span()
-            if start > mark + CONTEXT_BEFORE:
-                break
-            if start == mark or start in seen:
+        last = mark + CONTEXT_BEFORE
+        starts = []
+        for m in CANDIDATE.finditer(text, mark, last + CANDIDATE_LEAST):
+            # the run that holds the name: its values stand after equals signs
+            starts += [e.end() for e in EQUALS.finditer(text, mark, m.end()) if e.end() <= last] if m.start() == mark else [m.start()]
+        for start in starts:
+            if start in seen or (found and start < found[-1][2]):
                 continue
             seen.add(start)
-            run = m.group()
+            whole = CANDIDATE.match(text, start)
+            if not whole:
+                continue
+            end, run = whole.end(), whole.group()
             if not (any(c.isdigit() for c in run) and any(c.isalpha() for c in run)):
                 continue
             if any(a < end and start < b for a, _, b in base):

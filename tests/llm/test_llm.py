@@ -1,6 +1,7 @@
 """The corpus operators on small inputs: brute force, round trips, nulls, ties, empty tables."""
 
 import hashlib
+import random
 import re
 from itertools import combinations
 
@@ -76,6 +77,17 @@ def test_secrets():
     assert secret_scan.scan(None) == ([], []) and "abcdef" not in secret_scan.redacted("token=abcdefgh")
 
 
+@pytest.mark.parametrize("before", ["export AWS_SECRET_ACCESS_KEY=", "private_key=", "auth=", "key auth=user=", "session==", "private key "])
+@pytest.mark.parametrize("length", [24, 8000])
+def test_secrets_unspaced_and_long(before, length):
+    rng = random.Random(length)
+    value = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(length))
+    text = f"one {before}{value} two"
+    (start, kind, end), = secret_scan.scan(text)[1]
+    assert kind == "novel" and start <= 4 + len(before) and text[end:] == " two"
+    assert value[-12:] not in secret_scan.redacted(text) and value[:12] not in secret_scan.redacted(text)
+
+
 def test_bpe(spark):
     from tokenizers import Tokenizer
 
