@@ -1,10 +1,15 @@
 """Substring deduplication by sliding sentence spans.
 
-A sentence ends with . ! or ? or at a line break; one of over ``LONG`` words is also cut
-after words chosen by their hash, so that long unpunctuated passages fall into the same
-pieces wherever they stand. Every run of ``RUN`` consecutive sentences of at least
-``LEAST_WORDS`` words is hashed, runs are joined over all documents, and the sentences
-covered by any but the first occurrence (by doc_id, then position) of a run go.
+A sentence ends with . ! or ? (also the ideographic ones) or at a line break; one of over
+``LONG`` words is also cut after the word of smallest hash in each ``WINDOW`` adjacent
+words, so that long unpunctuated passages fall into the same pieces wherever they stand,
+but for WINDOW - 1 words at their ends. Every run of ``RUN`` consecutive pieces of at
+least ``LEAST_WORDS`` words is hashed; one with a cut inside a sentence goes on until it
+has ``LONG`` words, and one more such run ends at the end of each cut sentence. Runs are
+joined over all documents, and the pieces covered by any but the first occurrence (by
+doc_id, then position) of a run go. So of a shared passage without sentence ends, from
+LONG + 4 * (WINDOW - 1) + 1 words on a run is always found. Characters of scripts written
+without blanks (Han, kana, Thai, Lao, Khmer, Burmese) are words of their own.
 
 Defined cases: a null or empty text has no sentences; fewer sentences than a run are one
 run; A-Z fold and white space is not compared; rows with one doc_id count as one
@@ -24,60 +29,102 @@ from pyspark.sql import types as T
 
 from .neardup import texts_of
 from .staging import stage
-from .textvec import _power_tables, mix, shingles, slices, utf8, words
+from .textvec import _power_tables, mix, slices, utf8, words
 
-RUN, LEAST_WORDS, LONG, CUT = 3, 12, 24, 12
+RUN, LEAST_WORDS, LONG, WINDOW = 3, 12, 24, 6
 _END = np.zeros(256, bool)
 _END[[0x21, 0x2E, 0x3F]] = True
-
-
-def cut(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sentence hashes, their first bytes, their numbers of words, and each row's first sentence."""
-    hashes, first, last, rows = words(buf, offsets)
+_WIDE_END = [int.from_bytes(c.encode()) for c in "。！？．｡"]
+
+
+def unspaced(buf: np.ndarray) -> np.ndarray:
+    """The borders of characters of scripts written without blanks."""
+    high = np.flatnonzero(buf >= 0xE0)
+    if not len(high):
+        return high
+    after = np.concatenate([buf, np.zeros(2, np.uint8)])
+    lead, second, third = buf[high], after[high + 1], after[high + 2]
+    three = ((lead >= 0xE3) & (lead <= 0xE9)) | ((lead == 0xEF) & ((second == 0xBC) | (second == 0xBD)))
+    three |= (lead == 0xE0) & (second >= 0xB8) & (second <= 0xBB)  # Thai, Lao
+    three |= (lead == 0xE1) & ((second == 0x80) | (second == 0x81) | ((second == 0x82) & (third < 0xA0)) | (second == 0x9E) | (second == 0x9F))  # Burmese, Khmer
+    four = (lead == 0xF0) & (second >= 0xA0) & (second <= 0xB3)
+    return np.concatenate([high[three], high[three] + 3, high[four], high[four] + 4])
+
+
+def cut(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Piece hashes, their first bytes, their numbers of words, whether they end inside a sentence, and each row's first piece."""
+    hashes, first, last, rows = words(buf, offsets, borders=unspaced(buf))
     n = len(hashes)
     if not n:
         nothing = np.zeros(0, np.int64)
-        return hashes, nothing, nothing, np.zeros(len(offsets), np.int64)
+        return hashes, nothing, nothing, np.zeros(0, bool), np.zeros(len(offsets), np.int64)
     breaks = np.concatenate([[0], np.cumsum(buf == 0x0A)])
     final = _END[buf[last - 1]]
+    stops = np.flatnonzero((last - first == 3) & (buf[first] >= 0xE0))
+    final[stops] |= np.isin(buf[first[stops]].astype(np.int32) << 16 | buf[first[stops] + 1].astype(np.int32) << 8 | buf[first[stops] + 2], _WIDE_END)
     final[:-1] |= breaks[first[1:]] > breaks[last[:-1]]
     final[rows[1:][rows[1:] > 0] - 1] = True
     ends = np.flatnonzero(final) + 1
     sizes = np.diff(np.concatenate([[0], ends]))
-    final |= np.repeat(sizes > LONG, sizes) & (hashes % np.uint64(CUT) == 0)
+    room = np.repeat(ends, sizes) - np.arange(n)
+    begin = np.flatnonzero(np.repeat(sizes > LONG, sizes) & (room >= WINDOW))
+    least, where = hashes[begin], begin.copy()
+    for j in range(1, WINDOW):
+        lower = hashes[begin + j] <= least
+        least, where = np.where(lower, hashes[begin + j], least), np.where(lower, begin + j, where)
+    whole = final.copy()
+    final[where] = True
     ends = np.flatnonzero(final) + 1
     starts = np.concatenate([[0], ends[:-1]])
     up, down = _power_tables(n + 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(hashes * up[:n], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts]), first[starts], ends - starts, np.searchsorted(starts, rows)
+    return mix((sums[ends] - sums[starts]) * down[starts]), first[starts], ends - starts, ~whole[ends - 1], np.searchsorted(starts, rows)
+
+
+def runs(sizes: np.ndarray, inner: np.ndarray, rows: np.ndarray, run: int, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first piece and end piece of every run."""
+    n = len(sizes)
+    row = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
+    low, high = rows[:-1][row], rows[1:][row]
+    total, cuts = (np.concatenate([[0], np.cumsum(x)]) for x in (sizes, inner))
+    start = np.arange(n)
+    end = np.minimum(start + run, high)
+    end = np.where(cuts[end] > cuts[start], np.maximum(start + run, np.searchsorted(total, total[:-1] + LONG)), start + run)
+    end = np.where(start == low, np.minimum(end, high), end)
+    ok = end <= high
+    # a cut sentence's last pieces
+    final = np.flatnonzero(~inner[1:] & inner[:-1]) + 2
+    back = np.minimum(np.searchsorted(total, total[final] - LONG, side="right") - 1, final - run)
+    inside = back >= low[final - 1] if n else np.zeros(0, bool)
+    pairs = np.unique(np.concatenate([np.stack([start[ok], end[ok]]), np.stack([back[inside], final[inside]])], axis=1), axis=1)
+    pairs = pairs[:, total[pairs[1]] - total[pairs[0]] >= least_words]
+    return row[pairs[0]], pairs[0], pairs[1]
 
 
 def sentence_runs(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS) -> DataFrame:
-    """h, doc_id, at: every long enough run of sentences by hash and index of its first sentence."""
+    """h, doc_id, at, till: every long enough run of pieces by hash and the indices of its first piece and of the one after it."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                hashes, _, sizes, rows = cut(*utf8(part.column("text")))
-                found, at = shingles(hashes, rows, run)
-                counts = np.diff(at)
-                row = np.repeat(np.arange(part.num_rows), counts)
-                start = np.repeat(rows[:-1] - at[:-1], counts) + np.arange(len(found))
-                total = np.concatenate([[0], np.cumsum(sizes)])
-                ok = total[np.minimum(start + run, rows[1:][row])] - total[start] >= least_words
+                hashes, _, sizes, inner, rows = cut(*utf8(part.column("text")))
+                row, start, end = runs(sizes, inner, rows, run, least_words)
+                up, down = _power_tables(len(hashes) + 1)
+                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * up[: len(hashes)], dtype=np.uint64)])
+                found = mix((sums[end] - sums[start]) * down[start])
                 ids = part.column("doc_id").to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(found[ok].view(np.int64)), pa.array(ids[row[ok]]), pa.array((start - rows[:-1][row])[ok].astype(np.int32))], names=["h", "doc_id", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(ids[row]), *(pa.array((x - rows[:-1][row]).astype(np.int32)) for x in (start, end))], names=["h", "doc_id", "at", "till"])
 
-    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(make, "h long, doc_id long, at int")
+    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(make, "h long, doc_id long, at int, till int")
 
 
 def repeats(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS) -> DataFrame:
-    """doc_id, positions, first_doc_ids: where runs begin that stand earlier elsewhere, and where."""
+    """doc_id, positions (at, till), first_doc_ids: where runs stand that stand earlier elsewhere, and where."""
     found = stage(sentence_runs(docs, run, least_words), "runs")
     first = found.groupBy("h").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "first")
     later = found.join(first, "h").where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("at") != F.col("first.at")))
-    return later.groupBy("doc_id").agg(F.array_sort(F.collect_set("at")).alias("positions"), F.array_sort(F.collect_set("first.doc_id")).alias("first_doc_ids"))
+    return later.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("at", "till"))).alias("positions"), F.array_sort(F.collect_set("first.doc_id")).alias("first_doc_ids"))
 
 
 def cleaned(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -92,15 +139,15 @@ def cleaned(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS) ->
         for batch in batches:
             for part in slices(batch, "text"):
                 buf, offsets = utf8(part.column("text"))
-                _, first, sizes, at = cut(buf, offsets)
+                _, first, sizes, _, at = cut(buf, offsets)
                 out = []
                 for i, positions in enumerate(part.column("positions").to_pylist()):
                     a, b = at[i], at[i + 1]
                     gone = np.zeros(b - a + 1, np.int64)
                     for p in positions:
-                        if p < b - a:  # another row of this doc_id may be longer
-                            gone[p] += 1
-                            gone[min(p + run, b - a)] -= 1
+                        if p["at"] < b - a:  # another row of this doc_id may be longer
+                            gone[p["at"]] += 1
+                            gone[min(p["till"], b - a)] -= 1
                     gone = np.cumsum(gone[:-1]) > 0
                     bounds = [*first[a:b].tolist(), int(offsets[i + 1])]
                     if b > a:

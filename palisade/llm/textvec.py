@@ -102,8 +102,8 @@ def map_rows(
     return wide.mapInArrow(run, schema)
 
 
-def words(buf: np.ndarray, offsets: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words are maximal runs without ASCII white space, A-Z folded if asked.
+def words(buf: np.ndarray, offsets: np.ndarray, fold: bool = True, borders: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words are maximal runs without ASCII white space, A-Z folded if asked; ``borders`` are bytes before which a word ends too.
 
     Returns the words' hashes, first bytes, end bytes, and for each row the index of
     its first word (one more entry at the end).
@@ -115,6 +115,8 @@ def words(buf: np.ndarray, offsets: np.ndarray, fold: bool = True) -> tuple[np.n
     inside = ~_SPACE[buf]
     cut = np.zeros(n + 1, bool)
     cut[offsets] = True
+    if borders is not None:
+        cut[borders] = True
     begins = inside.copy()
     begins[1:] &= ~inside[:-1] | cut[1:n]
     ends = inside.copy()
