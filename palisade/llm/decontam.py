@@ -20,6 +20,7 @@ best match counts; a null doc_id is reported as it is.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -202,18 +203,27 @@ def lcs(masks: dict[int, int], length: int, words: list[int]) -> int:
 
 
 def _least_mass(weights: np.ndarray) -> float:
-    """Least weight of WIDTH adjacent words of an item, or of the whole item if shorter."""
-    sums = np.concatenate([[0.0], np.cumsum(weights)])
-    return float((sums[WIDTH:] - sums[:-WIDTH]).min()) if len(weights) >= WIDTH else float(sums[-1])
+    """Least weight of an item's words in the best window over any stretch that may be accepted.
+
+    A stretch of ``reach`` words lies in so many windows end to end; one of them holds at
+    least the mean share of the words that must match, which weigh no less than the lightest.
+    """
+    length = len(weights)
+    if not length:
+        return np.inf
+    tiles = -(-(length + length // 2 + STRIDE - 1) // WIDTH)
+    held = -(-int(np.ceil(PARAPHRASE_COVERAGE * length)) // tiles)
+    return float(np.sort(weights)[:held].sum())
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, least_cosine: float = LEAST_COSINE, items: int = ITEMS) -> DataFrame:
     """doc_id, item_id, coverage, answer and at (word) of every document that holds a benchmark item."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = [(r["item_id"], r["text"]) for r in benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL").orderBy("item_id", "text").toLocalIterator()]
+    written = stage(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL"), "items")
+    rows = ((r["item_id"], r["text"]) for r in written.orderBy("item_id", "text").toLocalIterator())
     found = None
-    for start in range(0, len(rows), items):
-        bench = Benchmark(rows[start : start + items])
+    for block in batched(rows, items):
+        bench = Benchmark(list(block))
         if len(bench.vocabulary):
             part = _leaks(plain, bench, least_cosine)
             found = part if found is None else found.union(part)
@@ -248,7 +258,7 @@ def _leaks(docs: DataFrame, bench: Benchmark, least_cosine: float) -> DataFrame:
                 own[w] = own.get(w, 0) | 1 << p
             out.append((own, len(x)))
     mass = np.concatenate([weights, [0.0]])
-    least_mass = PARAPHRASE_COVERAGE * min((_least_mass(weights[item]) for item in bench.items if len(item)), default=0.0)
+    least_mass = min(_least_mass(weights[item]) for item in bench.items) * (1 - 1e-9)
     sent = docs.sparkSession.sparkContext.broadcast((terms, np.ascontiguousarray(aims.T), masks, tails, bench.ids, mass))
 
     def check(words: np.ndarray, item: int, low: int, high: int) -> tuple[float, bool, int] | None:
@@ -260,12 +270,15 @@ def _leaks(docs: DataFrame, bench: Benchmark, least_cosine: float) -> DataFrame:
         best = None
         # a window at a time, so that scattered common words do not add up to a match
         reach = length + length // 2
-        for s in range(0, max(1, len(part) - reach + STRIDE), max(STRIDE, length // 4)):
+        final = max(0, len(part) - reach)
+        for s in [*range(0, final, max(STRIDE, length // 4)), final]:
             window = part[s : s + reach]
             share = lcs(own, length, window) / length
-            if share >= PARAPHRASE_COVERAGE and (best is None or share > best[0]):
-                best = (share, lcs(end, tail, window) >= 0.75 * tail, a + s)
-        return best if best and (best[0] >= LEAST_COVERAGE or best[1]) else None
+            if share >= PARAPHRASE_COVERAGE and (best is None or share >= best[0]):
+                answer = lcs(end, tail, window) >= 0.75 * tail
+                if (share >= LEAST_COVERAGE or answer) and (best is None or (share, answer) > best[:2]):
+                    best = (share, answer, a + s)
+        return best
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, aims, masks, _, ids, mass = sent.value
