@@ -32,6 +32,8 @@ from .textvec import map_rows, utf8
 BITS = (8, 12, 14, 15)
 _STARTS = np.concatenate([[0], np.cumsum([1 << b for b in BITS])])
 PER_LANGUAGE, LANGUAGES, LANDMARKS, LONGEST, RIDGE, SHARPNESS = 300, 100, 256, 20_000, 1e-3, 8.0
+# Texts are rejected below the score that this share of rightly answered held-out rows, LEAST_ROWS at least, falls short of.
+REJECTED, LEAST_ROWS = 1e-4, 30
 _ROWS = 96
 
 _FOLD = np.full(256, 0x20, np.uint8)
@@ -167,7 +169,26 @@ def held_out_languages(docs: DataFrame) -> DataFrame:
     return predict(docs.select("doc_id", "text", held.alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def least_score(docs: DataFrame, rejected: float = REJECTED, least_rows: int = LEAST_ROWS) -> float:
+    """The score that a share ``rejected`` of rightly answered held-out rows falls short of; 0 if fewer than ``least_rows`` are at hand."""
+    held = F.coalesce(fold_of("doc_id", 4) == 2, F.lit(False))
+    model = train(docs.where(~held))
+    if len(model.labels) < 2:
+        return 0.0
+    tested = predict(docs.where(held & F.col("lang").isNotNull()).select("text", "lang"), model)
+    found = tested.where(F.col("lang_pred") == F.col("lang")).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("score", rejected, 10_000).alias("low")).first()
+    return float(found["low"]) if found["n"] >= least_rows else 0.0
+
+
 def identified(docs: DataFrame) -> DataFrame:
-    """``docs`` without the documents of which no language can be told (null texts and texts without a letter)."""
+    """``docs`` without the documents of which no language can be told.
+
+    Those are null texts, texts without a letter, and texts that the model scores below
+    ``least_score``. Where no language is learned, every text with a letter stays.
+    """
+    columns = [F.col(f"`{c}`") for c in docs.columns]
     model = train(docs)
-    return predict(docs, model, lang_pred="_lang_pred", score="_score").where("_lang_pred != 'und'").select(*[F.col(f"`{c}`") for c in docs.columns])
+    if not model.labels:
+        return docs.where(F.col("text").rlike(r"\p{L}")).select(*columns)
+    least = least_score(docs)
+    return predict(docs, model, lang_pred="_lang_pred", score="_score").where((F.col("_lang_pred") != "und") & (F.col("_score") >= least)).select(*columns)

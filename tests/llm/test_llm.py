@@ -164,6 +164,15 @@ def test_language(spark):
     assert all(got[i]["lang_pred"] == rows[i][2] for i in range(60)) and got[60]["lang_pred"] == got[61]["lang_pred"] == "und"
 
 
+def test_language_stage(spark):
+    schema = "doc_id long, text string, lang string"
+    unlabelled = spark.createDataFrame([(0, "the house", None), (1, "12 !", None), (2, None, None), (3, "漢字", None)], schema)
+    assert sorted(r["doc_id"] for r in language.identified(unlabelled).collect()) == [0, 3]
+    rows = [(i, " ".join(("the house and water of this town" if i % 2 else "das haus und wasser in der stadt").split() * (2 + i % 3)), "en" if i % 2 else "de") for i in range(200)]
+    rows += [(200, "q", None), (201, "xq zj kv wp", None), (202, None, "en")]
+    assert sorted(r["doc_id"] for r in language.identified(spark.createDataFrame(rows, schema)).collect()) == list(range(200))
+
+
 def test_toxicity(spark):
     rows = [(i, ("you utter nitwit " if i % 3 == 0 else "") + " ".join(WORDS[i % 40 : i % 40 + 30])) for i in range(150)] + [(150, None)]
     labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(150)], "doc_id long, toxic int")
