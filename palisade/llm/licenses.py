@@ -115,10 +115,16 @@ def matches(text_words: np.ndarray, index: Index, found: list[tuple[int, int, in
         for diagonal in sorted({(place - at) // BAND for k, at, place in found if k == t}):
             shift = diagonal * BAND + BAND // 2
             low = max(0, shift - 2 * BAND)
-            part = text_words[low : max(0, shift) + len(template) + 2 * BAND]
-            matched, _, a, b = align(template, part, shift - low, 2 * BAND)
-            if matched >= least * len(template):
-                own.append((t, matched / len(template), low + a, low + b))
+            # what is left and right of a match may hold another one
+            parts = [(low, min(len(text_words), max(0, shift) + len(template) + 2 * BAND))]
+            while parts:
+                begin, end = parts.pop()
+                if end - begin < least * len(template):
+                    continue
+                matched, _, a, b = align(template, text_words[begin:end], shift - begin, 2 * BAND)
+                if matched and matched >= least * len(template):
+                    own.append((t, matched / len(template), begin + a, begin + b))
+                    parts += [(begin, begin + a), (begin + b, end)]
         taken: list[tuple[int, float, int, int]] = []
         for m in sorted(own, key=lambda x: (-x[1], x[2])):
             if all(m[3] <= o[2] or o[3] <= m[2] for o in taken):

@@ -5,6 +5,7 @@ import random
 import re
 from itertools import combinations
 
+import pyarrow as pa
 import pytest
 
 from palisade.llm import bpe, decontam, language, licenses, neardup, secret_scan, sentences, simhash, toxicity, warc
@@ -130,6 +131,19 @@ def test_licenses(spark):
     assert got == {(0, "apache-2.0", "Licensed under the Apache License, Version 2.0"), (1, "mit", "Released under the MIT license")}
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 12])
+@pytest.mark.parametrize("line", ["Released under the MIT License", "Licensed under CC BY-NC 4.0", "Licensed under the Apache License, Version 2.0"])
+def test_adjacent_licenses(n, line):
+    index = licenses.Index(licenses.TEMPLATES)
+    name = next(k for k, v in licenses.TEMPLATES.items() if v == line)
+    hashes, _, _, rows = licenses.tokens(*licenses.utf8(pa.array(["some words before\n" + (line + "\n") * n + "and after"])))
+    prints, place = licenses.winnow(hashes, rows)
+    found = [(int(index.row[e]), int(index.place[e]), int(p)) for h, p in zip(prints, place, strict=True) for e in (index.prints == h).nonzero()[0]]
+    width = len(index.words[index.names.index(name)])
+    got = [(a, b) for t, _, a, b in licenses.matches(hashes, index, found, licenses.LEAST_COVERAGE) if index.names[t] == name]
+    assert got == [(3 + width * i, 3 + width * (i + 1)) for i in range(n)]
+
+
 def test_decontamination(spark):
     item = "what is the capital of the small island state named after a volcano answer port marlin bay"
     bench = spark.createDataFrame([(7, item), (8, None), (9, "")], "item_id long, text string")
