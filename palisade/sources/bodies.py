@@ -223,13 +223,18 @@ def inflated(bodies: DataFrame, body: str = "body", encoding: str = "content_enc
         for coding in reversed([c for c in (x.strip().lower() for x in (codings or "").split(",")) if c not in ("", "identity")]):
             if coding not in ("gzip", "x-gzip", "deflate"):
                 return None
-            try:
-                press = zlib.decompressobj(-15 if coding == "deflate" else 31)
-                out = press.decompress(out) + press.flush()
-            except zlib.error:
-                return None
-            if not press.eof:
-                return None
+            parts, left = [], out
+            while left or not parts:
+                try:
+                    press = zlib.decompressobj(-15 if coding == "deflate" else 31)
+                    parts.append(press.decompress(left) + press.flush())
+                except zlib.error:
+                    return None
+                if not press.eof:
+                    return None
+                # a gzip body is one or more members, to its end
+                left = b"" if coding == "deflate" else press.unused_data
+            out = b"".join(parts)
         return out
 
     schema = T.StructType([*(f for f in bodies.schema.fields if f.name not in (body, "refused")), T.StructField(body, T.BinaryType()), T.StructField("refused", T.BooleanType())])

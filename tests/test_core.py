@@ -94,3 +94,14 @@ def test_stream_restore(spark, tmp_path):
     restore.restored_stream(chunks, vault, f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination(120)
     rows = spark.read.parquet(f"{tmp_path}/out").groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("seq", "restored"))).alias("r")).collect()
     assert {r["stream_id"]: "".join(x["restored"] for x in r["r"]) for r in rows} == {s: "to ann@corp.com and __PII_x end_" for s in ("s3", "s5")}
+
+
+def test_inflated_reads_all_members(spark):
+    import gzip
+
+    from palisade.sources import bodies
+
+    two = gzip.compress(b"first ") + gzip.compress(b"second")
+    df = spark.createDataFrame([(0, two, "gzip"), (1, two + b"x", "gzip"), (2, gzip.compress(b"one"), "gzip"), (3, b"", "gzip")], "i int, body binary, content_encoding string")
+    got = {r["i"]: (r["body"] and bytes(r["body"]), r["refused"]) for r in bodies.inflated(df).collect()}
+    assert got == {0: (b"first second", False), 1: (None, True), 2: (b"one", False), 3: (None, True)}
