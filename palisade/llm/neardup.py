@@ -7,17 +7,22 @@ one node from the start. Bands of registers find candidates, the joint likelihoo
 the registers' order relations estimates their similarity, and what may reach the
 threshold is verified on the full sets.
 
-Buckets are never expanded into pairs. First every member of a bucket meets the
-bucket's smallest id only; verified links make components. Buckets that then still hold
-several components are gone through in blocks inside tasks: what registers let be linked
-across components makes clusters, and the texts of a cluster meet in blocks, where the
-pairs across components are verified and only links leave. Links inside a component
+Buckets are never expanded into pairs. First every set meets one other, the smallest id
+in any of its buckets: what is verified is a forest, so n near copies make n links. Then
+the members of buckets that still hold several components meet the bucket's smallest id.
+Buckets mixed even then are gone through in blocks inside tasks: what registers let be
+linked across components makes clusters, and the texts of a cluster meet in blocks, where
+the pairs across components are verified and only links leave. Links inside a component
 cannot change it, so nothing is lost but what no band finds: with 32 bands of 4, less
-than 1e-10 of pairs at a similarity of 0.85, 5e-8 at 0.8.
+than 1e-10 of pairs at a similarity of 0.85, 5e-8 at 0.8. Texts that are alike but not
+near enough to be linked (a cluster of m components) cost m * m comparisons of registers,
+spread over blocks.
 
 Defined cases: a null or empty text has no shingles and is linked with nothing; fewer
 words than k are one shingle, the whole sequence; rows with one doc_id are one node;
 a row with a null doc_id is linked with nothing, its component is null and it is kept.
+Very long texts are hashed whole, in a run of their own. Other columns, whatever their
+names, are not looked at; ``keep_one`` returns them as they are.
 """
 
 from __future__ import annotations
@@ -27,17 +32,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .graph import components
+from .bits import bit_map, flagged, fresh
+from .graph import Forest, components, flattened
 from .staging import stage
 from .textvec import map_rows, mix, runs, shingles, slices, utf8, words
 
 REGISTERS, BANDS = 128, 32
 BASE, SHIFT = 1.01, 400
-BLOCK = 512
+BLOCK, BLOCK_BYTES = 512, 8 << 20
 _MULTIPLIERS = np.random.default_rng(7).integers(1, 2**63, REGISTERS, dtype=np.int64).astype(np.uint64) | np.uint64(1)
 _BAND_MULTIPLIERS = np.random.default_rng(8).integers(1, 2**63, (BANDS, REGISTERS // BANDS), dtype=np.int64).astype(np.uint64) | np.uint64(1)
 
@@ -148,29 +154,9 @@ def _near(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """The (doc_id, text) rows of ``docs`` whose id may be in ``ids``; a few others pass too.
-
-    A bit map of fixed size (2**26 bits) tells which hashes of ids occur, so the texts
-    of all other documents need no shuffle.
-    """
-    bits = 1 << 26
-    slot = F.pmod(F.xxhash64(F.col("id")), F.lit(bits))
-    maps = ids.select((slot + 1).alias("s")).groupBy(F.bitmap_bucket_number("s").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("m"))
-    wanted = np.zeros(bits, bool)
-    for r in maps.toLocalIterator():
-        own = np.unpackbits(np.frombuffer(r["m"], np.uint8), bitorder="little")
-        start = (r["k"] - 1) * len(own)
-        wanted[start : start + len(own)] = own[: max(0, bits - start)]
-    packed = docs.sparkSession.sparkContext.broadcast(np.packbits(wanted))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = packed.value
-        for batch in batches:
-            s = batch.column("s").to_numpy()
-            yield batch.filter(pa.array((table[s >> 3] >> (7 - (s & 7)).astype(np.uint8)) & 1 == 1)).select(["doc_id", "text"])
-
-    hashed = docs.where("doc_id IS NOT NULL").select("doc_id", "text", F.pmod(F.xxhash64(F.col("doc_id")), F.lit(bits)).alias("s"))
-    return hashed.mapInArrow(run, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())]))
+    """The (doc_id, text) rows of ``docs`` whose id may be in ``ids``; a few others pass too, but the texts of most need no shuffle."""
+    marked = flagged(docs.where("doc_id IS NOT NULL").select("doc_id", "text"), bit_map(ids, "id"), [F.col("doc_id")], "wanted")
+    return marked.where("wanted").select("doc_id", "text")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -208,27 +194,9 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
     return placed.mapInArrow(run, "a long, b long")
 
 
-class _Forest:
-    """Union-find over the ids of one block."""
-
-    def __init__(self):
-        self.up: dict[int, int] = {}
-
-    def root(self, x: int) -> int:
-        while (y := self.up.get(x, x)) != x:
-            self.up[x] = x = self.up.get(y, y)
-        return x
-
-    def union(self, x: int, y: int) -> bool:
-        x, y = self.root(x), self.root(y)
-        self.up[max(x, y)] = min(x, y)
-        return x != y
-
-
-def _blocks(members: DataFrame, key: str, extra: list[str]) -> DataFrame:
-    """``members`` dealt so that any two rows of a key meet in one (key, i, j) group of two blocks at most."""
-    count = F.ceil(F.col("m") / BLOCK).cast("int")
-    own = members.withColumn("blocks", count).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+def _blocks(members: DataFrame, key: str, blocks: Column, extra: list[str]) -> DataFrame:
+    """``members`` dealt so that any two rows of a key meet in one (key, i, j) group of two blocks at most, of ``blocks`` in all."""
+    own = members.withColumn("blocks", F.ceil(blocks).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.select(key, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "n", "sketch", *extra)
     return met.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")
@@ -256,19 +224,19 @@ def possible_forest(members: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(batches, ["band", "i", "j"]):
-            ids, forest, edges = group.column("id").to_numpy(), _Forest(), []
+            ids, forest, edges = group.column("id").to_numpy(), Forest(), []
             for x, y in _possible(group, percent):
                 edges += [(int(ids[x]), b) for b in ids[y].tolist() if forest.union(int(ids[x]), b)]
             yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return _blocks(members, "band", []).mapInArrow(run, "a long, b long").distinct()
+    return _blocks(members, "band", F.col("m") / BLOCK, []).mapInArrow(run, "a long, b long").distinct()
 
 
 def verified_across(members: DataFrame, k: int, percent: int) -> DataFrame:
     """Links between components within a cluster, verified on full sets in blocks.
 
-    ``members`` has cluster, id, component, n, sketch, text and m, the cluster's size. A
-    block skips pairs whose components it has linked already.
+    ``members`` has cluster, id, component, n, sketch, text and the cluster's size, m rows
+    and bytes of text. A block skips pairs whose components it has linked already.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,7 +250,7 @@ def verified_across(members: DataFrame, k: int, percent: int) -> DataFrame:
                     sets[row] = np.unique(shingles(hashes, first, k)[0])
                 return sets[row]
 
-            forest, links = _Forest(), []
+            forest, links = Forest(), []
             for x, ys in _possible(group, percent):
                 for y in ys.tolist():
                     a, b = int(comp[x]), int(comp[y])
@@ -291,46 +259,82 @@ def verified_across(members: DataFrame, k: int, percent: int) -> DataFrame:
                         links.append((int(ids[x]), int(ids[y])))
             yield pa.RecordBatch.from_arrays([pa.array([e[c] for e in links], pa.int64()) for c in (0, 1)], names=["a", "b"])
 
-    return _blocks(members, "cluster", ["text"]).mapInArrow(run, "a long, b long").distinct()
+    return _blocks(members, "cluster", F.greatest(F.col("m") / (4 * BLOCK), F.col("bytes") / BLOCK_BYTES), ["text"]).mapInArrow(run, "a long, b long").distinct()
+
+
+def _relabelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """``rows`` whose ``component`` is carried on by (id, component) rows of ``labels``."""
+    below = labels.select(F.col("id").alias("component"), F.col("component").alias("root"))
+    return rows.join(below, "component", "left").withColumn("component", F.coalesce("root", "component")).drop("root").select(*rows.columns)
+
+
+def _mixed(named: DataFrame) -> DataFrame:
+    """The (band, id, component) rows of the buckets that hold several components, with hub (the bucket's smallest id and its component) and m."""
+    hubs = named.groupBy("band").agg(F.min(F.struct("id", "component")).alias("hub"), F.count(F.lit(1)).alias("m"), F.min("component").alias("x"), F.max("component").alias("y"))
+    return named.join(hubs.where("x <> y").select("band", "hub", "m"), "band")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of ``docs``."""
     plain = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sketched = stage(sketches(plain, k), "sketches")
-    sets = stage(sketched.where("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(
-        F.min("doc_id").alias("id"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n")), "sets")
+    full = sketched.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
+    sets = stage(full.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n")), "sets")
     banded = stage(bands(sets), "bands")
-    stars = banded.groupBy("band").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    stars = banded.groupBy("band").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("m")).where("m > 1").select("band", "a")
     shared = stage(banded.join(stars, "band"), "shared")
-    pairs = shared.where("id != a").select("a", F.col("id").alias("b")).distinct()
-    links = stage(verified(stage(likely(pairs, sets, percent), "likely"), plain, k, percent), "links")
-    # an id with several texts ties their sets together
-    owners = sketched.where("doc_id IS NOT NULL").join(sets.select("set_key", "id"), "set_key").select("doc_id", "id")
-    several = owners.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("doc_id", "a")
-    links = links.union(stage(owners.join(several, "doc_id").where("id != a").select("a", F.col("id").alias("b")), "ties"))
-    labels = components(links)
-    named = stage(shared.where("m > 2").join(labels, "id", "left").select("band", "id", "m", F.coalesce("component", "id").alias("component")), "named")
-    mixed = named.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("band")
-    rest = stage(named.join(mixed, "band").join(sets.select("id", "n", "sketch"), "id"), "mixed")
+
+    # one pair a set: with the smallest id that any of its buckets holds. What is confirmed is a forest
+    first = stage(shared.where("id <> a").groupBy(F.col("id").alias("b")).agg(F.min("a").alias("a")).select("a", "b"), "first")
+    trees = verified(stage(likely(first, sets, percent), "likely"), plain, k, percent)
+    labels = stage(flattened(trees.select(F.col("b").alias("id"), F.col("a").alias("up"))).withColumnRenamed("root", "component"), "labels")
+    found = [labels]
+
+    # then with the hubs of the buckets that still hold several components; an id with several texts ties their sets together
+    named = stage(_relabelled(shared.select("band", "id", F.col("id").alias("component")), labels), "named")
+    mixed = stage(_mixed(named), "mixed")
+    pairs = mixed.where("component <> hub.component").select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    links = verified(stage(likely(pairs, sets, percent), "likely"), plain, k, percent)
+    several = full.groupBy("doc_id").agg(F.min("set_key").alias("x"), F.max("set_key").alias("y")).where("x <> y").select("doc_id")
+    owned = stage(full.join(several, "doc_id").select("doc_id", "set_key").join(sets.select("set_key", "id"), "set_key").select("doc_id", "id"), "owned")
+    ties = owned.join(owned.groupBy("doc_id").agg(F.min("id").alias("a")), "doc_id").where("id <> a").select("a", F.col("id").alias("b"))
+    links = stage(links.union(ties), "links")
+    ends = _relabelled(_relabelled(links.select("a", F.col("b").alias("component")), labels).select(F.col("component").alias("b"), F.col("a").alias("component")), labels)
+    found.append(stage(components(ends.select(F.col("component").alias("a"), "b")), "labels"))
+
+    # what no hub settled: across the components of a bucket in blocks, inside tasks
+    rest = stage(_mixed(_relabelled(mixed.select("band", "id", "component"), found[1])).join(sets.select("id", "n", "sketch"), "id"), "mixed")
     edges = stage(possible_forest(rest, percent), "edges")
     if not edges.isEmpty():
         clusters = stage(components(edges).select("id", F.col("component").alias("cluster")), "clusters")
-        sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"))
         facts = rest.select("id", "component", "n", "sketch").dropDuplicates(["id"])
-        members = clusters.join(facts, "id").join(texts_of(clusters, plain).select(F.col("doc_id").alias("id"), "text"), "id").join(sizes, "cluster")
-        more = stage(verified_across(members, k, percent), "links")
-        if not more.isEmpty():
-            labels = components(links.union(more))
-    root = sets.join(labels, "id", "left").select("set_key", F.coalesce("component", "id").alias("component_id"))
-    named = sketched.join(root, "set_key", "left")
-    component = F.coalesce("component_id", "doc_id")
-    return named.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+        members = stage(clusters.join(facts, "id").join(texts_of(clusters, plain).select(F.col("doc_id").alias("id"), "text"), "id"), "members")
+        sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"), F.sum(F.octet_length("text")).alias("bytes"))
+        found.append(stage(components(verified_across(members.join(sizes, "cluster"), k, percent)), "labels"))
+
+    nodes = sets.select("set_key", F.col("id").alias("component"))
+    for step in found:
+        nodes = _relabelled(nodes, step)
+    none = F.lit(None).cast("long")
+    rows = sketched.where("set_key IS NOT NULL").join(nodes.select("set_key", F.col("component").alias("root")), "set_key", "left").select("doc_id", "n_shingles", "root")
+    rows = rows.union(sketched.where("set_key IS NULL").select("doc_id", "n_shingles", none))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
+    return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without the documents whose component has a smaller doc_id; of rows with one doc_id, one stays (the one with the lowest hash of its text)."""
-    kept = near_duplicates(docs, k, percent).where("kept").select("doc_id").distinct()
+    """``docs`` without the documents whose component has a smaller doc_id; of rows with one doc_id, one stays (the one with the lowest hash of its text).
+
+    Rows without a doc_id stay. Only rows that may be dropped are shuffled.
+    """
+    made = stage(near_duplicates(docs, k, percent), "near")
+    per_id = made.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.bool_or("kept").alias("kept"))
+    suspects = stage(per_id.where("n > 1 OR NOT kept"), "suspects")
+    flag, nth = fresh("suspect", docs.columns), fresh("nth", docs.columns)
+    marked = flagged(docs, bit_map(suspects, "doc_id"), [F.col("doc_id").cast("long")], flag)
     same = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    once = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").withColumn("_nth", F.row_number().over(same)).where("_nth = 1").drop("_nth")
-    return once.unionByName(docs.where("doc_id IS NULL"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    dropped = suspects.where("NOT kept").select(F.col("doc_id").alias(flag))
+    rows = marked.where(F.col(flag) & F.col("doc_id").isNotNull()).select(*columns)
+    once = rows.join(dropped, F.col("doc_id").cast("long") == F.col(flag), "left_anti").withColumn(nth, F.row_number().over(same)).where(F.col(nth) == 1)
+    return once.select(*columns).union(marked.where(~F.col(flag) | F.col("doc_id").isNull()).select(*columns))
