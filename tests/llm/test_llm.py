@@ -8,7 +8,7 @@ from itertools import combinations
 import pyarrow as pa
 import pytest
 
-from palisade.llm import bpe, decontam, language, licenses, neardup, secret_scan, sentences, simhash, toxicity, warc
+from palisade.llm import bpe, decontam, language, licenses, neardup, secret_scan, sentences, simhash, toxicity
 
 WORDS = [f"w{i}x" for i in range(400)]
 
@@ -197,16 +197,6 @@ def test_toxicity(spark):
     assert sum(a > b for a, b in pairs) > 0.9 * len(pairs)
 
 
-def test_warc(spark):
-    big = "é\r\n\r\nWARC/1.1\r\n" * 100
-    rows = [(1, "http://b.a.org/x?q=1", big), (2, None, big), (3, "http://c.a.org", None), (4, "u", "small"), (5, "u", "small")]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    got = {r["page_id"]: tuple(r)[1:] for r in warc.round_trip(pages).collect()}
-    sha = hashlib.sha1(big.encode()).hexdigest()
-    assert got[1] == (len(big.encode()), sha, "revisit", 2) and got[2] == (len(big.encode()), sha, "response", None)
-    assert got[3] == (0, hashlib.sha1(b"").hexdigest(), "response", None) and got[5][2] == got[4][2] == "response"
-
-
 def test_empty_tables(spark):
     docs = frame(spark, []).select("doc_id", "text")
     assert neardup.near_duplicates(docs).count() == 0 and sentences.cleaned(docs).count() == 0 and licenses.scan(docs).count() == 0
