@@ -7,19 +7,24 @@ that one class has hardly seen is judged by what both have. A text's score is th
 difference per byte of its two log-likelihoods, made a probability by an isotonic curve
 fitted on labelled rows that the models have not counted.
 
-Counts, continuation counts and backoff weights stay distributed and exact. What goes
-to the tasks is a table of fixed size: the log ratio of each 5-gram and of each
-context's backoff weights, addressed by hash (2**22 and 2**20 floats, 20 MB at any
-input); where two entries meet, the more frequent stays. With a shared backoff the
-ratio of an unseen 5-gram is that of its context's weights, and of an unseen context 0.
+Counts, continuation counts and backoff weights stay distributed and exact, and so does
+every score. Tasks get two tables of fixed size (48 and 12 MB at any input) in which an
+n-gram stands with its key; where two meet, the more frequent stays and the other tries
+the second table. N-grams that found no room in either, and such contexts, are known by a
+bit map; the few of each text that may be among them are looked up by a join. With a
+shared backoff the ratio of an unseen 5-gram is that of its context's weights, and of an
+unseen context 0.
 
 Defined cases: a null or empty text scores the ratio 0; a document labelled more than
 once is toxic if any label says so; null labels are none; without labels of both kinds
-every score is the share of toxic labels (0 without labels).
+every score is the share of toxic labels (0 without labels); an empty table gives no
+rows; equal texts get equal scores; very long texts are counted and scored whole, in a run
+of their own; other columns are not looked at.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,12 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .bits import bit_map, flagged
 from .language import fold_of
 from .staging import stage
 from .textvec import map_rows, mix, slices, utf8
 
 ORDER = 5
-GRAM_BITS, CONTEXT_BITS = 22, 20
+GRAM_BITS, CONTEXT_BITS, REST_BITS = (22, 20), (20, 18), 24
 DISCOUNT = 0.75
 SHARED_WEIGHT = 100.0
 LENGTH_PRIOR = 100
@@ -70,8 +76,8 @@ def grams(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return packed[np.repeat(starts - pad - first[:-1], lengths + 1) + np.arange(first[-1])], first
 
 
-def _slot(x: np.ndarray, bits: int) -> np.ndarray:
-    return (mix(x.astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+def _slot(x: np.ndarray, bits: int, level: int = 0) -> np.ndarray:
+    return (mix(x.astype(np.uint64) + np.uint64(level * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def count_grams(labelled: DataFrame) -> DataFrame:
@@ -125,19 +131,49 @@ def shared_backoff(counts: DataFrame, discount: float = DISCOUNT) -> DataFrame:
     return q
 
 
+class Table:
+    """Ratios of keys that have room in arrays of fixed size, and which other keys there may be."""
+
+    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]], rest: np.ndarray):
+        self.levels, self.rest = levels, rest
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The keys' ratios (not a number where there is none here) and whether the rest may have them."""
+        out = np.full(len(keys), np.nan)
+        left = np.arange(len(keys))
+        for level, (own, ratio) in enumerate(self.levels):
+            at = _slot(keys[left], len(own).bit_length() - 1, level)
+            same = own[at] == keys[left]
+            out[left[same]] = ratio[at[same]]
+            left = left[~same]
+        maybe = np.zeros(len(keys), bool)
+        at = _slot(keys[left], REST_BITS, len(self.levels))
+        maybe[left] = (self.rest[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+        return out, maybe
+
+
 class Ratios:
-    """Log ratios of 5-grams and of contexts' backoff weights, addressed by hash."""
+    """Log ratios of 5-grams and of contexts' backoff weights: tables for the tasks, frames (g, r) and (x, w) for the rest."""
 
-    def __init__(self, gram: np.ndarray, context: np.ndarray, prior: int = LENGTH_PRIOR):
-        self.gram, self.context, self.prior = gram, context, prior
+    def __init__(self, gram: Table, context: Table, grams: DataFrame, contexts: DataFrame):
+        self.tables, self.grams, self.contexts = (gram, context), grams, contexts
 
-    def means(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Mean log-likelihood difference per byte of each text, as if ``prior`` bytes without any stood before it."""
-        packed, first = grams(buf, offsets)
-        found = self.gram[_slot(packed, GRAM_BITS)]
-        unseen = np.flatnonzero(np.isnan(found))
-        found[unseen] = self.context[_slot(packed[unseen] >> 8, CONTEXT_BITS)]
-        return np.add.reduceat(found.astype(np.float64), first[:-1]) / (np.diff(first) + self.prior) if len(first) > 1 else np.zeros(0)
+
+def sums(tables: tuple[Table, Table], buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[list[tuple[int, int]]]]:
+    """Each text's summed ratios and number of 5-grams, and the (5-gram, count) rows that only the whole tables can tell."""
+    gram, context = tables
+    packed, first = grams(buf, offsets)
+    found, opened = gram.find(packed)
+    unseen = np.flatnonzero(np.isnan(found) & ~opened)
+    found[unseen], more = context.find(packed[unseen] >> 8)
+    opened[unseen] = more
+    opened &= np.isnan(found)
+    found[np.isnan(found)] = 0.0
+    row = np.searchsorted(first, np.flatnonzero(opened), side="right") - 1
+    late: list[list[tuple[int, int]]] = [[] for _ in range(len(first) - 1)]
+    for r in np.unique(row).tolist():
+        late[r] = list(zip(*(x.tolist() for x in np.unique(packed[np.flatnonzero(opened)[row == r]], return_counts=True)), strict=True))
+    return np.add.reduceat(found, first[:-1]) if len(first) > 1 else np.zeros(0), np.diff(first), late
 
 
 def train(labelled: DataFrame, discount: float = DISCOUNT, shared: float = SHARED_WEIGHT) -> Ratios:
@@ -154,34 +190,55 @@ def train(labelled: DataFrame, discount: float = DISCOUNT, shared: float = SHARE
     rows = rows.join(by_context, "x").join(shared_backoff(counts, discount).select(F.col("g").alias("y"), "q"), "y")
     pooled = (F.col("t") + F.col("o") - discount + discount * kinds * F.col("q")) / total
     ratio = F.log(own["t"] + weight["t"] * pooled) - F.log(own["o"] + weight["o"] * pooled)
-    return Ratios(
-        _table(rows.select("g", ratio.alias("r"), (F.col("t") + F.col("o")).alias("n")), GRAM_BITS, np.nan),
-        _table(by_context.select(F.col("x").alias("g"), (F.log(weight["t"]) - F.log(weight["o"])).alias("r"), (F.col("n_t") + F.col("n_o")).alias("n")), CONTEXT_BITS, 0.0),
-    )
-
+    every = stage(rows.select("g", ratio.alias("r"), (F.col("t") + F.col("o")).alias("n")), "ratios")
+    contexts = stage(by_context.select(F.col("x").alias("g"), (F.log(weight["t"]) - F.log(weight["o"])).alias("r"), (F.col("n_t") + F.col("n_o")).alias("n")), "contexts")
+    return Ratios(_table(every, GRAM_BITS), _table(contexts, CONTEXT_BITS), every.select("g", "r"), contexts.select(F.col("g").alias("x"), F.col("r").alias("w")))
 
-def _table(rows: DataFrame, bits: int, empty: float) -> np.ndarray:
-    """(g, r, n) rows as an array of 2**bits floats; at most one row a slot reaches the driver."""
 
-    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(_slot(b.column("g").to_numpy(), bits)), b.column("g"), b.column("r"), b.column("n")], names=["s", "g", "r", "n"])
+def _table(rows: DataFrame, bits: tuple[int, ...]) -> Table:
+    """(g, r, n) rows as arrays of 2**bits slots; at most one row a slot, and the words of a bit map, reach the driver."""
 
-    best = rows.mapInArrow(slots, "s long, g long, r double, n long").groupBy("s").agg(F.max(F.struct("n", "g", "r"))["r"].cast("float").alias("r"))
-    table = np.full(1 << bits, empty, np.float32)
-    found = best.toArrow()
-    table[found.column("s").to_numpy()] = found.column("r").to_numpy()
-    return table
+    def slotted(left: DataFrame, size: int, level: int) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array(_slot(b.column("g").to_numpy(), size, level)), *b.columns], names=["s", "g", "r", "n"])
 
+        return left.select("g", "r", "n").mapInArrow(run, "s long, g long, r double, n long")
 
-def raw_scores(df: DataFrame, model: Ratios, keep: list[str], text: str = "text") -> DataFrame:
-    """The ``keep`` columns and ``raw``, the mean difference per byte of every whole text."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    levels = []
+    for level, size in enumerate(bits):
+        placed = slotted(rows, size, level)
+        best = stage(placed.groupBy("s").agg(F.max(F.struct("n", "g", "r")).alias("b")).select("s", "b.g", "b.r"), "slots")
+        found = best.toArrow()
+        own, ratio = np.full(1 << size, -1, np.int64), np.zeros(1 << size, np.float32)
+        own[found.column("s").to_numpy()], ratio[found.column("s").to_numpy()] = found.column("g").to_numpy(), found.column("r").to_numpy()
+        levels.append((own, ratio))
+        rows = stage(rows.join(best.select("g"), "g", "left_anti"), "rest")
+    words = slotted(rows, REST_BITS, len(bits)).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("s") % 64).cast("int"))).alias("b")).toArrow()
+    rest = np.zeros(1 << REST_BITS - 6, np.uint64)
+    rest[words.column("w").to_numpy()] = words.column("b").to_numpy().view(np.uint64)
+    return Table(levels, rest)
+
+
+def raw_scores(df: DataFrame, model: Ratios, keep: list[str], text: str = "text", prior: int = LENGTH_PRIOR) -> DataFrame:
+    """The ``keep`` columns and ``raw``, the mean difference per byte of every whole text, as if ``prior`` bytes without any stood before it."""
+    shared = df.sparkSession.sparkContext.broadcast(model.tables)
+    kind = T.ArrayType(T.StructType([T.StructField("g", T.LongType()), T.StructField("n", T.LongType())]))
 
     def make(part: pa.RecordBatch):
-        return (shared.value.means(*utf8(part.column("s0"))),)
+        buf, offsets = utf8(part.column("s0"))
+        total, size, late = sums(shared.value, buf, offsets)
+        names = [hashlib.blake2b(buf[offsets[i] : offsets[i + 1]].tobytes(), digest_size=16).digest() if x else None for i, x in enumerate(late)]
+        return total, size, names, [[{"g": g, "n": n} for g, n in x] if x else None for x in late]
 
-    return map_rows(df, keep, [text], {"raw": T.DoubleType()}, make)
+    made = stage(map_rows(df, keep, [text], {"_sum": T.DoubleType(), "_size": T.LongType(), "_name": T.BinaryType(), "_late": kind}, make), "sums")
+    # equal texts are looked up once; an n-gram has one row a text at most
+    asked = made.where("_name IS NOT NULL").groupBy("_name").agg(F.first("_late").alias("late")).select("_name", F.explode("late").alias("l")).select("_name", "l.g", "l.n")
+    told = asked.join(model.grams, "g", "left").withColumn("x", F.shiftright("g", 8)).join(model.contexts, "x", "left")
+    more = told.groupBy("_name").agg(F.sum(F.col("n") * F.coalesce("r", "w", F.lit(0.0))).alias("_more"))
+    kept = [F.col(f"`{k}`") for k in keep]
+    late = made.where("_name IS NOT NULL").join(more, "_name").select(*kept, ((F.col("_sum") + F.col("_more")) / (F.col("_size") + prior)).alias("raw"))
+    return made.where("_name IS NULL").select(*kept, (F.col("_sum") / (F.col("_size") + prior)).alias("raw")).union(late)
 
 
 class Curve:
@@ -213,9 +270,13 @@ def held_out_scores(docs: DataFrame, labels: DataFrame, held_fold: int = 0, curv
 
     Labels of ``held_fold`` are never read; those of ``curve_fold`` fit the curve only.
     """
+    docs, labels = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic")
     fold = fold_of("doc_id", folds)
     known = labels.where((fold != held_fold) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
-    counted = docs.where((fold != held_fold) & (fold != curve_fold) & (F.length("text") > 0)).select("doc_id", "text").join(known, "doc_id").select("text", "toxic")
+    known = stage(known.where("doc_id IS NOT NULL"), "known")
+    # only labelled texts are shuffled, and by the same plan at any size
+    texts = flagged(docs.where((fold != held_fold) & (fold != curve_fold) & (F.length("text") > 0)).select("doc_id", "text"), bit_map(known, "doc_id"), [F.col("doc_id")], "labelled")
+    counted = texts.where("labelled").join(known.hint("merge"), "doc_id").select("text", "toxic")
     model = train(counted)
     raw = stage(raw_scores(docs.select("doc_id", "text"), model, ["doc_id"]), "raw")
     tuned = raw.where(fold == curve_fold).join(known, "doc_id")

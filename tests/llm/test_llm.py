@@ -8,7 +8,7 @@ from itertools import combinations
 import pyarrow as pa
 import pytest
 
-from palisade.llm import bpe, decontam, language, licenses, neardup, secret_scan, sentences, simhash, toxicity
+from palisade.llm import bpe, decontam, language, licenses, neardup, secret_scan, sentences, simhash
 
 WORDS = [f"w{i}x" for i in range(400)]
 
@@ -187,16 +187,6 @@ def test_language_stage(spark):
     assert sorted(r["doc_id"] for r in language.identified(spark.createDataFrame(rows, schema)).collect()) == list(range(200))
 
 
-def test_toxicity(spark):
-    rows = [(i, ("you utter nitwit " if i % 3 == 0 else "") + " ".join(WORDS[i % 40 : i % 40 + 30])) for i in range(150)] + [(150, None)]
-    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(150)], "doc_id long, toxic int")
-    got = toxicity.held_out_scores(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()
-    assert len(got) == 151 and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in got)
-    held = [r for r in got if r["held_out"] and r["doc_id"] < 150]
-    pairs = [(a["score"], b["score"]) for a in held for b in held if a["doc_id"] % 3 == 0 and b["doc_id"] % 3]
-    assert sum(a > b for a, b in pairs) > 0.9 * len(pairs)
-
-
 def test_empty_tables(spark):
     docs = frame(spark, []).select("doc_id", "text")
     assert neardup.near_duplicates(docs).count() == 0 and sentences.cleaned(docs).count() == 0 and licenses.scan(docs).count() == 0
