@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,3 +39,19 @@ def fresh(name: str, taken: list[str]) -> str:
     while name.lower() in low:
         name = f"_{name}"
     return name
+
+
+def key_bits(rows: DataFrame, key: str, bits: int = 26) -> np.ndarray:
+    """The top ``bits`` bits of evenly hashed 64-bit keys that occur, as 64-bit words: 8 MB for 26 bits, whatever the input."""
+    slot = F.shiftrightunsigned(key, 64 - bits)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int"))
+    found = rows.groupBy(F.shiftright(slot, 6).alias("w")).agg(F.bit_or(bit).alias("b")).toArrow()
+    words = np.zeros(1 << bits - 6, np.uint64)
+    words[found.column("w").to_numpy()] = found.column("b").to_numpy().view(np.uint64)
+    return words
+
+
+def has_bits(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys (64-bit hashes) may be among those of ``key_bits``."""
+    slot = keys.astype(np.uint64) >> np.uint64(64 - (len(words).bit_length() - 1 + 6))
+    return (words[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1

@@ -6,10 +6,15 @@ A fingerprint has a set bit where the votes are positive: equal texts have equal
 
 The search cuts fingerprints into radius + 2 blocks and keeps a table for every two of
 them: two fingerprints within the radius differ in at most ``radius`` blocks, so at least
-one table holds them under the same key. Nothing is missed, whatever the radius.
+one table holds them under the same key. Nothing is missed, whatever the radius. A pair is
+taken from the first table that has it. The rows under a key are split into ``PARTS`` and
+its queries into blocks of ``MOST_QUERIES``, so a key that many near copies share is no
+task's alone; a bit map of the queries' keys keeps the other rows from being shuffled.
 
 Defined cases: a null text counts as empty and a text without words has fingerprint 0;
-rows with one doc_id are ordered by the hash of their text; a null doc_id comes first.
+rows with one doc_id are ordered by the hash of their text; a null doc_id comes first and
+is no query of the search; an empty table gives no rows; a very long text is fingerprinted
+whole, in a run of its own; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -24,10 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .bits import has_bits, key_bits
+from .staging import stage
 from .textvec import map_rows, mix, shingles, slices, utf8, words
 
 BITS = 256
+RADIUS = 6  # production radius of the search: 28 tables
 LONG = 9
+PARTS, MOST_QUERIES = 64, 4096
 _SEEDS = np.random.default_rng(11).integers(1, 2**63, BITS // 64, dtype=np.int64).astype(np.uint64)
 _CHUNK = 1 << 13
 
@@ -72,39 +81,130 @@ def fingerprint(df: DataFrame, text: str = "text", name: str = "fingerprint") ->
     return map_rows(df, [c for c in df.columns if c != name], [text], {name: T.StringType()}, make)
 
 
-def _keyed(df: DataFrame, tables: list[tuple[int, int]], edges: list[int]) -> DataFrame:
-    """t, k, fp: each fingerprint under its key of every table."""
+def _blocks(prints: np.ndarray, radius: int) -> np.ndarray:
+    """radius + 2 blocks of each fingerprint's bits, as 64-bit hashes: equal blocks have equal ones."""
+    edges = [round(i * BITS / (radius + 2)) for i in range(radius + 3)]
+    bits, out = np.unpackbits(prints, axis=1), np.zeros((len(prints), radius + 2), np.uint64)
+    for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+        padded = np.zeros((len(prints), -(-(b - a) // 64) * 64), np.uint8)
+        padded[:, : b - a] = bits[:, a:b]
+        for word in np.packbits(padded, axis=1).view(np.uint64).T:
+            out[:, i] = mix(out[:, i] * np.uint64(0x9E3779B97F4A7C15) + word)
+    return out
+
+
+def _prints(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BITS // 8)
+
+
+def _keyed(df: DataFrame, radius: int, wanted: np.ndarray | None = None) -> DataFrame:
+    """k, t and the columns of ``df``: each fingerprint ``fp`` under its key of every table, without the keys that ``wanted`` surely lacks."""
+    names, pairs = df.columns, list(combinations(range(radius + 2), 2))
+    sent = df.sparkSession.sparkContext.broadcast(wanted) if wanted is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                blocks = _blocks(_prints(part.column("fp")), radius)
+                for t, (i, j) in enumerate(pairs):
+                    k = mix(mix(blocks[:, i] + np.uint64(2 * t + 1)) ^ blocks[:, j])
+                    rows = np.arange(len(k)) if sent is None else np.flatnonzero(has_bits(sent.value, k))
+                    if len(rows):
+                        yield pa.RecordBatch.from_arrays([pa.array(k[rows].view(np.int64)), pa.array(np.full(len(rows), t, np.int32)), *(part.column(c).take(pa.array(rows)) for c in names)], names=["k", "t", *names])
+
+    return df.mapInArrow(run, T.StructType([T.StructField("k", T.LongType()), T.StructField("t", T.IntegerType()), *df.schema.fields]))
+
+
+def _met(queries: DataFrame, table: DataFrame, radius: int) -> DataFrame:
+    """k, t, part, block, side, fp and the table's columns: under each key, blocks of queries (side 0) before parts of the table (side 1)."""
+    asked = stage(_keyed(queries, radius), "queries")
+    own = [c for c in table.columns if c != "fp"]
+    held = stage(_keyed(table, radius, key_bits(asked, "k")).withColumn("part", F.pmod(F.xxhash64("fp"), F.lit(PARTS)).cast("int")), "table")
+    many = asked.groupBy("k").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > MOST_QUERIES)
+    blocks = F.coalesce(F.ceil(F.col("m") / MOST_QUERIES), F.lit(1))
+    split = asked.join(many, "k", "left").select("k", "t", F.pmod(F.xxhash64("fp"), blocks).cast("int").alias("block"), "fp")
+    placed = stage(split.join(held.select("k", "part").distinct(), "k"), "placed")
+    right = held.join(placed.select("k", "part", "block").distinct(), ["k", "part"])
+    left = placed.select("k", "t", "part", "block", F.lit(0).alias("side"), "fp", *[F.lit(None).cast(table.schema[c].dataType).alias(c) for c in own])
+    both = left.unionByName(right.select("k", "t", "part", "block", F.lit(1).alias("side"), "fp", *own))
+    return both.repartition("k", "part", "block").sortWithinPartitions("k", "part", "block", "side")
+
+
+def _close(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[tuple[np.ndarray, pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """Queries, table rows, and (query, row, distance) of the pairs within ``radius`` that no table before this one has."""
+    pairs = np.array(list(combinations(range(radius + 2), 2)))
+    mark, queries = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k, p, b, side, t = (batch.column(c).to_numpy() for c in ("k", "part", "block", "side", "t"))
+        change = np.flatnonzero((k[1:] != k[:-1]) | (p[1:] != p[:-1]) | (b[1:] != b[:-1]) | (side[1:] != side[:-1])) + 1
+        for low, high in zip([0, *change.tolist()], [*change.tolist(), batch.num_rows], strict=True):
+            if mark != (k[low], p[low], b[low]):
+                mark, queries = (k[low], p[low], b[low]), []
+            if side[low] == 0:
+                queries.append(_prints(batch.column("fp").slice(low, high - low)))
                 continue
-            hexes = batch.column("fp").to_pylist()
-            bits = np.unpackbits(np.frombuffer(bytes.fromhex("".join(hexes)), np.uint8).reshape(len(hexes), -1), axis=1)
-            blocks = [np.packbits(bits[:, a:b], axis=1) for a, b in zip(edges, edges[1:], strict=False)]
-            for t, (i, j) in enumerate(tables):
-                both = np.concatenate([blocks[i], blocks[j]], axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hexes), t, np.int32)), pa.array([x.tobytes() for x in both], pa.binary()), batch.column("fp")], names=["t", "k", "fp"])
-
-    return df.select("fp").mapInArrow(run, "t int, k binary, fp string")
+            own = np.concatenate(queries) if queries else np.zeros((0, BITS // 8), np.uint8)
+            step = max(1, (1 << 18) // max(len(own), 1))
+            for at in range(low, high, step):
+                part = batch.slice(at, min(step, high - at))
+                prints = _prints(part.column("fp"))
+                apart = np.bitwise_count(own.view(np.uint64)[:, None, :] ^ prints.view(np.uint64)[None, :, :]).sum(axis=2)
+                q, r = np.nonzero(apart <= radius)
+                same = np.cumsum(_blocks(own[q], radius) == _blocks(prints[r], radius), axis=1)
+                first = np.stack([(same == 1).argmax(axis=1), (same == 2).argmax(axis=1)], axis=1)
+                fits = (first == pairs[t[low]]).all(axis=1)
+                yield own, part, q[fits], r[fits], apart[q[fits], r[fits]]
 
 
 def within(queries: DataFrame, table: DataFrame, radius: int, name: str = "fingerprint") -> DataFrame:
     """query, found, distance: for every distinct fingerprint of ``queries`` all distinct ones of ``table`` within ``radius`` bits."""
-    sides = [df.select(F.col(name).alias("fp")).where("fp IS NOT NULL").distinct() for df in (queries, table)]
-    edges = [round(i * BITS / (radius + 2)) for i in range(radius + 3)]
-    tables = list(combinations(range(radius + 2), 2))
-    left, right = (_keyed(s, tables, edges) for s in sides)
-    pairs = left.withColumnRenamed("fp", "query").join(right.withColumnRenamed("fp", "found"), ["t", "k"]).select("query", "found").distinct()
+    sides = [df.select(F.unhex(F.col(name)).alias("fp")).where("fp IS NOT NULL").distinct() for df in (queries, table)]
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (np.frombuffer(bytes.fromhex("".join(batch.column(c).to_pylist())), np.uint8).reshape(batch.num_rows, -1) for c in ("query", "found"))
-            apart = np.bitwise_count(a ^ b).sum(axis=1).astype(np.int32) if batch.num_rows else np.zeros(0, np.int32)
-            ok = pa.array(apart <= radius)
-            yield pa.RecordBatch.from_arrays([batch.column("query").filter(ok), batch.column("found").filter(ok), pa.array(apart).filter(ok)], names=["query", "found", "distance"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own, part, q, r, apart in _close(batches, radius):
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes().hex() for x in own[q]], pa.string()), pa.array([x.hex() for x in part.column("fp").take(pa.array(r)).to_pylist()], pa.string()), pa.array(apart.astype(np.int32))], names=["query", "found", "distance"])
+
+    return _met(*sides, radius).mapInArrow(run, "query string, found string, distance int")
 
-    return pairs.mapInArrow(measure, "query string, found string, distance int")
+
+def counted_within(queries: DataFrame, table: DataFrame, radius: int, name: str = "fingerprint", key: str = "doc_id") -> DataFrame:
+    """``name``, n_rows, first: for every distinct fingerprint of ``queries`` how many rows of ``table`` are within ``radius`` bits, and their smallest ``key``; pairs never leave the tasks."""
+    asked = queries.select(F.unhex(F.col(name)).alias("fp")).where("fp IS NOT NULL").distinct()
+    held = table.select(F.unhex(F.col(name)).alias("fp"), F.col(key).cast("long").alias("key")).where("fp IS NOT NULL").groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("first"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[bytes, tuple[int, int | None]] = {}
+
+        def flushed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.binary()), pa.array([s[0] for s in sums.values()], pa.int64()), pa.array([s[1] for s in sums.values()], pa.int64())], names=["fp", "n", "first"])
+
+        for own, part, q, r, _ in _close(batches, radius):
+            n, first = part.column("n").to_numpy(), part.column("first").to_pylist()
+            for i in np.unique(q).tolist():
+                rows = r[q == i]
+                ids = [x for x in (first[j] for j in rows.tolist()) if x is not None]
+                total, least = sums.get(own[i].tobytes(), (0, None))
+                sums[own[i].tobytes()] = (total + int(n[rows].sum()), min([*ids, *([least] if least is not None else [])], default=None))
+            if len(sums) > 1 << 16:
+                yield flushed()
+                sums = {}
+        yield flushed()
+
+    made = _met(asked, held, radius).mapInArrow(run, "fp binary, n long, first long")
+    return made.groupBy("fp").agg(F.sum("n").alias("n_rows"), F.min("first").alias("first")).select(F.lower(F.hex("fp")).alias(name), "n_rows", "first")
+
+
+def neighbours(docs: DataFrame, radius: int = RADIUS, every: int = 100) -> DataFrame:
+    """``next_to`` of every document, and for those whose doc_id ``every`` divides n_within and first_within: how many other documents have fingerprints within ``radius`` bits, and the smallest doc_id of those and itself."""
+    made = stage(next_to(docs), "fingerprints")
+    asks = F.coalesce(F.col("doc_id") % every == 0, F.lit(False))
+    found = counted_within(made.where(asks), made, radius)
+    none = F.lit(None).cast("long")
+    told = made.where(asks).join(found, "fingerprint").select(*made.columns, (F.col("n_rows") - 1).alias("n_within"), F.col("first").alias("first_within"))
+    return told.union(made.where(~asks).select(*made.columns, none, none))
 
 
 def edited(text: str, following: str) -> str:

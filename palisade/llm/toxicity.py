@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bits import bit_map, flagged
+from .bits import bit_map, flagged, has_bits, key_bits
 from .language import fold_of
 from .staging import stage
 from .textvec import map_rows, mix, slices, utf8
@@ -147,8 +147,7 @@ class Table:
             out[left[same]] = ratio[at[same]]
             left = left[~same]
         maybe = np.zeros(len(keys), bool)
-        at = _slot(keys[left], REST_BITS, len(self.levels))
-        maybe[left] = (self.rest[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+        maybe[left] = has_bits(self.rest, _slot(keys[left], 64, len(self.levels)))
         return out, maybe
 
 
@@ -214,10 +213,7 @@ def _table(rows: DataFrame, bits: tuple[int, ...]) -> Table:
         own[found.column("s").to_numpy()], ratio[found.column("s").to_numpy()] = found.column("g").to_numpy(), found.column("r").to_numpy()
         levels.append((own, ratio))
         rows = stage(rows.join(best.select("g"), "g", "left_anti"), "rest")
-    words = slotted(rows, REST_BITS, len(bits)).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("s") % 64).cast("int"))).alias("b")).toArrow()
-    rest = np.zeros(1 << REST_BITS - 6, np.uint64)
-    rest[words.column("w").to_numpy()] = words.column("b").to_numpy().view(np.uint64)
-    return Table(levels, rest)
+    return Table(levels, key_bits(slotted(rows, 64, len(bits)), "s", REST_BITS))
 
 
 def raw_scores(df: DataFrame, model: Ratios, keep: list[str], text: str = "text", prior: int = LENGTH_PRIOR) -> DataFrame:

@@ -1,6 +1,5 @@
 """The corpus operators on small inputs: brute force, round trips, nulls, ties, empty tables."""
 
-import hashlib
 import random
 import re
 from itertools import combinations
@@ -8,7 +7,7 @@ from itertools import combinations
 import pyarrow as pa
 import pytest
 
-from palisade.llm import bpe, decontam, language, licenses, neardup, secret_scan, sentences, simhash
+from palisade.llm import bpe, decontam, language, licenses, neardup, secret_scan, sentences
 
 WORDS = [f"w{i}x" for i in range(400)]
 
@@ -53,23 +52,6 @@ def test_near_duplicates(spark, k, percent):
     assert got == brute(texts, k, percent)
 
 
-def test_simhash(spark):
-    texts = ["a b c d e f g", None, "a b c d e f g", "éü " * 5, ""]
-    got = {r["doc_id"]: r for r in simhash.next_to(frame(spark, texts), rows_a_part=2).collect()}
-    plain = [t or "" for t in texts]
-    for i, t in enumerate(plain):
-        want = simhash.edited(t, plain[(i + 1) % len(plain)])
-        assert got[i]["edited_sha256"] == hashlib.sha256(want.encode()).hexdigest() and got[i]["n_chars"] == len(t)
-    assert got[0]["fingerprint"] == got[2]["fingerprint"] and got[1]["fingerprint"] == "0" * (simhash.BITS // 4)
-
-
-def test_simhash_within(spark):
-    rows = [("00" * 32,), ("00" * 31 + "07",), ("00" * 31 + "0f",), ("ff" * 32,)]
-    df = spark.createDataFrame(rows, "fingerprint string")
-    got = {(r["query"][-2:], r["found"][-2:], r["distance"]) for r in simhash.within(df, df, 3).collect()}
-    assert got == {("00", "00", 0), ("07", "07", 0), ("0f", "0f", 0), ("ff", "ff", 0), ("00", "07", 3), ("07", "00", 3), ("07", "0f", 1), ("0f", "07", 1)}
-
-
 def test_secrets():
     text = 'é password = "abc" API_KEY: abcdef AKIA' + "Z" * 16 + " " + "0123456789abcdef" * 2 + " auth x9Qz7Lp2Vb8Kt4Wm1Rd6Yn3 ſecret=abcdefg"
     base, every = secret_scan.scan(text)
@@ -190,4 +172,4 @@ def test_language_stage(spark):
 def test_empty_tables(spark):
     docs = frame(spark, []).select("doc_id", "text")
     assert neardup.near_duplicates(docs).count() == 0 and sentences.cleaned(docs).count() == 0 and licenses.scan(docs).count() == 0
-    assert simhash.next_to(docs).count() == 0 and secret_scan.digests(docs).count() == 0
+    assert secret_scan.digests(docs).count() == 0
