@@ -7,7 +7,7 @@ from itertools import combinations
 import pyarrow as pa
 import pytest
 
-from palisade.llm import bpe, decontam, language, licenses, neardup, secret_scan, sentences
+from palisade.llm import bpe, language, licenses, neardup, secret_scan, sentences
 
 WORDS = [f"w{i}x" for i in range(400)]
 
@@ -126,34 +126,6 @@ def test_adjacent_licenses(n, line):
     assert got == [(3 + width * i, 3 + width * (i + 1)) for i in range(n)]
 
 
-def test_decontamination(spark):
-    item = "what is the capital of the small island state named after a volcano answer port marlin bay"
-    bench = spark.createDataFrame([(7, item), (8, None), (9, "")], "item_id long, text string")
-    docs = frame(spark, [" ".join(WORDS[:50]) + " " + item.upper() + " " + " ".join(WORDS[50:90]), " ".join(WORDS), None, "", "the capital of the state"])
-    assert [(r["doc_id"], r["item_id"]) for r in decontam.leaks(docs, bench).collect()] == [(0, 7)]
-    assert sorted(r["doc_id"] for r in decontam.decontaminate(docs, bench).collect()) == [1, 2, 3, 4]
-
-
-def test_decontamination_against_brute_force(spark):
-    rng = random.Random(11)
-    sizes, texts, want = (16, 40, 59, 100, 200), [], []
-    items = [[f"i{k}n{rng.randrange(10**6)}" for _ in range(n)] for k, n in enumerate(sizes)]
-    for k, item in enumerate(items):
-        tail = len(item) - max(1, round(len(item) * decontam.ANSWER_SHARE))
-        for place in range(3):
-            for shift in range(12):
-                swapped = set(rng.sample(range(tail), int(0.38 * len(item))))
-                copy = [f"o{rng.randrange(10**6)}" if p in swapped else w for p, w in enumerate(item)]
-                around = [[f"x{rng.randrange(10**6)}" for _ in range(n)] for n in ((150 + shift) * (place > 0), (150 + shift) * (place < 2))]
-                own = {w: 1 << p for p, w in enumerate(item)}
-                assert decontam.lcs(own, len(item), copy) >= decontam.PARAPHRASE_COVERAGE * len(item)
-                want.append((len(texts), k))
-                texts.append(" ".join(around[0] + copy + around[1]))
-    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
-    # without the screen by cosine, which is approximate
-    assert sorted((r["doc_id"], r["item_id"]) for r in decontam.leaks(frame(spark, texts), bench, least_cosine=-1.0).collect()) == want
-
-
 def test_language(spark):
     rows = [(i, " ".join(("the house and water" if i % 2 else "das haus und wasser").split() * (1 + i % 3)), "en" if i % 2 else "de") for i in range(60)] + [(60, None, "en"), (61, "123 !!", "de")]
     got = {r["doc_id"]: r for r in language.held_out_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
