@@ -8,7 +8,7 @@ difference per byte of its two log-likelihoods, made a probability by an isotoni
 fitted on labelled rows that the models have not counted.
 
 Counts, continuation counts and backoff weights stay distributed and exact, and so does
-every score. Tasks get two tables of fixed size (48 and 12 MB at any input) in which an
+every score. Tasks get two tables of fixed size (16 and 4 MB at any input) in which an
 n-gram stands with its key; where two meet, the more frequent stays and the other tries
 the second table. N-grams that found no room in either, and such contexts, are known by a
 bit map; the few of each text that may be among them are looked up by a join. With a
@@ -39,7 +39,7 @@ from .staging import stage
 from .textvec import map_rows, mix, slices, utf8
 
 ORDER = 5
-GRAM_BITS, CONTEXT_BITS, REST_BITS = (22, 20), (20, 18), 24
+GRAM_BITS, CONTEXT_BITS, REST_BITS = (20, 18), (18, 16), 22
 DISCOUNT = 0.75
 SHARED_WEIGHT = 100.0
 LENGTH_PRIOR = 100
