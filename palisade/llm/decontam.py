@@ -45,7 +45,7 @@ from .textvec import map_rows, slices, utf8
 PASSAGE, WIDTH, STRIDE = 256, 24, 8
 MIXTURES, RANDOM = 96, 32
 CORPUS_WORDS, TERMS, BLOCK_WORDS = 2048, 1 << 15, 1 << 20
-COMMON_SHARE, COMMON_LEAST = 0.02, 8
+COMMON_SHARE, COMMON_LEAST, RARE_LEAST = 0.1, 8, 3
 LEAST_COSINE = 0.25
 LEAST_COVERAGE, PARAPHRASE_COVERAGE, ANSWER_SHARE = 0.7, 0.55, 0.25
 OTHER = 0xFFFFFFFF
@@ -109,7 +109,7 @@ class Benchmark:
         pairs = []
         for k, (item, own) in enumerate(zip(self.items, kinds, strict=True)):
             rare = self.need[k] - int(common[item].sum())
-            if rare >= 3:
+            if rare >= RARE_LEAST:
                 self.need[k], own = rare, own[~common[own]]
             pairs.append(np.stack([own, np.full(len(own), k)]))
         word, item = np.concatenate([*pairs, np.zeros((2, 0), np.int64)], axis=1)
@@ -364,14 +364,26 @@ def _leaks(docs: DataFrame, bench: Benchmark, least_cosine: float) -> DataFrame:
                 masks[item] = (*made, tail)
             return masks[item]
 
-        def near(codes: np.ndarray, item: int) -> bool:
+        def near(words: np.ndarray, start: np.ndarray, size: np.ndarray, item: np.ndarray) -> np.ndarray:
+            """Which stretches of ``words`` have a window near one of their item."""
+            made = -(-size // STRIDE)
+            first = np.concatenate([[0], np.cumsum(made)])
+            place = np.repeat(start - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(int(size.sum()))
+            codes = words[place]
             vectors = terms[np.where(codes == OTHER, len(terms) - 1, codes % (len(terms) - 1))]
-            chunk = np.add.reduceat(vectors, np.arange(0, len(codes), STRIDE))
+            owner = np.repeat(np.arange(len(size)), made)
+            cuts = np.concatenate([[0], np.cumsum(size)[:-1]])[owner] + (np.arange(first[-1]) - first[owner]) * STRIDE
+            chunk = np.add.reduceat(vectors, cuts)
             window = chunk.copy()
             for j in range(1, WIDTH // STRIDE):
-                window[:-j] += chunk[j:]
-            norm = np.maximum(np.linalg.norm(window, axis=1), 1e-12)
-            return bool((window @ aims[bounds[item] : bounds[item + 1]].T >= least_cosine * norm[:, None]).any())
+                same = np.flatnonzero(owner[j:] == owner[:-j])
+                window[same] += chunk[same + j]
+            least = least_cosine * np.maximum(np.sqrt(np.einsum("ij,ij->i", window, window)), 1e-12)
+            low, n = bounds[item][owner], (bounds[item + 1] - bounds[item])[owner]
+            close = np.zeros(len(owner), bool)
+            for j in range(int(n.max())):
+                close |= np.einsum("ij,ij->i", window, aims[low + np.minimum(j, n - 1)]) >= least
+            return np.logical_or.reduceat(close, first[:-1])
 
         def check(words: np.ndarray, item: int, low: int, high: int) -> tuple[float, bool, int] | None:
             own, end, tail = masks_of(item)
@@ -391,10 +403,13 @@ def _leaks(docs: DataFrame, bench: Benchmark, least_cosine: float) -> DataFrame:
 
         for part, words, at in _batches(batches, 1 << 16):
             ids, out = part.column("doc_id").to_pylist(), []
-            for d, item, low, high in stretches(bench, words, at):
-                own = words[at[d] : at[d + 1]]
-                if near(own[max(0, low - WIDTH) : high], item) and (made := check(own, item, low, high)):
-                    out.append((ids[d], bench.ids[item], *made))
+            every = list(stretches(bench, words, at))
+            for k in range(0, len(every), 512):
+                d, item, low, high = np.array(every[k : k + 512]).T
+                begin = np.maximum(low - WIDTH, 0)
+                for i in np.flatnonzero(near(words, at[d] + begin, high - begin, item)).tolist():
+                    if made := check(words[at[d[i]] : at[d[i] + 1]], int(item[i]), int(low[i]), int(high[i])):
+                        out.append((ids[d[i]], bench.ids[item[i]], *made))
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.bool_(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds)], names=["doc_id", "item_id", "coverage", "answer", "at"])
 
