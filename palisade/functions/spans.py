@@ -2,40 +2,60 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+BLOCK = 64
 EMPTY = "array<struct<start:int,end:int,value:string>>"
 
 
-def matches(text: Column, pattern: str) -> Column:
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once a row; lambdas in ``use`` would compute it anew for each element."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _placed(pairs: Column) -> Column:
+    """Spans of (v, g) pairs, match and gap before it: running sums within blocks, then of blocks, so that arrays grow little."""
+    step = lambda acc, x: F.struct(
+        (acc["at"] + x["g"] + F.octet_length(x["v"])).alias("at"),
+        F.concat(acc["out"], F.array(F.struct((acc["at"] + x["g"]).alias("start"), (acc["at"] + x["g"] + F.octet_length(x["v"])).alias("end"), x["v"].alias("value")))).alias("out"))
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast(EMPTY).alias("out"))
+    cuts = F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / BLOCK).cast("int"))
+    folded = F.transform(cuts, lambda k: F.aggregate(F.slice(pairs, k * BLOCK + 1, BLOCK), empty, step))
+    follow = lambda acc, x: F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+
+    def joined(blocks: Column) -> Column:
+        starts = F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), follow, lambda acc: acc["out"])
+        moved = lambda b, s: F.transform(b["out"], lambda x: F.struct((x["start"] + s).alias("start"), (x["end"] + s).alias("end"), x["value"].alias("value")))
+        return F.flatten(F.zip_with(blocks, starts, moved))
+
+    return let(folded, joined)
+
+
+def matches(text: Column, pattern: str, needs: str | None = None) -> Column:
     """Array of (start, end, value) of the leftmost non-overlapping matches, in bytes.
 
-    ``pattern`` must not match the empty string. A null text has no matches.
+    ``pattern`` must not match the empty string; it is not tried where the literal
+    ``needs`` does not occur. A null text has no matches.
     """
     found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(0))
+    if needs:
+        found = F.when(F.contains(text, F.lit(needs)), found)
     gaps = F.split(text, pattern, -1)
-    pairs = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda v, g: F.struct(v.alias("v"), F.octet_length(g).alias("g")))
-    step = lambda acc, x: F.struct(
-        (acc["at"] + x["g"] + F.octet_length(x["v"])).alias("at"),
-        F.concat(acc["out"], F.array(F.struct((acc["at"] + x["g"]).alias("start"), (acc["at"] + x["g"] + F.octet_length(x["v"])).alias("end"), x["v"].alias("value")))).alias("out"))
-    folded = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.array().cast(EMPTY).alias("out")), step, lambda acc: acc["out"])
-    return F.when(F.size(found) > 0, folded).otherwise(F.array().cast(EMPTY))
+    pairs = lambda v: F.zip_with(v, F.slice(gaps, 1, F.size(v)), lambda v, g: F.struct(v.alias("v"), F.octet_length(g).alias("g")))
+    none = F.array().cast(EMPTY)
+    return let(found, lambda v: F.when(F.size(v) > 0, let(pairs(v), _placed)).otherwise(none))
 
 
 def literal_matches(text: Column, literal: str, fold: bool = False) -> Column:
     """Non-overlapping occurrences of a literal; ``fold`` ignores the case of A-Z."""
-    import re
-
     quoted = re.sub(r"([\\.^$|?*+()\[\]{}])", r"\\\1", literal)
     if fold:
         quoted = "".join(f"[{c.lower()}{c.upper()}]" if c.isascii() and c.isalpha() else c for c in quoted)
-    return matches(text, quoted)
-
-
-def bytes_between(text: Column, start: Column, length: Column) -> Column:
-    """``length`` bytes of a text from byte ``start`` (from zero), as binary."""
-    return F.substring(text.cast("binary"), start + 1, length)
+    return matches(text, quoted, None if fold else literal)
 
 
 def trimmed_to(span: Column, value: Column) -> Column:

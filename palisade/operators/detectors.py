@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.spans import EMPTY, literal_matches, matches, trimmed_to
+from ..functions.spans import let, literal_matches, matches, trimmed_to
 from ..functions.text import entropy, luhn_valid
 
 # Patterns of the detectors.
@@ -20,6 +20,8 @@ KEY_SHAPES = (r"sk-[A-Za-z0-9_-]{16,}|AKIA[A-Z0-9]{16}|ghp_[A-Za-z0-9]{20,}|glpa
               r"|xox[baprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|npm_[A-Za-z0-9]{36,}")
 KEY_RUN = r"[A-Za-z0-9_-]+"
 EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
+# The same matches in one pass: a run of local characters is tried at its start only, or where a match has just ended.
+EMAIL_SCAN = r"(?:(?<![A-Za-z0-9._%+\-])|\G)[A-Za-z0-9._%+\-]++@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
 CARD_RUN = r"[0-9][0-9 -]*"
 LONG_CARD_RUN = r"[0-9][0-9 -]{12,}"
 JWT_RUN = r"[A-Za-z0-9_.=-]+"
@@ -27,6 +29,7 @@ JWT = r"[A-Za-z0-9_=-]+\.[A-Za-z0-9_=-]+\.[A-Za-z0-9_=-]+"
 PEM_HEAD = r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
 ENTROPY_RUN = r"[A-Za-z0-9+/_=-]{16,}"
 ENTROPY_LENGTH, ENTROPY_BITS = 28, 4.0
+SENSITIVE_ID = "sensitive_key"
 
 # Public mail suffixes.
 EMAIL_SUFFIXES = (
@@ -54,7 +57,7 @@ def email_spans(text: Column, suffixes: Sequence[str] = EMAIL_SUFFIXES) -> Colum
         domain = F.concat(F.lit("."), F.lower(F.substring_index(s["value"], "@", -1)))
         return ~F.contains(s["value"], F.lit("..")) & F.exists(listed, lambda x: F.endswith(domain, x))
 
-    return F.filter(matches(text, EMAIL), ok)
+    return F.filter(matches(text, EMAIL_SCAN, "@"), ok)
 
 
 def luhn_spans(text: Column) -> Column:
@@ -77,16 +80,26 @@ def jwt_spans(text: Column) -> Column:
 
 def pem_spans(text: Column) -> Column:
     """Private keys from each header to its own footer, or to the end of the text."""
-    size = F.octet_length(text)
+    raw = text.cast("binary")
+
+    def whole(both: Column) -> Column:
+        # one character a byte, so that places are offsets; after the last footer of any kind nothing is looked for
+        latin, raw = both["latin"], both["raw"]
+
+        def one(s: Column) -> Column:
+            footer = F.replace(s["value"], F.lit("BEGIN"), F.lit("END"))
+            at = F.when(s["end"] <= both["last"], F.call_function("locate", footer, latin, s["end"] + 1)).otherwise(0)
+            end = F.when(at > 0, at - 1 + F.octet_length(footer)).otherwise(F.octet_length(raw))
+            return F.struct(s["start"].alias("start"), end.cast("int").alias("end"), F.substring(raw, s["start"] + 1, end - s["start"]).cast("string").alias("value"))
 
-    def whole(s: Column) -> Column:
-        footer = F.replace(s["value"], F.lit("BEGIN"), F.lit("END"))
-        tail = F.substring(text.cast("binary"), s["end"] + 1, size).cast("string")
-        at = F.instr(tail, footer)
-        end = F.when(at > 0, s["end"] + F.octet_length(F.substring(tail, F.lit(1), at - 1)) + F.octet_length(footer)).otherwise(size)
-        return F.struct(s["start"].alias("start"), end.cast("int").alias("end"), F.substring(text.cast("binary"), s["start"] + 1, end - s["start"]).cast("string").alias("value"))
+        return F.transform(both["found"], one)
 
-    return F.transform(matches(text, PEM_HEAD), whole)
+    def prepared(f: Column) -> Column:
+        latin = F.decode(raw, "ISO-8859-1")
+        last = F.when(F.contains(text, F.lit("-----END ")), F.octet_length(raw) - F.length(F.substring_index(latin, "-----END ", -1)) - 9).otherwise(-1)
+        return let(F.struct(latin.alias("latin"), raw.alias("raw"), f.alias("found"), last.alias("last")), whole)
+
+    return let(matches(text, PEM_HEAD, "-----BEGIN "), lambda f: F.when(F.size(f) > 0, prepared(f)).otherwise(f))
 
 
 def entropy_spans(text: Column) -> Column:
@@ -106,17 +119,18 @@ class Rule:
     priority: int = 100
     confidence: float = 0.9
     origin: str = "builtin"
+    primitive: bool = False
     allow: tuple[str, ...] = field(default=())
 
 
 BUILTIN = (
-    Rule("prefix", "api_key", prefix_spans, confidence=0.95),
-    Rule("email", "email", email_spans, confidence=0.8),
-    Rule("luhn", "credit_card", luhn_spans),
-    Rule("jwt", "jwt", jwt_spans, confidence=0.95),
-    Rule("private_key", "private_key", pem_spans, confidence=0.99),
+    Rule("prefix", "api_key", prefix_spans, confidence=0.95, primitive=True),
+    Rule("email", "email", email_spans, confidence=0.8, primitive=True),
+    Rule("luhn", "credit_card", luhn_spans, primitive=True),
+    Rule("jwt", "jwt", jwt_spans, confidence=0.95, primitive=True),
+    Rule("private_key", "private_key", pem_spans, confidence=0.99, primitive=True),
 )
-HIGH_ENTROPY = Rule("high_entropy", "high_entropy", entropy_spans, confidence=0.6)
+HIGH_ENTROPY = Rule("high_entropy", "high_entropy", entropy_spans, confidence=0.6, primitive=True)
 
 
 def regex_rule(id: str, pattern: str, category: str = "custom", **more) -> Rule:
@@ -138,9 +152,8 @@ def blocklist_rule(literals: Sequence[str]) -> Rule:
     return Rule("blocklist", "custom", lambda text: F.concat(*[literal_matches(text, x) for x in literals]), action="block", scope="both", priority=-1, confidence=1.0)
 
 
-def excused(span: Column, text: Column, literals: Sequence[str]) -> Column:
-    """Whether ``span`` lies within an occurrence of a literal, overlapping ones included."""
-    raw = text.cast("binary")
+def excused(span: Column, raw: Column, literals: Sequence[str]) -> Column:
+    """Whether ``span`` lies within an occurrence of a literal in the bytes ``raw``, overlapping ones included."""
 
     def by(literal: str) -> Column:
         size = len(literal.encode())
@@ -154,34 +167,65 @@ def excused(span: Column, text: Column, literals: Sequence[str]) -> Column:
     return out
 
 
-def _unexcused(spans: Column, literals: Sequence[str]) -> Column:
-    return F.filter(spans, lambda s: ~excused(s, F.col("_text"), literals))
+def _unexcused(spans: Column, text: Column, literals: Sequence[str]) -> Column:
+    some = lambda s: F.when(F.size(s) > 0, let(text.cast("binary"), lambda raw: F.filter(s, lambda x: ~excused(x, raw, literals)))).otherwise(s)
+    return let(spans, some)
 
 
 def _stamped(spans: Column, rule: Rule, rank: int) -> Column:
     return F.transform(spans, lambda s: F.struct(
-        s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.lit(rule.id).alias("rule_id"), F.lit(rule.category).alias("category"),
-        F.lit(rule.action).alias("action"), F.lit(rule.confidence).alias("confidence"), F.lit(rule.origin).alias("origin"), F.lit(rank).alias("rule_rank")))
+        s["start"].alias("start"), s["end"].alias("end"), F.lit(rank).alias("rule_rank"), F.lit(rule.id).alias("rule_id"), s["value"].alias("value"), F.lit(rule.category).alias("category"),
+        F.lit(rule.action).alias("action"), F.lit(rule.confidence).alias("confidence"), F.lit(rule.origin).alias("origin")))
 
 
-def findings(df: DataFrame, rules: Sequence[Rule] = BUILTIN, text: str = "text", allowlist: Sequence[str] = (), phase: str = "request", budget: int | None = None) -> DataFrame:
-    """``df`` without ``text``, a row for each finding: start, end, value, rule and rank columns.
+FINDINGS = "array<struct<start:int,end:int,rule_rank:int,rule_id:string,value:string,category:string,action:string,confidence:double,origin:string>>"
+
+
+def cut_to(text: Column, budget: int) -> Column:
+    """The first ``budget`` bytes of a text, without a character that would be cut."""
+    part = F.substring(text.cast("binary"), 1, budget).cast("string")
+    whole = F.when(F.is_valid_utf8(part), part).otherwise(F.rtrim(F.make_valid_utf8(part), F.lit("\ufffd")))
+    return F.when(F.octet_length(text) > budget, whole).otherwise(text)
+
+
+def ranked(rules: Sequence[Rule], phase: str = "request") -> list[Rule]:
+    """The rules of a phase by priority and id."""
+    return sorted((r for r in rules if r.scope in (phase, "both")), key=lambda r: (r.priority, r.id))
 
-    Rules of another phase are not planned at all; ``budget`` limits what is scanned to so
-    many bytes. Empty and null texts have no findings.
+
+def found(text: Column, rules: Sequence[Rule] = BUILTIN, allowlist: Sequence[str] = (), phase: str = "request", budget: int | None = None, gated: Column | None = None, gate_allow: Column | None = None) -> Column:
+    """Every finding in a text as an array, by start, end and rule.
+
+    Rules of another phase are not planned at all; ``budget`` limits the bytes that the
+    built-in algorithms scan, not those of pattern, keyword and block rules. Where
+    ``gated`` is true, rules that redact are skipped and the whole value is one finding
+    of the sensitive-key gate, unless ``gate_allow``. Empty and null texts have none.
     """
-    own = sorted((r for r in rules if r.scope in (phase, "both")), key=lambda r: (r.priority, r.id))
-    scanned = F.col(text)
-    if budget is not None:
-        scanned = F.when(F.octet_length(scanned) > budget, F.decode(F.substring(scanned.cast("binary"), 1, budget), "UTF-8")).otherwise(scanned)
-    kept = [F.col(f"`{c}`") for c in df.columns if c != text]
-    arrays = []
+    arrays, own = [], ranked(rules, phase)
     for rank, rule in enumerate(own):
-        spans = rule.spans(F.col("_text"))
+        spans = rule.spans(cut_to(text, budget) if budget is not None and rule.primitive else text)
         literals = (*allowlist, *rule.allow)
         if literals and rule.id != "blocklist":
-            spans = _unexcused(spans, literals)
-        arrays.append(_stamped(spans, rule, rank))
-    base = df.select(*kept, scanned.alias("_text")).where(F.octet_length("_text") > 0)
-    found = F.concat(*arrays) if arrays else F.array().cast(EMPTY)
-    return base.select(*kept, F.explode(found).alias("f")).select(*kept, "f.*")
+            spans = _unexcused(spans, text, literals)
+        made = _stamped(spans, rule, rank)
+        if gated is not None and rule.action == "redact":
+            made = F.when(gated, F.array().cast(FINDINGS)).otherwise(made)
+        arrays.append(made)
+    if gated is not None:
+        whole = F.struct(F.lit(0).alias("start"), F.octet_length(text).alias("end"), F.lit(len(own)).alias("rule_rank"), F.lit(SENSITIVE_ID).alias("rule_id"), text.alias("value"), F.lit("custom").alias("category"),
+                         F.lit("redact").alias("action"), F.lit(1.0).alias("confidence"), F.lit("remote_pack").alias("origin"))
+        arrays.append(F.when(gated & ~(F.lit(False) if gate_allow is None else gate_allow), F.array(whole)).otherwise(F.array().cast(FINDINGS)))
+    every = F.array_sort(F.concat(*arrays)) if arrays else F.array().cast(FINDINGS)
+    return F.when(F.octet_length(text) > 0, every).otherwise(F.array().cast(FINDINGS))
+
+
+def with_findings(df: DataFrame, rules: Sequence[Rule] = BUILTIN, text: str = "text", name: str = "findings", **more) -> DataFrame:
+    """``df`` with its findings as an array; one projection, no shuffle. A column of that name is replaced."""
+    return df.withColumn(name, found(F.col(f"`{text}`"), rules, **more))
+
+
+def findings(df: DataFrame, rules: Sequence[Rule] = BUILTIN, text: str = "text", allowlist: Sequence[str] = (), phase: str = "request", budget: int | None = None) -> DataFrame:
+    """``df`` without ``text``, a row for each finding: start, end, value, rule and rank columns."""
+    kept = [F.col(f"`{c}`") for c in df.columns if c != text]
+    made = found(F.col(f"`{text}`"), rules, allowlist, phase, budget)
+    return df.select(*kept, F.explode(made).alias("_f")).select(*kept, "_f.*")

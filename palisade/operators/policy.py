@@ -7,6 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.spans import let
+from ..functions.text import mask_secret
+from .detectors import SENSITIVE_ID
+
 # Actions from weak to strong, and the findings that one body may have.
 ACTIONS = ("allow", "warn", "redact", "block")
 MOST_FINDINGS = 4096
@@ -22,32 +26,65 @@ def ordered(findings: DataFrame, key: str) -> DataFrame:
     return findings.withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy("start", "end", "rule_rank", "rule_id")))
 
 
-def decisions(bodies: DataFrame, findings: DataFrame, key: str) -> DataFrame:
-    """key, action, refusal, n_findings and rule_ids of every body.
+def decision(findings: Column) -> Column:
+    """(action, refusal, backing) of a body's findings in their order, without a shuffle.
 
     More than ``MOST_FINDINGS`` findings refuse the body without partial results; a body
-    without findings is allowed. Only the findings of the strongest action are listed.
+    without findings is allowed. Only the findings of the strongest action stand behind it.
+    """
+    over = F.size(findings) > MOST_FINDINGS
+    top = F.greatest(F.coalesce(F.array_max(F.transform(findings, lambda f: action_rank(f["action"]))), F.lit(0)), F.lit(0))
+    none = F.filter(findings, lambda f: F.lit(False))
+
+    def made(t: Column) -> Column:
+        name = F.element_at(F.array(*[F.lit(a) for a in ACTIONS]), t + 1)
+        return F.struct(F.when(over, "block").otherwise(name).alias("action"), F.when(over, "budget").alias("refusal"), F.when(over, none).otherwise(F.filter(findings, lambda f: action_rank(f["action"]) == t)).alias("backing"))
+
+    return let(top, made)
+
+
+def decided(bodies: DataFrame, findings: str = "findings") -> DataFrame:
+    """``bodies`` with action, refusal, n_findings and rule_ids (in order; the first is the primary one) and backing instead of their findings."""
+    kept = [F.col(f"`{c}`") for c in bodies.columns if c not in (findings, "action", "refusal", "backing", "n_findings", "rule_ids")]
+    made = bodies.select(*kept, decision(F.col(findings)).alias("_d"))
+    return made.select(*kept, "_d.action", "_d.refusal", F.size("_d.backing").alias("n_findings"), F.transform("_d.backing", lambda f: f["rule_id"]).alias("rule_ids"), "_d.backing")
+
+
+def counters(decided: DataFrame, applied: str = "applied", walk_skips: str | None = None) -> DataFrame:
+    """One row of totals over decided bodies.
+
+    Redactions are the substitutions applied, in bodies whose action is to redact; walk
+    skips are response events that are JSON but could not be walked.
     """
-    rank = action_rank(F.col("action"))
-    summed = findings.groupBy(key).agg(F.max(rank).alias("top"), F.count(F.lit(1)).alias("n"))
-    # at most as many rows of a body are gathered as a decision may list
-    backing = ordered(findings.join(summed.where(F.col("n") <= MOST_FINDINGS), key).where(rank == F.col("top")), key)
-    listed = backing.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("nth", "rule_id"))).alias("l")).select(key, F.transform("l", lambda x: x["rule_id"]).alias("rule_ids"))
-    joined = bodies.select(key).join(summed, key, "left").join(listed, key, "left")
-    over = F.coalesce(F.col("n") > MOST_FINDINGS, F.lit(False))
-    top = F.element_at(F.array(*[F.lit(a) for a in ACTIONS]), F.greatest(F.coalesce("top", F.lit(0)), F.lit(0)) + 1)
-    return joined.select(
-        key, F.when(over, "block").otherwise(top).alias("action"), F.when(over, "budget").alias("refusal"),
-        F.when(over, F.lit(0)).otherwise(F.coalesce(F.size("rule_ids"), F.lit(0))).alias("n_findings"),
-        F.coalesce("rule_ids", F.array().cast("array<string>")).alias("rule_ids"))
-
-
-def counters(decided: DataFrame) -> DataFrame:
-    """One row of totals over decided bodies."""
     block = F.col("action") == "block"
+    skips = F.sum(F.col(walk_skips)) if walk_skips else F.lit(0)
     return decided.agg(
-        F.count(F.lit(1)).alias("requests"), F.count_if(F.col("action") == "redact").alias("redacted_bodies"),
-        F.count_if(block).alias("content_policy_blocks"), F.count_if(block & F.col("refusal").isNull()).alias("rule_blocks"))
+        F.count(F.lit(1)).alias("requests"), F.coalesce(F.sum(F.when(F.col("action") == "redact", F.col(applied))), F.lit(0)).cast("long").alias("redactions"),
+        F.count_if(block).alias("content_policy_blocks"), F.count_if(block & F.col("refusal").isNull()).alias("rule_blocks"), F.coalesce(skips, F.lit(0)).cast("long").alias("walk_skips"))
+
+
+def refusals(decided: DataFrame, key: str) -> DataFrame:
+    """key, status and body: the refusal document of every body that is not let through; it names the first rule, never content."""
+    rule = F.try_element_at("rule_ids", F.lit(1))
+    reason = F.when(F.col("refusal").isNotNull(), F.lit("refused")).otherwise(F.lit("blocked"))
+    document = F.to_json(F.struct(F.struct(reason.alias("type"), F.coalesce("refusal", F.lit("content_policy")).alias("reason"), rule.alias("rule_id")).alias("error")))
+    return decided.where("action = 'block'").select(key, F.lit(403).alias("status"), document.alias("body"))
+
+
+def redaction_log(decided: DataFrame, key: str) -> DataFrame:
+    """key, nth, category, n_bytes and masked of every finding behind a redaction: what a log may show."""
+    rows = decided.where("action = 'redact'").select(key, F.posexplode("backing").alias("nth", "f"))
+    return rows.select(key, "nth", "f.category", (F.col("f.end") - F.col("f.start")).alias("n_bytes"), mask_secret(F.col("f.value"), F.col("f.category")).alias("masked"))
+
+
+def audit(decided: DataFrame, key: str, phase: str = "request") -> DataFrame:
+    """key, phase, action, refusal and the distinct rule ids and categories of every body: no content, no offsets."""
+    return decided.select(key, F.lit(phase).alias("phase"), "action", "refusal", F.array_sort(F.array_distinct("rule_ids")).alias("rules"), F.array_sort(F.array_distinct(F.transform("backing", lambda f: f["category"]))).alias("categories"))
+
+
+def budget_report(bodies: DataFrame, key: str, budget: int, text: str = "text") -> DataFrame:
+    """key, longest and budget of the bodies with a text that is longer than the detectors scan."""
+    return bodies.groupBy(key).agg(F.max(F.octet_length(text)).alias("longest")).where(F.col("longest") > budget).withColumn("budget", F.lit(budget))
 
 
 def sensitive_keys(leaves: DataFrame, keys: Sequence[str], case_sensitive: bool = False) -> DataFrame:
@@ -55,7 +92,7 @@ def sensitive_keys(leaves: DataFrame, keys: Sequence[str], case_sensitive: bool
     name = F.col("key") if case_sensitive else F.lower("key")
     wanted = list(keys) if case_sensitive else [k.lower() for k in keys]
     hit = F.col("member") & name.isin(wanted) & (F.octet_length("value") > 0)
-    return leaves.where(hit).withColumns({"start": F.lit(0), "end": F.octet_length("value"), "rule_id": F.lit("sensitive_key"), "category": F.lit("custom"), "action": F.lit("redact"), "confidence": F.lit(1.0), "origin": F.lit("remote_pack")})
+    return leaves.where(hit).withColumns({"start": F.lit(0), "end": F.octet_length("value"), "rule_id": F.lit(SENSITIVE_ID), "category": F.lit("custom"), "action": F.lit("redact"), "confidence": F.lit(1.0), "origin": F.lit("remote_pack")})
 
 
 def routes(requests: DataFrame, table: Sequence[tuple[str, str]], path: str = "path") -> DataFrame:

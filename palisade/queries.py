@@ -15,9 +15,11 @@ from .functions.text import mask_secret, route
 from .operators import detectors as d
 from .operators import policy, tokens
 from .sources import bodies, sse
+from .staging import stage
 
 SALT = bytes(range(32))
 KEYWORDS, BLOCKED, ALLOWED = ("idiot", "clown"), ("worthless",), ("contact@", "example.com")
+BUDGET = 2000
 ROUTES = (("/", "root"), ("/en", "english"), ("/fr", "french"), ("/fr/8", "eight"), ("/en/1", "one"))
 
 
@@ -98,19 +100,44 @@ def _rules() -> list[d.Rule]:
 
 
 def findings_all_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = policy.ordered(d.findings(planted(spark, sf_dir, PLANTED_KEY), _rules()), "doc_id")
-    return found.select("doc_id", "nth", F.col("start").alias("span_start"), F.col("end").alias("span_end"), "value", "rule_id", "category", "action")
+    found = d.with_findings(planted(spark, sf_dir, PLANTED_KEY), _rules())
+    rows = found.select("doc_id", F.posexplode("findings").alias("at", "f"))
+    return rows.select("doc_id", (F.col("at") + 1).alias("nth"), F.col("f.start").alias("span_start"), F.col("f.end").alias("span_end"), "f.value", "f.rule_id", "f.category", "f.action")
+
+
+def _decided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return policy.decided(d.with_findings(planted(spark, sf_dir, PLANTED_KEY), _rules()))
 
 
 def decision_by_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = planted(spark, sf_dir, PLANTED_KEY)
-    made = policy.decisions(docs, d.findings(docs, _rules()), "doc_id")
-    return made.select("doc_id", "action", F.col("n_findings").cast("long").alias("n_findings"), F.array_join("rule_ids", ",").alias("rule_ids"))
+    return _decided(spark, sf_dir).select("doc_id", "action", F.col("n_findings").cast("long").alias("n_findings"), F.array_join("rule_ids", ",").alias("rule_ids"))
 
 
 def counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = planted(spark, sf_dir, PLANTED_KEY)
-    return policy.counters(policy.decisions(docs, d.findings(docs, _rules()), "doc_id"))
+    return policy.counters(tokens.redact(_decided(spark, sf_dir), SALT, findings="backing"))
+
+
+def refusal_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return policy.refusals(_decided(spark, sf_dir), "doc_id")
+
+
+def redaction_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return policy.redaction_log(_decided(spark, sf_dir), "doc_id").select("doc_id", F.col("nth").cast("long").alias("nth"), "category", F.col("n_bytes").cast("long").alias("n_bytes"), "masked")
+
+
+def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = policy.audit(_decided(spark, sf_dir), "doc_id")
+    return rows.select("doc_id", "phase", "action", F.array_join("rules", ",").alias("rules"), F.array_join("categories", ",").alias("categories"))
+
+
+def budget_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Built-in algorithms scan the first bytes only, keyword rules the whole text."""
+    found = d.findings(_docs(spark, sf_dir), [d.BUILTIN[1], d.keyword_rule("rude", KEYWORDS)], budget=BUDGET)
+    return found.select("doc_id", F.col("start").alias("span_start"), "value", "rule_id")
+
+
+def budget_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return policy.budget_report(_docs(spark, sf_dir), "doc_id", BUDGET).select("doc_id", F.col("longest").cast("long").alias("longest"))
 
 
 def findings_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,23 +155,36 @@ def vault_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.vault(d.findings(planted(spark, sf_dir, PLANTED_KEY), d.BUILTIN), SALT)
 
 
-def _redacted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    docs = planted(spark, sf_dir, PLANTED_KEY)
-    found = d.findings(docs, d.BUILTIN)
-    minted = tokens.vault(found, SALT)
-    return docs, minted, tokens.redact(docs, found, minted, "doc_id")
+def _redacted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = d.with_findings(planted(spark, sf_dir, PLANTED_KEY), d.BUILTIN)
+    minted = stage(tokens.vault(docs.select(F.explode("findings").alias("f")).select("f.*"), SALT), "vault")
+    return minted, stage(tokens.redact(docs, SALT, minted).select("doc_id", "redacted", "applied"), "redacted")
 
 
 def redaction_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _redacted(spark, sf_dir)[2].select("doc_id", F.octet_length("redacted").cast("long").alias("n_bytes"), F.col("applied").cast("long").alias("applied"))
+    return _redacted(spark, sf_dir)[1].select("doc_id", F.octet_length("redacted").cast("long").alias("n_bytes"), F.col("applied").cast("long").alias("applied"))
 
 
 def redact_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, minted, done = _redacted(spark, sf_dir)
-    back = tokens.restore(done, minted, "doc_id")
+    minted, done = _redacted(spark, sf_dir)
+    back = tokens.restore(done.select("doc_id", "redacted"), minted, "doc_id")
     return back.select("doc_id", F.sha2(F.col("restored").cast("binary"), 256).alias("text_sha256"), F.col("n_restored").cast("long").alias("n_restored"))
 
 
+def vault_second_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vault of two runs: the second one's known secrets keep their placeholders."""
+    found = d.findings(planted(spark, sf_dir, PLANTED_KEY), d.BUILTIN)
+    earlier = tokens.vault(found.where("doc_id % 2 = 0"), SALT)
+    return tokens.vault(found, SALT, known=earlier)
+
+
+def restore_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Excluded secrets stay placeholders."""
+    minted, done = _redacted(spark, sf_dir)
+    kept = minted.where("kind = 'email'").select("secret")
+    return tokens.restore(done, minted, "doc_id", exclusions=kept).select("doc_id", F.col("n_restored").cast("long").alias("n_restored"))
+
+
 def _conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").withColumn("conv_turn", F.concat_ws("-", "conv_id", "turn"))
     inner = F.to_json(F.struct(F.col("text").alias("note")))
@@ -186,17 +226,17 @@ def sse_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sse.events(chunks.withColumn("seq", F.col("turn") * 2 + F.col("part"))).select("stream_id", "nth", "event", "data")
 
 
-def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+def restored_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Restored occurrences: how often each planted key's placeholder stands in the redacted texts."""
-    _, minted, done = _redacted(spark, sf_dir)
+    minted, done = _redacted(spark, sf_dir)
     hits = done.select(F.explode(F.regexp_extract_all("redacted", F.lit(f"({tokens.TOKEN})"), F.lit(0))).alias("placeholder"))
     return hits.join(minted, "placeholder").groupBy("kind", "secret").agg(F.count(F.lit(1)).alias("n"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     findings_email, findings_luhn, findings_prefix_planted, findings_jwt_planted, findings_pem_planted, findings_entropy_planted, regex_rule, keyword_rule, blocklist, allowlist_suppression,
-    findings_all_ordered, decision_by_doc, counters, findings_cube, mask_findings, vault_distinct, redaction_lengths, redact_roundtrip, json_leaves, sensitive_keys, route_longest_prefix, body_gate, sse_decode)}
-QUERIES["restored_counts"] = page_links
+    findings_all_ordered, decision_by_doc, counters, refusal_documents, redaction_log, audit_log, budget_cut, budget_report, findings_cube, mask_findings, vault_distinct, vault_second_run, redaction_lengths,
+    redact_roundtrip, restore_exclusions, restored_counts, json_leaves, sensitive_keys, route_longest_prefix, body_gate, sse_decode)}
 
 
 def _matches(name: str, source: str, pattern: str) -> str:
@@ -299,12 +339,27 @@ ORACLE_SQL: dict[str, str] = {
     "findings_all_ordered": f"""WITH {_every()} SELECT id AS doc_id, CAST(row_number() OVER (PARTITION BY id ORDER BY s, e, rk, rule_id) AS INTEGER) AS nth,
         s AS span_start, e AS span_end, v AS value, rule_id, category, action FROM f""",
     "decision_by_doc": f"{_DECIDED} SELECT * FROM dec",
-    "counters": f"""{_DECIDED} SELECT count(*) AS requests, count(*) FILTER (action = 'redact') AS redacted_bodies, count(*) FILTER (action = 'block') AS content_policy_blocks,
-        count(*) FILTER (action = 'block') AS rule_blocks FROM dec""",
+    "counters": f"""{_DECIDED}, kept AS (SELECT id, list_reduce(list({{'s': s, 'e': e, 'n': 0}} ORDER BY s, e, rk), lambda acc, x: CASE WHEN x.s >= acc.e THEN {{'s': x.s, 'e': x.e, 'n': acc.n + 1}} ELSE acc END, {{'s': 0, 'e': 0, 'n': 0}}).n AS n
+            FROM f JOIN top USING (id) WHERE t = 2 AND action = 'redact' GROUP BY id)
+        SELECT (SELECT count(*) FROM dec) AS requests, CAST((SELECT coalesce(sum(n), 0) FROM kept) AS BIGINT) AS redactions, (SELECT count(*) FROM dec WHERE action = 'block') AS content_policy_blocks,
+               (SELECT count(*) FROM dec WHERE action = 'block') AS rule_blocks, CAST(0 AS BIGINT) AS walk_skips""",
+    "refusal_documents": f"""{_DECIDED} SELECT doc_id, 403 AS status, '{{"error":{{"type":"blocked","reason":"content_policy","rule_id":"' || split_part(rule_ids, ',', 1) || '"}}}}' AS body FROM dec WHERE action = 'block'""",
+    "redaction_log": f"""{_DECIDED} SELECT f.id AS doc_id, row_number() OVER (PARTITION BY f.id ORDER BY s, e, rk) - 1 AS nth, category, CAST(e - s AS BIGINT) AS n_bytes,
+        CASE category WHEN 'api_key' THEN left(v, 4) || '…' || right(v, 2) WHEN 'email' THEN '****@' || split_part(v, '@', 2) ELSE '****' END AS masked FROM f JOIN top USING (id) WHERE t = 2 AND action = 'redact'""",
+    "audit_log": f"""{_DECIDED}, al AS (SELECT f.id, array_to_string(list_sort(list(DISTINCT rule_id)), ',') AS rules, array_to_string(list_sort(list(DISTINCT category)), ',') AS categories
+            FROM f JOIN top USING (id) WHERE CASE action WHEN 'warn' THEN 1 WHEN 'redact' THEN 2 WHEN 'block' THEN 3 ELSE 0 END = t GROUP BY f.id)
+        SELECT doc_id, 'request' AS phase, action, coalesce(rules, '') AS rules, coalesce(categories, '') AS categories FROM dec LEFT JOIN al ON id = doc_id""",
+    "budget_cut": f"""WITH whole AS (SELECT doc_id AS id, text AS x FROM documents),
+        src AS (SELECT id, coalesce(TRY(decode(encode(x)[1:{BUDGET}])), TRY(decode(encode(x)[1:{BUDGET - 1}])), TRY(decode(encode(x)[1:{BUDGET - 2}])), TRY(decode(encode(x)[1:{BUDGET - 3}]))) AS x FROM whole),
+        {_email()}, {_words('rude', 'whole', KEYWORDS, True)}
+        SELECT id AS doc_id, s AS span_start, v AS value, 'email' AS rule_id FROM email UNION ALL SELECT id, s, v, 'rude' FROM rude""",
+    "budget_report": f"SELECT doc_id, CAST(strlen(text) AS BIGINT) AS longest FROM documents WHERE strlen(text) > {BUDGET}",
     "findings_cube": f"WITH {_every()} SELECT lang, category, count(*) AS n, count(DISTINCT v) AS n_values FROM f JOIN documents ON id = doc_id GROUP BY CUBE (lang, category)",
     "mask_findings": f"""WITH {_builtin()} SELECT id AS doc_id, s AS span_start, rule_id,
         CASE category WHEN 'api_key' THEN left(v, 4) || '…' || right(v, 2) WHEN 'email' THEN '****@' || split_part(v, '@', 2) ELSE '****' END AS masked FROM f""",
     "vault_distinct": f"WITH {_builtin()}, {_VAULT} SELECT * FROM vault",
+    "vault_second_run": f"WITH {_builtin()}, {_VAULT} SELECT * FROM vault",
+    "restore_exclusions": f"WITH {_builtin()}, ed AS (SELECT id, count(*) AS n FROM f WHERE category <> 'email' GROUP BY id) SELECT src.id AS doc_id, coalesce(n, 0) AS n_restored FROM src LEFT JOIN ed USING (id)",
     "redaction_lengths": f"""WITH {_builtin()}, {_VAULT}, ed AS (SELECT id, sum(strlen(placeholder) - strlen(v)) AS more, count(*) AS n FROM f JOIN vault ON kind = category AND secret = v GROUP BY id)
         SELECT src.id AS doc_id, CAST(strlen(x) + coalesce(more, 0) AS BIGINT) AS n_bytes, coalesce(n, 0) AS applied FROM src LEFT JOIN ed USING (id)""",
     "redact_roundtrip": f"WITH {_builtin()}, ed AS (SELECT id, count(*) AS n FROM f GROUP BY id) SELECT src.id AS doc_id, sha256(x) AS text_sha256, coalesce(n, 0) AS n_restored FROM src LEFT JOIN ed USING (id)",

@@ -2,10 +2,14 @@
 
 import gzip
 import json
+import random
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from palisade.functions import spans
 from palisade.operators import detectors, policy, tokens
 from palisade.plans import rules
 from palisade.sources import bodies, sse
@@ -76,13 +80,75 @@ def test_rule_documents():
 
 def test_allowlist_and_vault(spark):
     df = spark.createDataFrame([(1, "mail ann@corp.com or bob@corp.com é ann@corp.com"), (2, ""), (3, None)], "k int, text string")
+    rows = detectors.with_findings(df, [detectors.BUILTIN[1]], allowlist=("bob@corp.com",))
     found = detectors.findings(df, [detectors.BUILTIN[1]], allowlist=("bob@corp.com",))
     assert {r["value"] for r in found.collect()} == {"ann@corp.com"}
-    minted = tokens.vault(found, b"s" * 32)
-    done = tokens.redact(df, found, minted, "k")
+    salt = b"s" * 32
+    minted = tokens.vault(found, salt)
+    done = tokens.redact(rows, salt, minted)
     back = {r["k"]: (r["restored"], r["n_restored"]) for r in tokens.restore(done, minted, "k").collect()}
     assert back == {1: ("mail ann@corp.com or bob@corp.com é ann@corp.com", 2), 2: ("", 0), 3: (None, 0)}
-    assert policy.decisions(df, found, "k").where("action = 'redact'").count() == 1
+    assert [(r["k"], r["action"], r["n_findings"]) for r in policy.decided(rows).orderBy("k").collect()] == [(1, "redact", 2), (2, "allow", 0), (3, "allow", 0)]
+    again = tokens.redact(detectors.with_findings(done.select("k", F.col("redacted").alias("text")), [detectors.BUILTIN[1]], allowlist=("bob@corp.com",)), salt, minted)
+    assert again.where("NOT (redacted <=> text)").count() == 0
+
+
+def test_ladder(spark, monkeypatch):
+    monkeypatch.setattr(tokens, "LADDER", (1, 2, 64))
+    secrets = [f"user{i}@corp.com" for i in range(40)]
+    df = spark.createDataFrame([(1, " ".join(secrets)), (2, secrets[3] + " and " + secrets[3])], "k int, text string")
+    salt = b"s" * 32
+    rows = detectors.with_findings(df, [detectors.BUILTIN[1]])
+    found = detectors.findings(df, [detectors.BUILTIN[1]])
+    minted = tokens.vault(found, salt)
+    names = {r["secret"]: r["placeholder"] for r in minted.collect()}
+    assert set(names) == set(secrets) and len(set(names.values())) == 40 and {len(x.rsplit("_", 3)[1]) for x in names.values()} == {1, 2}
+    monkeypatch.setattr(tokens, "TOKEN", r"__PII_[a-z0-9_]{1,16}?_[0-9a-f]{1,64}__")
+    done = tokens.redact(rows, salt, minted)
+    assert {r["k"]: r["redacted"] for r in done.collect()} == {1: " ".join(names[x] for x in secrets), 2: f"{names[secrets[3]]} and {names[secrets[3]]}"}
+    assert {r["k"]: r["restored"] for r in tokens.restore(done, minted, "k").collect()} == {r["k"]: r["text"] for r in df.collect()}
+    # an earlier vault keeps its placeholders, whatever else comes
+    early = tokens.vault(found.where("k = 2"), salt)
+    later = {r["secret"]: r["placeholder"] for r in tokens.vault(found, salt, known=early).collect()}
+    assert later[secrets[3]] == early.first()["placeholder"] and len(set(later.values())) == 40
+
+
+def test_too_many_findings(spark, monkeypatch):
+    monkeypatch.setattr(policy, "MOST_FINDINGS", 3)
+    rows = spark.createDataFrame([(1, "boom " * 3), (2, "boom " * 4)], "k int, text string")
+    made = policy.decided(detectors.with_findings(rows, [detectors.keyword_rule("b", ("boom",), action="warn")]))
+    assert [(r["k"], r["action"], r["refusal"], r["n_findings"]) for r in made.orderBy("k").collect()] == [(1, "warn", None, 3), (2, "block", "budget", 0)]
+    refused = policy.refusals(made, "k").collect()
+    assert [r["k"] for r in refused] == [2] and json.loads(refused[0]["body"])["error"]["reason"] == "budget"
+    assert policy.counters(made.withColumn("applied", F.lit(0))).first().asDict() == {"requests": 2, "redactions": 0, "content_policy_blocks": 1, "rule_blocks": 0, "walk_skips": 0}
+
+
+def test_email_scan_is_the_pattern(spark):
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("aab.@-_% é\n") for _ in range(rng.randrange(60))) for _ in range(3000)] + ["a@b.comc_d@e.org", "x@y@z.com", "a@b.co@c.de", "a@b.com" * 5]
+    want = [[(len(t[: m.start()].encode()), m.group()) for m in re.finditer(detectors.EMAIL, t)] for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string").select("k", spans.matches(F.col("text"), detectors.EMAIL_SCAN, "@").alias("m"))
+    assert [[(x["start"], x["value"]) for x in r["m"]] for r in df.orderBy("k").collect()] == want
+    assert sum(map(len, want)) > 20
+
+
+@pytest.mark.parametrize("text", ["a" * 200_000, "a." * 100_000 + "@", "a@b" * 60_000, "sk-" * 60_000, "1 " * 100_000, "a.b" * 60_000, "-----BEGIN PRIVATE KEY-----" * 4000, "-----BEGIN " + "A" * 200_000, "a1@b.com " * 16_000])
+def test_adversarial_texts(spark, text):
+    df = spark.createDataFrame([(text,)], "text string").select(F.size(detectors.found(F.col("text"), [*detectors.BUILTIN, detectors.HIGH_ENTROPY])).alias("n"))
+    df.collect()
+    start = time.time()
+    df.collect()
+    assert time.time() - start < 5
+
+
+def test_budget_on_character_borders(spark):
+    text = "é" * 10 + " ann@corp.com boom"
+    df = spark.createDataFrame([(n, text) for n in range(1, 40)], "n int, text string")
+    for n in (1, 2, 19, 33, 34):
+        cut = df.select(detectors.cut_to(F.col("text"), n).alias("t")).first()["t"]
+        assert cut == text.encode()[:n].decode(errors="ignore")
+    rules = [detectors.BUILTIN[1], detectors.keyword_rule("b", ("boom",))]
+    assert [r["rule_id"] for r in detectors.findings(df.limit(1), rules, budget=24).collect()] == ["b"]
 
 
 def test_stream_restore(spark, tmp_path):
