@@ -119,7 +119,8 @@ class Rule:
     priority: int = 100
     confidence: float = 0.9
     origin: str = "builtin"
-    primitive: bool = False
+    primitive: bool = False  # a built-in algorithm: scans no more than the byte budget
+    narrows: bool = False  # a mail rule that does without the built-in suffixes
     allow: tuple[str, ...] = field(default=())
 
 

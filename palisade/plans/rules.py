@@ -15,7 +15,7 @@ TYPES = ("regex", "keyword", "prefix", "email", "luhn", "jwt", "pem", "entropy",
 SCOPES = ("request", "response", "both")
 ACTIONS = ("allow", "warn", "redact", "block")
 RULE_ID = re.compile(r"[a-z][a-z0-9._-]{0,63}")
-MOST_RULES, MOST_KEYWORDS, MOST_LIST, MOST_ALLOW, LITERAL_BYTES, PATTERN_BYTES = 256, 64, 256, 64, 256, 1024
+MOST_RULES, MOST_KEYWORDS, MOST_LIST, MOST_ALLOW, MOST_COMMAND, LITERAL_BYTES, PATTERN_BYTES = 256, 64, 256, 64, 16, 256, 1024
 DEFAULTS = {"category": "custom", "scope": "request", "priority": 100, "confidence": 0.9}
 DOCUMENT_KEYS = {"channel": str, "schema_version": int, "min_binary_version": str, "serial": int, "key_id": str, "not_before": str, "expires": str, "detectors": dict, "disabled_categories": list, "allowlist": list, "blocklist": list, "sensitive_keys": dict, "rules": list}
 RULE_KEYS = {"id": str, "type": str, "category": str, "scope": str, "action": str, "priority": int, "confidence": (int, float), "pattern": str, "keywords": list, "case_sensitive": bool, "allowlist": list, "options": dict, "command": str, "subcommand": str, "verbs": list, "targets": list, "min_digits": int, "max_digits": int, "alphabet": str, "min_length": int, "min_entropy": (int, float), "pure_hex_excluded": bool, "pem_headers": list}
@@ -37,6 +37,8 @@ class Pack:
     serial: int = 0
     detectors: Mapping[str, bool] = field(default_factory=dict)
     disabled_categories: tuple[str, ...] = ()
+    origin: str = "remote_pack"
+    commands: tuple[str, ...] = ()  # ids of rules that are read but not run
 
 
 def _checked(raw: Any, keys: Mapping[str, Any], at: str) -> dict[str, Any]:
@@ -91,6 +93,8 @@ def _rule(raw: Any, at: str, origin: str) -> d.Rule | None:
     allow = _literals(r.get("allowlist", []), MOST_ALLOW, f"{at}.allowlist")
     more = {"action": action, "scope": spec["scope"], "priority": spec["priority"], "confidence": float(spec["confidence"]), "category": spec["category"], "allow": allow, "origin": origin}
     if kind == "command":
+        for name in ("verbs", "targets"):
+            _literals(r.get(name, []), MOST_COMMAND, f"{at}.{name}")
         return None
     if kind == "regex":
         pattern = r.get("pattern", "")
@@ -106,10 +110,11 @@ def _rule(raw: Any, at: str, origin: str) -> d.Rule | None:
             raise RuleError(f"{at}.keywords: none")
         return d.keyword_rule(ident, words, r.get("case_sensitive", False), **more)
     if kind == "email":
-        listed = suffixes(_checked(r.get("options", {}), {"email": dict}, f"{at}.options"))
-        return d.Rule(ident, spans=lambda text: d.email_spans(text, listed), **more)
+        options = _checked(r.get("options", {}), {"email": dict}, f"{at}.options")
+        listed = suffixes(options)
+        return d.Rule(ident, spans=lambda text: d.email_spans(text, listed), primitive=True, narrows=bool(options.get("email", {}).get("replace")), **more)
     spans = {"prefix": d.prefix_spans, "luhn": d.luhn_spans, "jwt": d.jwt_spans, "pem": d.pem_spans, "entropy": d.entropy_spans}[kind]
-    return d.Rule(ident, spans=spans, **more)
+    return d.Rule(ident, spans=spans, primitive=True, **more)
 
 
 def _once(pairs: list[tuple[str, Any]]) -> dict[str, Any]:
@@ -132,26 +137,46 @@ def compile_document(text: str | bytes, origin: str = "remote_pack") -> Pack:
         raise RuleError(f"document.rules: more than {MOST_RULES}")
     rules = [_rule(r, f"document.rules[{i}]", origin) for i, r in enumerate(doc.get("rules", []))]
     kept = sorted((r for r in rules if r is not None), key=lambda r: (r.priority, r.id))
-    if len({r.id for r in kept}) != len(kept):
+    if len({r["id"] for r in doc.get("rules", [])}) != len(rules):
         raise RuleError("document.rules: an id stands twice")
     sensitive = _checked(doc.get("sensitive_keys", {}), {"keys": list, "case_sensitive": bool}, "document.sensitive_keys")
     return Pack(
         tuple(kept), _literals(doc.get("allowlist", []), MOST_LIST, "document.allowlist"), _literals(doc.get("blocklist", []), MOST_LIST, "document.blocklist"),
         _literals(sensitive.get("keys", []), MOST_LIST, "document.sensitive_keys.keys"), sensitive.get("case_sensitive", False), doc.get("serial", 0), doc.get("detectors", {}),
-        tuple(doc.get("disabled_categories", [])))
+        tuple(doc.get("disabled_categories", [])), origin, tuple(r["id"] for r in doc.get("rules", []) if r.get("type") == "command"))
 
 
-def check_floor(pack: Pack, baseline: tuple[d.Rule, ...] = d.BUILTIN) -> None:
-    """A remote pack must not weaken what is built in: no detector off, no category disabled, no allow rule for one."""
+def check_floor(pack: Pack, baseline: tuple[d.Rule, ...] = (*d.BUILTIN, d.HIGH_ENTROPY)) -> None:
+    """A remote pack must not weaken what is built in, whether on or off by default.
+
+    In this order: no detector switched off, no category disabled, no rule that allows, no
+    mail rule that replaces the built-in suffixes. Packs of other origins are not checked.
+    """
+    if pack.origin != "remote_pack":
+        return
     for r in baseline:
         if pack.detectors.get(r.id) is False:
             raise RuleError(f"detector {r.id} is switched off")
     own = {r.category for r in baseline}
-    if weak := own & set(pack.disabled_categories):
-        raise RuleError(f"category {min(weak)} is disabled")
+    for c in pack.disabled_categories:
+        if c in own:
+            raise RuleError(f"category {c} is disabled")
+    for r in pack.rules:
+        if r.action == "allow":
+            raise RuleError(f"rule {r.id} allows")
     for r in pack.rules:
-        if r.action == "allow" and r.category in own:
-            raise RuleError(f"rule {r.id} allows {r.category}")
+        if r.narrows:
+            raise RuleError(f"rule {r.id} replaces the mail suffixes")
+
+
+def builtin(switches: Mapping[str, bool] | None = None) -> tuple[d.Rule, ...]:
+    """The built-in rules that are on: five by default, high entropy if asked; an unknown name is refused."""
+    names = {r.id: r for r in (*d.BUILTIN, d.HIGH_ENTROPY)}
+    for k in switches or {}:
+        if k not in names:
+            raise RuleError(f"no detector {k}")
+    on = {r.id: True for r in d.BUILTIN} | {d.HIGH_ENTROPY.id: False} | dict(switches or {})
+    return tuple(r for k, r in names.items() if on[k])
 
 
 def register(active: tuple[d.Rule, ...], added: tuple[d.Rule, ...]) -> tuple[d.Rule, ...]:

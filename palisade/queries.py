@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 
 from .functions.text import mask_secret, route
 from .operators import detectors as d
-from .operators import policy, tokens
+from .operators import policy, requests, tokens
 from .sources import bodies, sse
 from .staging import stage
 
 SALT = bytes(range(32))
 KEYWORDS, BLOCKED, ALLOWED = ("idiot", "clown"), ("worthless",), ("contact@", "example.com")
 BUDGET = 2000
+RUDE_TURNS, STOP_TURNS = ("the",), ("assistant", "zz")
 ROUTES = (("/", "root"), ("/en", "english"), ("/fr", "french"), ("/fr/8", "eight"), ("/en/1", "one"))
 
 
@@ -196,6 +197,46 @@ def json_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bodies.leaves(_conversations(spark, sf_dir), "conv_turn").select("conv_turn", "leaf_index", "path", "value", "encoded")
 
 
+def _gate_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation turns as JSON, with an address in a member, in JSON within it and below a sensitive name."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").withColumn("conv_turn", F.concat_ws("-", "conv_id", "turn"))
+    mail = F.concat(F.lit("ann"), F.col("turn").cast("string"), F.lit("@corp.com"))
+    inner = F.to_json(F.struct(F.concat(F.lit('say "hi" to '), mail).alias("note")))
+    return rows.select("conv_turn", F.to_json(F.struct(F.concat("text", F.lit(" "), mail).alias("content"), inner.alias("inner"), F.concat(F.lit("pw "), mail).alias("Password"), F.array(mail, F.col("role")).alias("list"))).alias("body"))
+
+
+def _request(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = [d.BUILTIN[1], d.keyword_rule("rude", KEYWORDS, action="warn", scope="both"), d.blocklist_rule(BLOCKED)]
+    return requests.evaluated(bodies.walked(_gate_bodies(spark, sf_dir)), rules, sensitive=("password",))
+
+
+def json_request_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = _request(spark, sf_dir)
+    return made.select("conv_turn", "action", F.array_join("rule_ids", ",").alias("rule_ids"), F.array_join(F.transform("backing", lambda f: F.concat_ws(":", f["leaf_index"], f["start"], f["end"])), ",").alias("spans"))
+
+
+def json_request_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = requests.redacted(_request(spark, sf_dir), SALT, "conv_turn")
+    return done.select("conv_turn", F.sha2("redacted", 256).alias("body_sha256"), F.col("applied").cast("long").alias("applied"))
+
+
+def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = _request(spark, sf_dir)
+    minted = stage(tokens.vault(requests.secrets_of(made), SALT), "vault")
+    done = stage(requests.redacted(made, SALT, "conv_turn"), "redacted")
+    back = bodies.restore_json(done.select("conv_turn", F.col("redacted").alias("body")), minted, "conv_turn", tokens.TOKEN)
+    return back.select("conv_turn", F.sha2("restored", 256).alias("body_sha256"), F.col("n_restored").cast("long").alias("n_restored"))
+
+
+def response_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as event streams, evaluated as responses."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    data = F.when(F.col("turn") % 3 == 0, F.to_json(F.struct("role", "text"))).otherwise(F.col("text"))
+    rules = [d.keyword_rule("rude", RUDE_TURNS, action="warn", scope="both"), d.keyword_rule("stop", STOP_TURNS, action="block", scope="response"), d.BUILTIN[1]]
+    made = requests.response_streams(rows.select(F.col("conv_id").alias("stream_id"), data.alias("data")), rules)
+    return made.select("stream_id", "action", F.array_join("rule_ids", ",").alias("rule_ids"), F.col("walk_skips").cast("long").alias("walk_skips"))
+
+
 def sensitive_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaves = bodies.leaves(_conversations(spark, sf_dir), "conv_turn")
     return policy.sensitive_keys(leaves, ["NOTE", "role"]).select("conv_turn", "path", F.col("end").cast("int").alias("n_bytes"), "rule_id")
@@ -236,7 +277,7 @@ def restored_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     findings_email, findings_luhn, findings_prefix_planted, findings_jwt_planted, findings_pem_planted, findings_entropy_planted, regex_rule, keyword_rule, blocklist, allowlist_suppression,
     findings_all_ordered, decision_by_doc, counters, refusal_documents, redaction_log, audit_log, budget_cut, budget_report, findings_cube, mask_findings, vault_distinct, vault_second_run, redaction_lengths,
-    redact_roundtrip, restore_exclusions, restored_counts, json_leaves, sensitive_keys, route_longest_prefix, body_gate, sse_decode)}
+    redact_roundtrip, restore_exclusions, restored_counts, json_leaves, sensitive_keys, json_request_decisions, json_request_redacted, json_roundtrip, response_streams, route_longest_prefix, body_gate, sse_decode)}
 
 
 def _matches(name: str, source: str, pattern: str) -> str:
@@ -321,6 +362,21 @@ _LEAVES = """conv AS (SELECT conv_id || '-' || turn AS conv_turn, role, text FRO
         UNION ALL SELECT conv_turn, 2, '/messages/0/content', text, false FROM conv
         UNION ALL SELECT conv_turn, 3, '/messages/0/Secret/note', text, true FROM conv)"""
 
+def _placeholder(kind: str, secret: str) -> str:
+    message = f"encode('{kind}') || unhex('00') || encode({secret})"
+    return f"'__PII_{kind}_' || left({_hmac(message)}, 12) || '__'"
+
+
+_GATE = f"""src AS (SELECT conv_id || '-' || turn AS id, text || ' ann' || turn || '@corp.com' AS x, text AS t, 'ann' || turn || '@corp.com' AS mail, role FROM conversations),
+    {_words('bl', 'src', BLOCKED, False)}, blk AS (SELECT id, string_agg('blocklist', ',') AS ids, string_agg('0:' || s || ':' || e, ',' ORDER BY s, e) AS spans FROM bl GROUP BY id),
+    g AS (SELECT src.*, {_placeholder('email', 'mail')} AS ph, {_placeholder('custom', "'pw ' || mail")} AS pw, blk.ids, blk.spans FROM src LEFT JOIN blk USING (id))"""
+
+
+def _gate_body(mail: str, password: str) -> str:
+    inner = f"""'{{"note":' || to_json('say "hi" to ' || {mail}) || '}}'"""
+    return f"""'{{"content":' || to_json(t || ' ' || {mail}) || ',"inner":' || to_json({inner}) || ',"Password":' || to_json({password}) || ',"list":[' || to_json({mail}) || ',' || to_json(role) || ']}}'"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "findings_email": f"WITH {_SOURCE}, {_email()} {_OUT} email",
     "findings_luhn": f"WITH {_SOURCE}, {_cards()} {_OUT} card",
@@ -366,6 +422,14 @@ ORACLE_SQL: dict[str, str] = {
     "restored_counts": f"WITH {_builtin()} SELECT category AS kind, v AS secret, count(*) AS n FROM f GROUP BY category, v",
     "json_leaves": f"WITH {_LEAVES} SELECT * FROM lv",
     "sensitive_keys": f"WITH {_LEAVES} SELECT conv_turn, path, CAST(strlen(value) AS INTEGER) AS n_bytes, 'sensitive_key' AS rule_id FROM lv WHERE (path LIKE '%/note' OR path LIKE '%/role') AND value <> ''",
+    "json_request_decisions": f"""WITH {_GATE} SELECT id AS conv_turn, CASE WHEN ids IS NULL THEN 'redact' ELSE 'block' END AS action, coalesce(ids, 'email,email,sensitive_key,email') AS rule_ids,
+        coalesce(spans, '0:' || (strlen(t) + 1) || ':' || (strlen(t) + 1 + strlen(mail)) || ',1:12:' || (12 + strlen(mail)) || ',2:0:' || (3 + strlen(mail)) || ',3:0:' || strlen(mail)) AS spans FROM g""",
+    "json_request_redacted": f"""WITH {_GATE} SELECT id AS conv_turn, sha256(CASE WHEN ids IS NULL THEN {_gate_body('ph', 'pw')} ELSE {_gate_body('mail', "'pw ' || mail")} END) AS body_sha256,
+        CAST(CASE WHEN ids IS NULL THEN 4 ELSE 0 END AS BIGINT) AS applied FROM g""",
+    "json_roundtrip": f"""WITH {_GATE} SELECT id AS conv_turn, sha256({_gate_body('mail', "'pw ' || mail")}) AS body_sha256, CAST(CASE WHEN ids IS NULL THEN 4 ELSE 0 END AS BIGINT) AS n_restored FROM g""",
+    "response_streams": f"""WITH e AS (SELECT conv_id, {' OR '.join(f"contains(lower(role), '{w}') OR contains(lower(text), '{w}')" for w in STOP_TURNS)} AS stop, {' OR '.join(f"contains(lower(role), '{w}') OR contains(lower(text), '{w}')" for w in RUDE_TURNS)} AS rude, turn % 3 = 0 AS j FROM conversations),
+        a AS (SELECT conv_id, bool_or(j AND stop) AS stop, bool_or(j AND rude) AS rude FROM e GROUP BY conv_id)
+        SELECT conv_id AS stream_id, CASE WHEN stop THEN 'block' WHEN rude THEN 'warn' ELSE 'allow' END AS action, CASE WHEN stop THEN 'stop' WHEN rude THEN 'rude' ELSE '' END AS rule_ids, CAST(0 AS BIGINT) AS walk_skips FROM a""",
     "route_longest_prefix": """WITH p AS (SELECT page_id, rtrim(regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*', ''), '[?#].*$', ''), '/') AS q FROM pages), r AS (SELECT page_id, CASE WHEN q = '' THEN '/' ELSE q END AS path FROM p)
         SELECT page_id, path, CASE WHEN path = '/fr/8' OR starts_with(path, '/fr/8/') THEN 'eight' WHEN path = '/en/1' OR starts_with(path, '/en/1/') THEN 'one'
             WHEN path = '/en' OR starts_with(path, '/en/') THEN 'english' WHEN path = '/fr' OR starts_with(path, '/fr/') THEN 'french' ELSE 'root' END AS target FROM r""",

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 # Limits of nesting, of JSON within JSON, and of identities.
 MOST_DEPTH, MOST_ENCODED, MOST_IDENTITY = 10_000, 32, 1024
@@ -39,11 +40,12 @@ class Leaf:
     value: bytes
     key: str | None
     chain: tuple[tuple[bytes, int], ...]  # raw interiors and their opening quotes, innermost first
-    scalars: str
+    scalars: str | None  # what stands before it, None if longer than an identity may be
 
     @property
     def encoded(self) -> bool:
-        return len(self.chain) > 1
+        """Whether the value was decoded from JSON within JSON; at the limit of that it is not told apart."""
+        return 1 < len(self.chain) <= MOST_ENCODED
 
 
 def unit(raw: bytes) -> bytes:
@@ -88,9 +90,10 @@ def _pointer(key: str) -> str:
     return key.replace("~", "~0").replace("/", "~1")
 
 
-def _scan(body: bytes) -> Iterator[tuple[str, str | None, bytes, int, str]]:
-    """(path, key, raw interior, opening quote, scalars before it) of each string value."""
+def _scan(body: bytes) -> Iterator[tuple[str, str | None, bytes, int, str | None]]:
+    """(path, key, raw interior, opening quote, scalars before it) of each string value; scalars of objects go by name, of arrays by index."""
     stack: list[dict] = []
+    size = 0  # bytes of all scalars that open frames hold
     at, want, done = 0, "value", False
     while not done:
         m = _WORD.match(body, at)
@@ -107,13 +110,17 @@ def _scan(body: bytes) -> Iterator[tuple[str, str | None, bytes, int, str]]:
             if mark:
                 if len(stack) >= MOST_DEPTH:
                     raise WalkError("max_depth")
-                stack.append({"object": mark == b"{", "path": path, "key": None, "index": 0, "scalars": []})
+                stack.append({"object": mark == b"{", "path": path, "key": None, "index": 0, "scalars": [], "size": 0})
                 want = "key or }" if mark == b"{" else "value or ]"
                 continue
             if text is not None:
-                yield path, key, text, m.end() - len(text) - 2, UNIT.join(x for f in stack for x in f["scalars"])
-            elif frame and frame["object"]:
-                frame["scalars"].append(f"{key}={scalar.decode()}")
+                yield path, key, text, m.end() - len(text) - 2, UNIT.join(x for f in stack for x in f["scalars"]) if size <= MOST_IDENTITY else None
+            elif frame:
+                own = f"{key if frame['object'] else frame['index']}={scalar.decode()}"
+                frame["size"] += len(own) + 1
+                size += len(own) + 1
+                if size <= MOST_IDENTITY:
+                    frame["scalars"].append(own)
         elif want in ("key", "key or }") and text is not None:
             frame["key"] = unescape(text).decode()
             want = "colon"
@@ -126,7 +133,7 @@ def _scan(body: bytes) -> Iterator[tuple[str, str | None, bytes, int, str]]:
             want = "key" if frame["object"] else "value"
             continue
         elif (mark == b"}" and frame and frame["object"] and want in ("key or }", "comma")) or (mark == b"]" and frame and not frame["object"] and want in ("value or ]", "comma")):
-            stack.pop()
+            size -= stack.pop()["size"]
         else:
             raise WalkError("malformed_json")
         want, done = "comma", not stack
@@ -150,12 +157,31 @@ def walk(body: bytes, depth: int = 0, wrap: tuple[tuple[bytes, int], ...] = ())
             except WalkError:
                 inner = []
         if inner:
-            leaves += [Leaf(path + x.path, x.value, x.key if x.key is not None else key, x.chain, UNIT.join(s for s in (scalars, x.scalars) if s)) for x in inner]
+            # a leaf's member name is that of its own document's innermost object, if it is in one
+            leaves += [Leaf(path + x.path, x.value, x.key, x.chain, None if scalars is None or x.scalars is None else UNIT.join(s for s in (scalars, x.scalars) if s)) for x in inner]
         else:
             leaves.append(Leaf(path, value, key, chain, scalars))
     return leaves
 
 
+def identity_of(leaf: Leaf, nth: int) -> str | None:
+    """Path, scalars and occurrence; None if that is too long to tell leaves apart."""
+    if leaf.scalars is None:
+        return None
+    made = UNIT.join([leaf.path, *([leaf.scalars] if leaf.scalars else []), str(nth)])
+    return made if len(made.encode()) <= MOST_IDENTITY else None
+
+
+def identities(found: list[Leaf]) -> list[str | None]:
+    """The identity of each leaf of a body."""
+    seen: dict[str, int] = {}
+    out = []
+    for x in found:
+        seen[x.path] = nth = seen.get(x.path, -1) + 1
+        out.append(identity_of(x, nth))
+    return out
+
+
 LEAF = T.StructType([
     T.StructField("leaf_index", T.IntegerType()), T.StructField("path", T.StringType()), T.StructField("value", T.StringType()), T.StructField("encoded", T.BooleanType()),
     T.StructField("member", T.BooleanType()), T.StructField("key", T.StringType()), T.StructField("identity", T.StringType()), T.StructField("identifiable", T.BooleanType()), T.StructField("error", T.StringType())])
@@ -167,12 +193,9 @@ def leaves(bodies: DataFrame, key: str, body: str = "body") -> DataFrame:
 
     def rows(raw: bytes | None):
         try:
-            seen: dict[str, int] = {}
-            for i, x in enumerate(walk(bytes(raw or b""))):
-                nth = seen[x.path] = seen.get(x.path, -1) + 1
-                identity = UNIT.join(s for s in (x.path, x.scalars, str(nth)) if s or s is x.path)
-                fits = len(identity.encode()) <= MOST_IDENTITY
-                yield i, x.path, x.value.decode(), x.encoded, x.key is not None, x.key, identity if fits else None, fits, None
+            every = walk(bytes(raw or b""))
+            for i, (x, identity) in enumerate(zip(every, identities(every), strict=True)):
+                yield i, x.path, x.value.decode(), x.encoded, x.key is not None, x.key, identity, identity is not None, None
         except WalkError as e:
             yield (*[None] * 8, str(e))
 
@@ -215,8 +238,8 @@ def identity_encoding(header: Column) -> Column:
     return F.coalesce(F.forall(F.split(header, ","), lambda x: F.lower(F.trim(x)) == "identity"), F.lit(True))
 
 
-def inflated(bodies: DataFrame, body: str = "body", encoding: str = "content_encoding") -> DataFrame:
-    """``bodies`` with codings unwound from the last to the first, and ``refused`` where that fails."""
+def inflated(bodies: DataFrame, body: str = "body", encoding: str = "content_encoding", cap: int = 64 << 20) -> DataFrame:
+    """``bodies`` with codings unwound from the last to the first, and ``refused`` where that fails or any step gives more than ``cap`` bytes."""
 
     def undo(raw: bytes | None, codings: str | None) -> bytes | None:
         out = raw or b""
@@ -227,10 +250,10 @@ def inflated(bodies: DataFrame, body: str = "body", encoding: str = "content_enc
             while left or not parts:
                 try:
                     press = zlib.decompressobj(-15 if coding == "deflate" else 31)
-                    parts.append(press.decompress(left) + press.flush())
+                    parts.append(press.decompress(left, cap - sum(map(len, parts)) + 1))
                 except zlib.error:
                     return None
-                if not press.eof:
+                if not press.eof or sum(map(len, parts)) > cap:
                     return None
                 # a gzip body is one or more members, to its end
                 left = b"" if coding == "deflate" else press.unused_data
@@ -256,23 +279,121 @@ def rewrite(body: bytes, edits: list[tuple[int, int, int, str]]) -> tuple[bytes,
     for a, b, i, replacement in placed:
         if a < at:
             continue
-        spelled = replacement.encode()
-        for _ in found[i].chain:
-            spelled = escape(spelled)
-        if spelled == body[a:b]:
+        text = spelled(replacement.encode(), found[i])
+        if text == body[a:b]:
             continue
-        out += [body[at:a], spelled]
+        out += [body[at:a], text]
         at, n = b, n + 1
     return b"".join(out) + body[at:], n
 
 
-def redact_json(bodies: DataFrame, findings: DataFrame, key: str, body: str = "body") -> DataFrame:
-    """key, redacted body and number of edits; ``findings`` has key, leaf_index, start, end and replacement.
+def is_json(body: bytes) -> bool:
+    """Whether a body is one JSON document, broken characters aside."""
+    try:
+        for _ in _scan(body.decode(errors="replace").encode()):
+            pass
+    except WalkError:
+        return False
+    return True
+
+
+LEAVES = T.ArrayType(T.StructType([f for f in LEAF.fields if f.name not in ("identity", "identifiable", "error")]))
 
-    A body that cannot be walked stays as it is.
+
+def walked(bodies: DataFrame, body: str = "body") -> DataFrame:
+    """``bodies`` with ``leaves``, an array in document order, ``walk_error`` and ``is_json``, whether the body is JSON but for broken characters; one row stays one row."""
+    kept = [c for c in bodies.columns if c not in ("leaves", "walk_error", "is_json")]
+    schema = T.StructType([*(bodies.schema[c] if c != body else T.StructField(body, T.BinaryType()) for c in kept), T.StructField("leaves", LEAVES), T.StructField("walk_error", T.StringType()), T.StructField("is_json", T.BooleanType())])
+    plain = bodies.select(*[(F.col(f"`{c}`").cast("binary") if c == body else F.col(f"`{c}`")).alias(f"k{i}") for i, c in enumerate(kept)])
+    at = kept.index(body)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = to_arrow_type(LEAVES)
+        for batch in batches:
+            for low in range(0, batch.num_rows, 256):
+                part, found, errors = batch.slice(low, 256), [], []
+                for raw in part.column(at).to_pylist():
+                    try:
+                        found.append([(i, x.path, x.value.decode(), x.encoded, x.key is not None, x.key) for i, x in enumerate(walk(raw or b""))])
+                        errors.append(None)
+                    except (WalkError, RecursionError) as e:
+                        found.append([])
+                        errors.append(str(e) if isinstance(e, WalkError) else "max_depth")
+                valid = [e is None or (e == "invalid_utf8" and is_json(raw)) for e, raw in zip(errors, part.column(at).to_pylist(), strict=True)]
+                rows = [[dict(zip(("leaf_index", "path", "value", "encoded", "member", "key"), x, strict=True)) for x in f] for f in found]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(rows, kind), pa.array(errors, pa.string()), pa.array(valid, pa.bool_())], names=schema.names)
+
+    return plain.mapInArrow(run, schema)
+
+
+def spelled(replacement: bytes, leaf: Leaf) -> bytes:
+    """A text as it must stand in a leaf's raw place."""
+    for _ in leaf.chain:
+        replacement = escape(replacement)
+    return replacement
+
+
+def restored_body(body: bytes, secrets: dict[str, str], token: re.Pattern) -> tuple[bytes, int]:
+    """``body`` with the known placeholders restored, spelled at each leaf's depth, and their number.
+
+    Placeholders outside string values (in member names) get one level of escapes; a body
+    that is no JSON document gets the bare secrets. Unknown ones stay.
     """
-    edits = findings.groupBy(key).agg(F.collect_list(F.struct("leaf_index", "start", "end", "replacement")).alias("edits"))
-    joined = bodies.select(key, F.col(body).cast("binary").alias("body")).join(edits, key, "left")
+    def secret_of(m: re.Match) -> bytes | None:
+        found = secrets.get(m.group().decode())
+        return None if found is None else found.encode()
+
+    total = sum(secret_of(m) is not None for m in token.finditer(body))
+    if not total:
+        return body, 0
+    try:
+        found = walk(body)
+    except (WalkError, RecursionError):
+        return token.sub(lambda m: m.group() if (s := secret_of(m)) is None else s, body), total
+    edits = []
+    for leaf in found:
+        for m in token.finditer(leaf.value):
+            if (s := secret_of(m)) is not None:
+                edits.append((*raw_span(leaf.chain, m.start(), m.end()), spelled(s, leaf)))
+    out, at = [], 0
+    for a, b, text in sorted(edits):
+        if a >= at:
+            out += [token.sub(lambda m: m.group() if (s := secret_of(m)) is None else escape(s), body[at:a]), text]
+            at = b
+    rest = token.sub(lambda m: m.group() if (s := secret_of(m)) is None else escape(s), body[at:])
+    return b"".join(out) + rest, total
+
+
+def restore_json(bodies: DataFrame, minted: DataFrame, key: str, token: str, body: str = "body", exclusions: DataFrame | None = None) -> DataFrame:
+    """key, restored and n_restored of every body, placeholders spelled at the depth where they stand.
+
+    ``minted`` has placeholder and secret; secrets in ``exclusions`` (secret) stay
+    placeholders. Only bodies with placeholders are shuffled, to meet their own secrets.
+    """
+    known = minted if exclusions is None else minted.join(exclusions.select("secret").distinct(), "secret", "left_anti")
+    plain = bodies.select(key, F.col(body).cast("binary").alias("body"))
+    text = F.col("body").cast("string")
+    has = F.coalesce(F.contains(text, F.lit("__PII_")), F.lit(False))
+    tokens = plain.where(has).select(key, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(f"({token})"), F.lit(0)))).alias("placeholder"))
+    own = tokens.join(known.select("placeholder", "secret"), "placeholder").groupBy(key).agg(F.map_from_entries(F.collect_set(F.struct("placeholder", "secret"))).alias("secrets"))
+    joined = plain.where(has).join(own, key, "left")
+    schema = T.StructType([joined.schema[key], T.StructField("restored", T.BinaryType()), T.StructField("n_restored", T.IntegerType())])
+    pattern = re.compile(token.encode())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [restored_body(raw, dict(own or []), pattern) for raw, own in zip(batch.column("body").to_pylist(), batch.column("secrets").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.int32())], names=schema.names)
+
+    return joined.mapInArrow(run, schema).union(plain.where(~has).select(key, "body", F.lit(0)))
+
+
+def rewritten(bodies: DataFrame, key: str, body: str = "body", edits: str = "edits") -> DataFrame:
+    """key, redacted body and number of edits; ``edits`` is an array of (leaf_index, start, end, replacement), in bytes of the leaf.
+
+    A body that cannot be walked, or has no edits, stays as it is.
+    """
+    joined = bodies.select(key, F.col(body).cast("binary").alias("body"), F.col(edits).alias("edits"))
     schema = T.StructType([joined.schema[key], T.StructField("redacted", T.BinaryType()), T.StructField("applied", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,8 +402,14 @@ def redact_json(bodies: DataFrame, findings: DataFrame, key: str, body: str = "b
             for raw, own in zip(batch.column("body").to_pylist(), batch.column("edits").to_pylist(), strict=True):
                 try:
                     out.append(rewrite(raw, [(e["leaf_index"], e["start"], e["end"], e["replacement"]) for e in own]) if own else (raw, 0))
-                except WalkError:
+                except (WalkError, RecursionError):
                     out.append((raw, 0))
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.int32())], names=schema.names)
 
     return joined.mapInArrow(run, schema)
+
+
+def redact_json(bodies: DataFrame, findings: DataFrame, key: str, body: str = "body") -> DataFrame:
+    """``rewritten`` for edits that stand as rows of key, leaf_index, start, end and replacement."""
+    edits = findings.groupBy(key).agg(F.collect_list(F.struct("leaf_index", "start", "end", "replacement")).alias("edits"))
+    return rewritten(bodies.select(key, body).join(edits, key, "left"), key, body)

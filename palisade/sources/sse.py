@@ -7,6 +7,7 @@ dropped; id persists; the end of a stream dispatches what is held.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -14,12 +15,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+_BREAK = re.compile(rb"\r\n|\n|\r")
+
 
 class Decoder:
     """Feed bytes, get events; any split of the bytes gives the same events."""
 
     def __init__(self):
-        self.held, self.after_cr = b"", False
+        self.held, self.after_cr = [], False  # parts of a line
         self.event, self.data, self.id, self.has_id, self.retry = "", [], "", False, ""
 
     def _line(self, line: bytes) -> tuple | None:
@@ -45,27 +48,21 @@ class Decoder:
     def feed(self, chunk: bytes) -> Iterator[tuple]:
         if self.after_cr and chunk:
             chunk, self.after_cr = chunk.removeprefix(b"\n"), False
-        data = self.held + chunk
         at = 0
-        while True:
-            ends = [x for x in (data.find(b"\n", at), data.find(b"\r", at)) if x >= 0]
-            if not ends:
-                break
-            end = min(ends)
-            if made := self._line(data[at:end]):
+        for m in _BREAK.finditer(chunk):
+            self.held.append(chunk[at : m.start()])
+            line, self.held = b"".join(self.held), []
+            at = m.end()
+            self.after_cr = m.group() == b"\r" and at == len(chunk)
+            if made := self._line(line):
                 yield made
-            at = end + 1
-            if data[end : end + 1] == b"\r":
-                if at < len(data):
-                    at += data[at : at + 1] == b"\n"
-                else:
-                    self.after_cr = True
-        self.held = data[at:]
+        if at < len(chunk):
+            self.held.append(chunk[at:])
 
     def close(self) -> Iterator[tuple]:
         if self.held:
-            self._line(self.held)
-            self.held = b""
+            self._line(b"".join(self.held))
+            self.held = []
         if made := self._line(b""):
             yield made
 

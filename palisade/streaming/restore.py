@@ -54,10 +54,10 @@ def whole_tokens(chunks: DataFrame, stream: str = "stream_id", seq: str = "seq",
 
 
 def restored_stream(chunks: DataFrame, vault: DataFrame, path: str, checkpoint: str, stream: str = "stream_id", seq: str = "seq") -> StreamingQuery:
-    """Run a stream of chunks to Parquet at ``path`` with its placeholders restored."""
+    """Run a stream of chunks to Parquet at ``path`` with its placeholders restored; a batch that runs again replaces what it wrote."""
 
-    def each(batch: DataFrame, _: int) -> None:
+    def each(batch: DataFrame, number: int) -> None:
         keyed = batch.selectExpr("*", f"struct({stream}, {seq}) AS _key")
-        restore(keyed, vault, "_key", "text").selectExpr("_key.*", "restored", "n_restored").write.mode("append").parquet(path)
+        restore(keyed, vault, "_key", "text").selectExpr("_key.*", "restored", "n_restored").write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return whole_tokens(chunks, stream, seq).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

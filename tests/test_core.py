@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palisade.functions import spans
-from palisade.operators import detectors, policy, tokens
+from palisade.operators import detectors, policy, requests, tokens
 from palisade.plans import rules
 from palisade.sources import bodies, sse
 from palisade.streaming import restore
@@ -44,6 +44,95 @@ def test_rewrite_at_depth():
     assert json.loads(back["m"])["note"] == 'say "hi" to T"1' and back["n"] == 'é T"1'
 
 
+def test_members_and_identities():
+    body = json.dumps({"n": 1, "a": [2, "x", None, "y"], "k": json.dumps(["v", {"m": "w"}]), "s": json.dumps("root"), "z": True, "t": "end"}).encode()
+    found = bodies.walk(body)
+    assert [(x.path, x.key) for x in found] == [("/a/1", None), ("/a/3", None), ("/k/0", None), ("/k/1/m", "m"), ("/s", None), ("/t", "t")]
+    u = bodies.UNIT
+    assert bodies.identities(found) == [u.join(x) for x in (("/a/1", "n=1", "0=2", "0"), ("/a/3", "n=1", "0=2", "2=null", "0"), ("/k/0", "n=1", "0"), ("/k/1/m", "n=1", "0"), ("/s", "n=1", "0"), ("/t", "n=1", "z=true", "0"))]
+    assert bodies.identities(bodies.walk(b'{"a":"1","a":"2"}')) == [f"/a{u}0", f"/a{u}1"]
+    assert bodies.identities(bodies.walk(b'{"n":%s,"a":"1"}' % (b"9" * 2000))) == [None]
+    wide = b"{" + b",".join(b'"k%d":%d,"s%d":"x"' % (i, i, i) for i in range(30_000)) + b"}"
+    start = time.time()
+    assert sum(x is None for x in bodies.identities(bodies.walk(wide))) > 29_000 and time.time() - start < 5
+
+
+@pytest.mark.parametrize("levels", [1, 2, 3, 4])
+def test_encoded_up_to_the_limit(monkeypatch, levels):
+    monkeypatch.setattr(bodies, "MOST_ENCODED", 3)
+    deep = {"a": "v"}
+    for _ in range(levels):
+        deep = {"k": json.dumps(deep)}
+    (leaf,) = bodies.walk(json.dumps(deep).encode())
+    assert leaf.encoded is (levels < 3) and leaf.path == "/k" * min(levels, 3) + ("/a" if levels <= 3 else "/k")
+
+
+def test_request_path(spark):
+    rules_ = [detectors.BUILTIN[1], detectors.keyword_rule("stop", ("stop",), action="block")]
+    rows = [(1, '{"Token":"ann@corp.com allowed","a":["ann@corp.com"]}'), (2, '{"token":"allowed"}'), (3, '{"a":"please stop ann@corp.com"}'), (4, "no json ann@corp.com"), (5, '["ann@corp.com"]'), (6, None), (7, "{}")]
+    df = spark.createDataFrame(rows, "k int, body string")
+    made = requests.evaluated(bodies.walked(df), rules_, sensitive=("TOKEN",), allowlist=("allowed",))
+    got = {r["k"]: (r["action"], r["refusal"], r["rule_ids"], [(f["leaf_index"], f["value"]) for f in r["backing"]]) for r in made.collect()}
+    assert got == {
+        1: ("redact", None, ["sensitive_key", "email"], [(0, "ann@corp.com allowed"), (1, "ann@corp.com")]), 2: ("allow", None, [], []), 3: ("block", None, ["stop"], [(0, "stop")]),
+        4: ("block", "malformed_json", [], []), 5: ("redact", None, ["email"], [(0, "ann@corp.com")]), 6: ("block", "malformed_json", [], []), 7: ("allow", None, [], [])}
+    minted = tokens.vault(requests.secrets_of(made), b"s" * 32)
+    done = requests.redacted(made, b"s" * 32, "k")
+    assert {r["k"]: r["applied"] for r in done.collect()} == {1: 2, 2: 0, 3: 0, 4: 0, 5: 1, 6: 0, 7: 0}
+    back = bodies.restore_json(done.withColumnRenamed("redacted", "body"), minted, "k", tokens.TOKEN)
+    assert {r["k"]: r["restored"] and bytes(r["restored"]).decode() for r in back.collect()} == dict(rows)
+    late = requests.evaluated(bodies.walked(spark.createDataFrame([(1, b'{"a":"\xff"}'), (2, b"no json"), (3, b'{"a":"b"}')], "k int, body binary")), rules_, phase="response")
+    assert {r["k"]: (r["action"], r["walk_skip"]) for r in late.collect()} == {1: ("allow", 1), 2: ("allow", 0), 3: ("allow", 0)}
+
+
+def test_restore_at_depth_in_keys_and_plain(spark):
+    token, secret = "__PII_custom_0123456789ab__", 'say "hi"\\ \n'
+    other = "__PII_custom_ffffffffffff__"
+    minted = spark.createDataFrame([(token, secret), ("__PII_email_0123456789ab__", "ann@corp.com")], "placeholder string, secret string")
+    body = json.dumps({"a": f"x {token}", token: json.dumps({"in": f"{token}{token} {other}"}), "e": "__PII_email_0123456789ab__"})
+    df = spark.createDataFrame([(1, body), (2, f"plain {token} {other}"), (3, "none"), (4, None)], "k int, body string")
+    out = {r["k"]: (r["restored"] and bytes(r["restored"]).decode(), r["n_restored"]) for r in bodies.restore_json(df, minted, "k", tokens.TOKEN).collect()}
+    back = json.loads(out[1][0])
+    assert back["a"] == f"x {secret}" and json.loads(back[secret])["in"] == f"{secret}{secret} {other}" and back["e"] == "ann@corp.com" and out[1][1] == 5
+    assert out[2] == (f"plain {secret} {other}", 1) and out[3] == ("none", 0) and out[4] == (None, 0)
+    left = bodies.restore_json(df, minted, "k", tokens.TOKEN, exclusions=minted.where("secret LIKE 'ann%'").select("secret")).where("k = 1").first()
+    assert b"__PII_email_0123456789ab__" in bytes(left["restored"]) and left["n_restored"] == 4
+
+
+def test_floor_and_switches():
+    def pack(**doc):
+        return rules.compile_document(json.dumps({"schema_version": 2, **doc}))
+
+    rule = {"id": "r", "type": "email", "action": "warn"}
+    weak = [{"detectors": {"high_entropy": False}}, {"detectors": {"email": False}}, {"disabled_categories": ["high_entropy"]}, {"rules": [{"id": "r", "type": "keyword", "keywords": ["x"], "action": "allow", "category": "mine"}]},
+            {"rules": [{**rule, "options": {"email": {"suffixes": ["corp"], "replace": True}}}]}]
+    for doc in weak:
+        with pytest.raises(rules.RuleError):
+            rules.check_floor(pack(**doc))
+        rules.check_floor(rules.compile_document(json.dumps({"schema_version": 2, **doc}), origin="builtin"))
+    rules.check_floor(pack(rules=[{**rule, "options": {"email": {"suffixes": ["corp"]}}}], detectors={"email": True}, disabled_categories=["mine"]))
+    assert [r.id for r in rules.builtin()] == ["prefix", "email", "luhn", "jwt", "private_key"] and [r.id for r in rules.builtin({"email": False, "high_entropy": True})][-1] == "high_entropy"
+    assert pack(rules=[{"id": "c", "type": "command", "action": "warn", "verbs": ["x"]}]).commands == ("c",)
+    for doc in ({"rules": [{"id": "c", "type": "command", "action": "warn", "verbs": ["x"] * 17}]}, {"rules": [rule, rule]}):
+        with pytest.raises(rules.RuleError):
+            pack(**doc)
+    with pytest.raises(rules.RuleError):
+        rules.builtin({"nothing": True})
+
+
+def test_inflated_within_cap(spark):
+    df = spark.createDataFrame([(1, gzip.compress(b"0" * 10_000), "gzip"), (2, gzip.compress(gzip.compress(b"0" * 900)), "gzip, gzip"), (3, gzip.compress(b"0" * 600) * 2, "gzip")], "k int, body binary, content_encoding string")
+    assert {r["k"]: r["refused"] for r in bodies.inflated(df, cap=1000).collect()} == {1: True, 2: False, 3: True}
+
+
+def test_sse_is_linear():
+    d, start = sse.Decoder(), time.time()
+    events = sum(1 for i in range(40_000) for _ in d.feed(b"data: x" + b"y" * (i % 3) + b"\n\n")) + sum(1 for _ in d.feed(b"data: a\n" * 100_000 + b"\n"))
+    for _ in range(20_000):
+        events += sum(1 for _ in d.feed(b"long "))
+    assert events == 40_001 and time.time() - start < 5
+
+
 def test_leaves_and_errors(spark):
     df = spark.createDataFrame([(1, b'{"a":"x"}'), (2, b"nope"), (3, None)], "k int, body binary")
     got = {r["k"]: r for r in bodies.leaves(df, "k").collect()}
