@@ -13,8 +13,11 @@ without blanks (Han, kana, Thai, Lao, Khmer, Burmese) are words of their own.
 
 Defined cases: a null or empty text has no sentences; fewer sentences than a run are one
 run; A-Z fold and white space is not compared; rows with one doc_id count as one
-document's text read again, so neither copy is the other's repeat; rows with a null
-doc_id are left as they are. Columns that clash with new ones are replaced.
+doc_id are left as they are. Where rows share a doc_id, their texts are told apart by a
+hash: equal texts count as one read again, so neither is the other's repeat, and of
+different ones the text of lower hash comes first. Empty tables give no rows; very long
+texts are cut whole, in a run of their own; other columns are not looked at, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .neardup import texts_of
+from .bits import bit_map, flagged, fresh
 from .staging import stage
 from .textvec import _power_tables, mix, slices, utf8, words
 
@@ -102,8 +105,14 @@ def runs(sizes: np.ndarray, inner: np.ndarray, rows: np.ndarray, run: int, least
     return row[pairs[0]], pairs[0], pairs[1]
 
 
-def sentence_runs(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS) -> DataFrame:
-    """h, doc_id, at, till: every long enough run of pieces by hash and the indices of its first piece and of the one after it."""
+def _named(docs: DataFrame) -> DataFrame:
+    """doc_id, h (a hash of the text) and text of the rows with both."""
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+    return plain.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("h"), "text")
+
+
+def sentence_runs(named: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS) -> DataFrame:
+    """r, doc_id, h, at, till: every long enough run of pieces by hash and the indices of its first piece and of the one after it."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,26 +122,28 @@ def sentence_runs(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORD
                 up, down = _power_tables(len(hashes) + 1)
                 sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * up[: len(hashes)], dtype=np.uint64)])
                 found = mix((sums[end] - sums[start]) * down[start])
-                ids = part.column("doc_id").to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(ids[row]), *(pa.array((x - rows[:-1][row]).astype(np.int32)) for x in (start, end))], names=["h", "doc_id", "at", "till"])
+                ids, texts = part.column("doc_id").to_numpy(), part.column("h").to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(ids[row]), pa.array(texts[row]), *(pa.array((x - rows[:-1][row]).astype(np.int32)) for x in (start, end))], names=["r", "doc_id", "h", "at", "till"])
 
-    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(make, "h long, doc_id long, at int, till int")
+    return named.mapInArrow(make, "r long, doc_id long, h long, at int, till int")
 
 
-def repeats(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS) -> DataFrame:
-    """doc_id, positions (at, till), first_doc_ids: where runs stand that stand earlier elsewhere, and where."""
-    found = stage(sentence_runs(docs, run, least_words), "runs")
-    first = found.groupBy("h").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "first")
-    later = found.join(first, "h").where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("at") != F.col("first.at")))
-    return later.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("at", "till"))).alias("positions"), F.array_sort(F.collect_set("first.doc_id")).alias("first_doc_ids"))
+def repeats(named: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS) -> DataFrame:
+    """doc_id, h, positions (at, till), first_doc_ids: where runs stand that stand earlier elsewhere, and where."""
+    found = stage(sentence_runs(named, run, least_words), "runs")
+    place = F.struct("doc_id", "h", "at")
+    first = found.groupBy("r").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("r", "first")
+    later = found.join(first, "r").where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("h") != F.col("first.h")) | (F.col("at") != F.col("first.at")))
+    return later.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set(F.struct("at", "till"))).alias("positions"), F.array_sort(F.collect_set("first.doc_id")).alias("first_doc_ids"))
 
 
 def cleaned(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS) -> DataFrame:
-    """doc_id, first_doc_ids, n_sentences, n_removed, removed_words and the remaining text of every document with repeats."""
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    hits = stage(repeats(plain, run, least_words), "repeats")
-    rows = texts_of(hits.select(F.col("doc_id").alias("id")), plain).join(hits, "doc_id")
-    kept = ["doc_id", "first_doc_ids"]
+    """doc_id, h, first_doc_ids, n_sentences, n_removed, removed_words and the remaining text of every document with repeats, once for each text of a doc_id."""
+    named = _named(docs)
+    hits = stage(repeats(named, run, least_words), "repeats")
+    maybe = flagged(named, bit_map(hits, "doc_id", "h"), [F.col("doc_id"), F.col("h")], "repeated").where("repeated").select("doc_id", "h", "text")
+    rows = maybe.dropDuplicates(["doc_id", "h"]).join(hits, ["doc_id", "h"])
+    kept = ["doc_id", "h", "first_doc_ids"]
     schema = T.StructType([*(rows.schema[c] for c in kept), *(T.StructField(c, T.LongType()) for c in ("n_sentences", "n_removed", "removed_words")), T.StructField("text", T.StringType())])
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,31 +151,35 @@ def cleaned(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS) ->
             for part in slices(batch, "text"):
                 buf, offsets = utf8(part.column("text"))
                 _, first, sizes, _, at = cut(buf, offsets)
-                out = []
+                raw, out = buf.tobytes(), []
                 for i, positions in enumerate(part.column("positions").to_pylist()):
                     a, b = at[i], at[i + 1]
                     gone = np.zeros(b - a + 1, np.int64)
                     for p in positions:
-                        if p["at"] < b - a:  # another row of this doc_id may be longer
-                            gone[p["at"]] += 1
-                            gone[min(p["till"], b - a)] -= 1
+                        gone[p["at"]] += 1
+                        gone[p["till"]] -= 1
                     gone = np.cumsum(gone[:-1]) > 0
                     bounds = [*first[a:b].tolist(), int(offsets[i + 1])]
                     if b > a:
                         bounds[0] = int(offsets[i])
-                    raw = buf.tobytes() if i == 0 else raw
                     text = b"".join(raw[bounds[j] : bounds[j + 1]] for j in np.flatnonzero(~gone).tolist())
                     out.append((int(b - a), int(gone.sum()), int(sizes[a:b][gone].sum()), text.decode()))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *(pa.array([x[k] for x in out]) for k in range(4))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *(pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string())))], names=schema.names)
 
     return rows.mapInArrow(strip, schema)
 
 
 def remove_repeats(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS) -> DataFrame:
-    """``docs`` with repeated sentences removed from ``text``; every row and every other column stays."""
-    made = cleaned(docs, run, least_words).groupBy("doc_id").agg(F.max("text").alias("_text"))
-    joined = docs.join(made, docs["doc_id"] == made["doc_id"], "left").drop(made["doc_id"])
-    return joined.withColumn("text", F.coalesce("_text", "text")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """``docs`` with repeated sentences removed from ``text``; every row and every other column stays. Only rows with repeats are shuffled."""
+    flag, left = fresh("repeated", docs.columns), fresh("left", docs.columns)
+    made = stage(cleaned(docs, run, least_words).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("text").alias(left)), "cleaned")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    own = [F.col("doc_id").cast("long"), F.xxhash64("text")]
+    marked = flagged(docs, bit_map(made, "_id", "_h"), own, flag)
+    hit = F.col(flag) & F.col("doc_id").isNotNull() & F.col("text").isNotNull()
+    joined = marked.where(hit).join(made, (own[0] == F.col("_id")) & (own[1] == F.col("_h")), "left")
+    changed = joined.select(*[F.coalesce(F.col(left), F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    return marked.where(~hit).select(*columns).union(changed)
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -1,37 +1,5 @@
-"""Intermediate tables in the folder that every executor shares.
+"""Intermediate tables of the corpus operators: those of the library."""
 
-A staged table is ordinary Parquet below ``spark.checkpoint.dir``, so losing an
-executor never loses it and nothing upstream runs twice.
-"""
+from ..staging import fresh_path, shared_dir, stage
 
-from __future__ import annotations
-
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; set to a fresh local folder only where it is unset."""
-    context = spark.sparkContext
-    path = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        found = context._jsc.sc().getCheckpointDir()
-        path = found.get() if found.isDefined() else None
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="palisade-shared-")
-        context.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nobody has used before."""
-    return f"{shared_dir(spark)}/palisade-{uuid.uuid4().hex}/{name}"
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and return a frame that reads it back."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["fresh_path", "shared_dir", "stage"]

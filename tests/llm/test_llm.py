@@ -7,7 +7,7 @@ from itertools import combinations
 import pyarrow as pa
 import pytest
 
-from palisade.llm import bpe, language, licenses, neardup, secret_scan, sentences
+from palisade.llm import bpe, language, licenses, neardup, secret_scan
 
 WORDS = [f"w{i}x" for i in range(400)]
 
@@ -81,32 +81,6 @@ def test_bpe(spark):
         assert list(memoryview(bytes(r["token_ids"])).cast("I")) == ids and r["decoded"] == t
 
 
-def test_sentences(spark):
-    passage = "One two three four five six. Seven eight nine ten eleven twelve. Thirteen fourteen fifteen sixteen. "
-    texts = ["Alpha beta. " + passage + "Gamma.", "Delta. " + passage + "Epsilon zeta.", None, "", "No repeats here."]
-    got = {r["doc_id"]: r for r in sentences.cleaned(frame(spark, texts)).collect()}
-    assert set(got) == {1} and got[1]["first_doc_ids"] == [0] and got[1]["text"] == "Delta. Epsilon zeta." and got[1]["n_removed"] == 3
-
-
-@pytest.mark.parametrize("joint", [" ", ""])
-def test_sentences_without_ends(spark, joint):
-    rng = random.Random(3)
-    word = (lambda: f"v{rng.randrange(10**6)}") if joint else (lambda: chr(rng.randrange(0x4E00, 0x9FA0)))
-    texts, planted = [], []
-    for _ in range(150):
-        passage = [word() for _ in range(51)]
-        planted.append(passage)
-        for _ in range(2):
-            texts.append(joint.join([word() for _ in range(rng.randrange(30, 60))] + passage + [word() for _ in range(rng.randrange(30, 60))]))
-    texts += [joint.join(["0"] * 120) for _ in range(2)]
-    got = {r["doc_id"]: r for r in sentences.cleaned(frame(spark, texts)).collect()}
-    assert {d for d in got if d < 300} == set(range(1, 300, 2)) and (not joint or 301 in got)
-    for k, passage in enumerate(planted):
-        r = got[2 * k + 1]
-        assert r["first_doc_ids"] == [2 * k] and 24 <= r["removed_words"] <= 51 and joint.join(passage[15:35]) not in r["text"]
-        assert r["text"].startswith(texts[2 * k + 1][: 30 if joint else 10])
-
-
 def test_licenses(spark):
     texts = ["x y z\nLicensed under the Apache License, Version 2.0.\n", "Released under the MIT license", None, "", "nothing"]
     got = {(r["doc_id"], r["license"], texts[r["doc_id"]][r["start"] : r["end"]]) for r in licenses.scan(frame(spark, texts)).collect()}
@@ -143,5 +117,5 @@ def test_language_stage(spark):
 
 def test_empty_tables(spark):
     docs = frame(spark, []).select("doc_id", "text")
-    assert neardup.near_duplicates(docs).count() == 0 and sentences.cleaned(docs).count() == 0 and licenses.scan(docs).count() == 0
+    assert neardup.near_duplicates(docs).count() == 0 and licenses.scan(docs).count() == 0
     assert secret_scan.digests(docs).count() == 0
