@@ -1,24 +1,33 @@
 """Secrets by fixed patterns and by compression novelty.
 
 Three base patterns find assignments, access keys and long hexadecimal runs. Beyond
-them, every token-like run in a sensitive context (a name such as key, token or auth
-shortly before it) is a candidate, and so is what follows an equals sign in the run that
-holds the name (``AWS_SECRET_ACCESS_KEY=...``); only the start of a candidate must be near
-the name, it ends where the run ends. What ``_``, ``-`` or ``/`` joins to a name is part of
-the name. Zstandard, primed with a dictionary of common
-identifiers and the text around the run, tells how many bytes the run adds. A run that
-costs nearly as many bits as its alphabet allows is reported as ``novel``; identifiers,
-paths, words and repeats of what stands nearby compress away and are not.
+them, every token-like run in a sensitive context (a name such as key, token or auth at
+most ``CONTEXT_BEFORE`` characters before it) is a candidate, and so is, in a run that
+holds such a name itself, what follows an equals sign (``AWS_SECRET_ACCESS_KEY=...``) and
+every part of ``CANDIDATE_LEAST`` letters and digits that ``_``, ``-`` or ``/`` joins to
+the name. Only the start of a candidate must be near the name, it ends where the run or
+the part ends. Zstandard, primed with a dictionary of common
+identifiers, tells how many bytes the run adds to some code and prose and the text around
+it, whose letters cost less than random ones. A run that costs as many bits as its
+alphabet allows (``NOVEL_SHARE`` of what its kinds of characters can hold, a little more
+for short ones) is reported as ``novel``, also where it stands twice; identifiers, paths,
+words and what repeats parts of itself or of what stands nearby cost less and are not.
 
 Spans are (kind, start, end) in code points, end exclusive, over whole texts; a novel
 span never overlaps a base span. Defined cases: a null text counts as empty; equal texts
-give equal spans; input columns that clash with output columns are replaced.
+give equal spans; input columns that clash with output columns are replaced; an empty
+table gives no rows; repeated rows and null ids are scanned like others; time grows with
+the text, not with the number of names in it.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from bisect import bisect_left
+from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
@@ -32,16 +41,17 @@ from .textvec import map_rows
 KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(r"(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
-HEX = re.compile(r"[0-9a-f]+")
-ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 6, 20, 24
+ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 
 HEX_RUN = re.compile(r"[0-9a-f]{24,}")
 CANDIDATE_LEAST = 16
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % CANDIDATE_LEAST)
-EQUALS = re.compile("=+")
+INNER = re.compile(r"=+|(?<=[_/-])[A-Za-z0-9+]{%d,}" % CANDIDATE_LEAST)
+ALPHABETS = ((re.compile("[a-z]"), 26), (re.compile("[A-Z]"), 26), (re.compile("[0-9]"), 10), (re.compile("[+/_=-]"), 5))
+NARROW = ((re.compile("[0-9a-f]+"), 16), (re.compile("[0-9A-F]+"), 16))
 CONTEXT = re.compile(r"(?:key|token|secret|passw|pwd|auth|bearer|credential|private|signature|session)", re.I | re.A)
 CONTEXT_BEFORE, AROUND = 40, 256
-NOVEL_BYTES_A_CHAR = 0.66
+NOVEL_SHARE, NOVEL_MORE = 0.96, 2.0
 IDENTIFIERS = " ".join("""
     abstract account address algorithm application argument array async attribute authorization await base64 boolean
     buffer certificate channel class client collection config configuration connection constant constructor content
@@ -56,51 +66,67 @@ IDENTIFIERS = " ".join("""
     virtual volume warning window workspace abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789
 """.split())
 
-_plain = zstandard.ZstdCompressor(level=3, write_content_size=False)
+# What the compressor has seen before the text around a candidate, so that it knows the letters of code and prose.
+SEEN = """if value is None or len(rows) == 0: return False  # nothing to do here, the caller goes on with the next one; for (int i = 0; i < size; i++) { total += items[i].price * 1.07; }
+The quick brown fox jumps over the lazy dog while 3 judges watch. See https://www.example.org/docs/page7?lang=en&sort=2 for how it works, then run: make all && ./run.sh --level=9 -o out/Result_2.txt
+"""
 
 
 def base_spans(text: str) -> list[tuple[int, str, int]]:
     """(start, kind, end) of the base patterns: leftmost, non-overlapping per kind, long enough."""
     found = [(m.start(), "assign", m.end()) for m in ASSIGN.finditer(text) if m.end(1) - m.start(1) >= ASSIGN_LEAST]
     found += [(m.start(), "access", m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= ACCESS_LEAST]
-    found += [(m.start(), "hex", m.end()) for m in HEX_RUN.finditer(text)]  # maximal runs: the same as HEX with the least length
+    found += [(m.start(), "hex", m.end()) for m in HEX_RUN.finditer(text)]  # maximal runs of at least the least length
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[1])))
 
 
-def marginal_bytes(candidate: str, around: str) -> int:
-    """Compressed bytes that ``candidate`` adds, given the identifiers and the text around it."""
-    primed = zstandard.ZstdCompressionDict((IDENTIFIERS + "\n" + around).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    press = zstandard.ZstdCompressor(level=3, dict_data=primed, write_content_size=False)
-    raw = candidate.encode()
-    return min(len(press.compress(raw)) - len(press.compress(b"")), len(raw))
+def marginal_bytes(candidate: str, before: str, after: str) -> int:
+    """Compressed bytes that ``candidate`` adds to the text around it, given the identifiers."""
+    primed = zstandard.ZstdCompressionDict(IDENTIFIERS.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    press = zstandard.ZstdCompressor(level=9, dict_data=primed, write_content_size=False)
+    return len(press.compress(f"{SEEN}{before}{candidate}{after}".encode())) - len(press.compress(f"{SEEN}{before}{after}".encode()))
+
+
+def capacity(run: str) -> float:
+    """Bytes that a character of the run's alphabet can hold: its kinds of characters, or hexadecimal ones alone."""
+    size = next((n for kind, n in NARROW if kind.fullmatch(run)), None) or sum(n for kind, n in ALPHABETS if kind.search(run))
+    return math.log2(size) / 8
+
+
+def is_novel(text: str, start: int, end: int) -> bool:
+    """Whether ``text[start:end]`` costs nearly all that its alphabet can hold beside what stands around it."""
+    run = text[start:end]
+    if not (any(c.isdigit() for c in run) and any(c.isalpha() for c in run)):
+        return False
+    least = NOVEL_SHARE * len(run) + min(NOVEL_MORE, (1.04 - NOVEL_SHARE) * len(run))  # short runs must cost a little more
+    # a secret that is written twice is one all the same
+    before, after = (x.replace(run, "") for x in (text[max(0, start - AROUND) : start], text[end : end + AROUND]))
+    return marginal_bytes(run, before, after) >= least * capacity(run)
+
+
+def candidates(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """Bounds of what may be a secret in the run ``text[start:end]``, the longest first."""
+    if CONTEXT.search(text, max(0, start - CONTEXT_BEFORE), start):
+        yield start, end
+    for m in INNER.finditer(text, start, end):
+        at = m.end() if text[m.start()] == "=" else m.start()
+        if CONTEXT.search(text, max(start, at - CONTEXT_BEFORE), at):
+            yield at, end if text[m.start()] == "=" else m.end()
 
 
 def novel_spans(text: str, base: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
     """(start, "novel", end) of incompressible runs in a sensitive context outside ``base``."""
-    marks = [m.start() for m in CONTEXT.finditer(text)]
-    if not marks:
-        return []
-    seen, found = set(), []
-    for mark in marks:
-        last = mark + CONTEXT_BEFORE
-        starts = []
-        for m in CANDIDATE.finditer(text, mark, last + CANDIDATE_LEAST):
-            # the run that holds the name: its values stand after equals signs
-            starts += [e.end() for e in EQUALS.finditer(text, mark, m.end()) if e.end() <= last] if m.start() == mark else [m.start()]
-        for start in starts:
-            if start in seen or (found and start < found[-1][2]):
-                continue
-            seen.add(start)
-            whole = CANDIDATE.match(text, start)
-            if not whole:
-                continue
-            end, run = whole.end(), whole.group()
-            if not (any(c.isdigit() for c in run) and any(c.isalpha() for c in run)):
+    found: list[tuple[int, str, int]] = []
+    held = [a for a, _, _ in base]
+    reach = list(accumulate((b for _, _, b in base), max))
+    for run in CANDIDATE.finditer(text):
+        for start, end in candidates(text, *run.span()):
+            if end - start < CANDIDATE_LEAST or (found and start < found[-1][2]):
                 continue
-            if any(a < end and start < b for a, _, b in base):
+            before = bisect_left(held, end)  # base spans that start before it ends
+            if before and reach[before - 1] > start:
                 continue
-            around = text[max(0, start - AROUND) : start] + "\n" + text[end : end + AROUND]
-            if marginal_bytes(run, around) >= NOVEL_BYTES_A_CHAR * len(run):
+            if is_novel(text, start, end):
                 found.append((start, "novel", end))
     return found
 

@@ -7,7 +7,7 @@ from itertools import combinations
 import pyarrow as pa
 import pytest
 
-from palisade.llm import bpe, language, licenses, neardup, secret_scan
+from palisade.llm import bpe, language, licenses, neardup
 
 WORDS = [f"w{i}x" for i in range(400)]
 
@@ -52,25 +52,6 @@ def test_near_duplicates(spark, k, percent):
     assert got == brute(texts, k, percent)
 
 
-def test_secrets():
-    text = 'é password = "abc" API_KEY: abcdef AKIA' + "Z" * 16 + " " + "0123456789abcdef" * 2 + " auth x9Qz7Lp2Vb8Kt4Wm1Rd6Yn3 ſecret=abcdefg"
-    base, every = secret_scan.scan(text)
-    assert [(k, text[a:b]) for a, k, b in base] == [("assign", "API_KEY: abcdef"), ("access", "AKIA" + "Z" * 16), ("hex", "0123456789abcdef" * 2)]
-    assert ("novel", "x9Qz7Lp2Vb8Kt4Wm1Rd6Yn3") in [(k, text[a:b]) for a, k, b in every]
-    assert secret_scan.scan(None) == ([], []) and "abcdef" not in secret_scan.redacted("token=abcdefgh")
-
-
-@pytest.mark.parametrize("before", ["export AWS_SECRET_ACCESS_KEY=", "private_key=", "auth=", "key auth=user=", "session==", "private key "])
-@pytest.mark.parametrize("length", [24, 8000])
-def test_secrets_unspaced_and_long(before, length):
-    rng = random.Random(length)
-    value = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(length))
-    text = f"one {before}{value} two"
-    (start, kind, end), = secret_scan.scan(text)[1]
-    assert kind == "novel" and start <= 4 + len(before) and text[end:] == " two"
-    assert value[-12:] not in secret_scan.redacted(text) and value[:12] not in secret_scan.redacted(text)
-
-
 def test_bpe(spark):
     from tokenizers import Tokenizer
 
@@ -118,4 +99,3 @@ def test_language_stage(spark):
 def test_empty_tables(spark):
     docs = frame(spark, []).select("doc_id", "text")
     assert neardup.near_duplicates(docs).count() == 0 and licenses.scan(docs).count() == 0
-    assert secret_scan.digests(docs).count() == 0
