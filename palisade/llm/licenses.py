@@ -7,20 +7,25 @@ words shares one. An inverted index of the templates' fingerprints finds, for ea
 document, templates and diagonals; a local alignment of words in a band around each
 diagonal reports how much of the template is matched and where.
 
-Defined cases: null and empty texts match nothing; equal texts match equally; overlapping
-matches of one template are reported once, the one covering most (then the first); a
-match is reported from ``LEAST_COVERAGE`` of the template on.
+Defined cases: null and empty texts match nothing; equal texts match equally, repeated
+rows and rows without an id like others; overlapping matches of one template are reported
+once, the one covering most (then the first); a match is reported from ``LEAST_COVERAGE``
+of the template on; an empty table gives no rows; very long texts are scanned whole, in a
+run of their own; other columns are not looked at.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .license_texts import TEMPLATES
 from .textvec import shingles, slices, utf8, words
 
 GRAM, WINDOW, BAND, LEAST_COVERAGE = 3, 2, 8, 0.7
@@ -28,27 +33,6 @@ _KEEP = np.full(256, 0x20, np.uint8)
 for _a, _b in ((0x30, 0x3A), (0x41, 0x5B), (0x61, 0x7B), (0x80, 0x100)):
     _KEEP[_a:_b] = np.arange(_a, _b)
 
-# Wording of public licences and notices.
-TEMPLATES: dict[str, str] = {
-    "apache-2.0": "Licensed under the Apache License, Version 2.0",
-    "apache-2.0-header": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
-        compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless
-        required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS"
-        BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.""",
-    "mit": "Released under the MIT License",
-    "mit-permission": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
-        documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights
-        to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software""",
-    "gpl-3.0": "This work is licensed under the GNU General Public License, version 3",
-    "gpl-notice": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General
-        Public License as published by the Free Software Foundation""",
-    "bsd": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
-        following conditions are met""",
-    "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0",
-    "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License",
-}
-
-
 def winnow(hashes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Fingerprints of rows of words: (hash, word index of its run), runs not crossing rows."""
     grams, at = shingles(hashes, rows, GRAM)
@@ -86,33 +70,54 @@ class Index:
 
 
 def align(template: np.ndarray, text: np.ndarray, shift: int, band: int = BAND) -> tuple[int, int, int, int]:
-    """Words matched by the best local alignment within ``band`` of diagonal ``shift``, its score, first and end word in ``text``."""
-    best, score, begin, finish = 0, 0, 0, 0
-    above: dict[int, tuple[int, int, int]] = {}  # text index: score, matched, start
+    """Words matched by the best local alignment within ``band`` of diagonal ``shift``, its score, first and end word in ``text``.
+
+    A match scores 2, a different, missing or added word -1; a row of the band at a time.
+    """
+    width = 2 * band + 1
+    steps = np.arange(width)
+    padded = np.zeros(len(text) + 2, text.dtype)
+    padded[1:-1] = text
+    above, kinds = np.zeros(width + 1, np.int64), np.zeros((len(template), width), np.int8)
+    best, at = 0, (0, 0)
     for i in range(len(template)):
-        row: dict[int, tuple[int, int, int]] = {}
-        for j in range(max(0, i + shift - band), min(len(text), i + shift + band + 1)):
-            same = template[i] == text[j]
-            s, m, a = above.get(j - 1, (0, 0, j))
-            options = [(s + 2, m + 1, a) if same else (s - 1, m, a)]
-            for s, m, a in (above.get(j, (0, 0, j)), row.get(j - 1, (0, 0, j))):
-                options.append((s - 1, m, a))
-            cell = max(options, key=lambda x: (x[0], -x[2]))
-            if cell[0] <= 0:
-                cell = (0, 0, j + 1)
-            row[j] = cell
-            if cell[0] > score:
-                score, best, begin, finish = cell[0], cell[1], cell[2], j + 1
-        above = row
-    return best, score, begin, finish
+        j = i + shift - band + steps
+        inside = (j >= 0) & (j < len(text))
+        same = (padded[np.clip(j + 1, 0, len(text) + 1)] == template[i]) & inside
+        across, down = above[:-1] + np.where(same, 2, -1), above[1:] - 1
+        first = np.where(inside, np.maximum(np.maximum(across, down), 0), 0)
+        row = np.where(inside, np.maximum.accumulate(first + steps) - steps, 0)
+        kinds[i] = np.where(row <= 0, 0, np.where(row == across, np.where(same, 1, 2), np.where(row == down, 3, 4)))
+        above[:-1] = row
+        top = int(row.argmax())
+        if row[top] > best:
+            best, at = int(row[top]), (i, top)
+    if not best:
+        return 0, 0, 0, 0
+    i, b = at
+    end, matched = i + shift - band + b + 1, 0
+    while i >= 0 and 0 <= b < width and (kind := kinds[i, b]):
+        matched += kind == 1
+        if kind == 4:
+            b -= 1
+        else:
+            i, b = i - 1, b + (kind == 3)
+    # after a step across or down the start is the word after the cell that scored nothing
+    return int(matched), best, i + shift - band + b + 1, end
 
 
 def matches(text_words: np.ndarray, index: Index, found: list[tuple[int, int, int]], least: float) -> list[tuple[int, float, int, int]]:
     """(template, coverage, first word, end word) in one text; ``found``: (template, its word, the text's word)."""
     out: list[tuple[int, float, int, int]] = []
-    for t in sorted({f[0] for f in found}):
+    diagonals: dict[int, dict[int, int]] = {}
+    for t, at, place in found:
+        own = diagonals.setdefault(t, {})
+        own[(place - at) // BAND] = own.get((place - at) // BAND, 0) + 1
+    for t, seen in sorted(diagonals.items()):
         template, own = index.words[t], []
-        for diagonal in sorted({(place - at) // BAND for k, at, place in found if k == t}):
+        # a copy that covers enough leaves at least one fingerprint, and long ones several, near its diagonal
+        enough = max(1, int(least * len(template) / (GRAM + WINDOW) / 8))
+        for diagonal in sorted(d for d in seen if sum(seen.get(d + k, 0) for k in (-2, -1, 0, 1, 2)) >= enough):
             shift = diagonal * BAND + BAND // 2
             low = max(0, shift - 2 * BAND)
             # what is left and right of a match may hold another one
@@ -125,14 +130,26 @@ def matches(text_words: np.ndarray, index: Index, found: list[tuple[int, int, in
                 if matched and matched >= least * len(template):
                     own.append((t, matched / len(template), begin + a, begin + b))
                     parts += [(begin, begin + a), (begin + b, end)]
+        starts: list[int] = []  # of what is taken, in order: nothing taken overlaps
         taken: list[tuple[int, float, int, int]] = []
-        for m in sorted(own, key=lambda x: (-x[1], x[2])):
-            if all(m[3] <= o[2] or o[3] <= m[2] for o in taken):
-                taken.append(m)
-        out += sorted(taken, key=lambda x: x[2])
+        for m in sorted(set(own), key=lambda x: (-x[1], x[2])):
+            k = bisect_left(starts, m[3])
+            if not k or taken[k - 1][3] <= m[2]:
+                starts.insert(k, m[2])
+                taken.insert(k, m)
+        out += taken
     return out
 
 
+def read_templates(spark: SparkSession, path: str, most_bytes: int = 8 << 20) -> dict[str, str]:
+    """Templates from a folder of text files, by file name; refused if larger than tasks should hold."""
+    rows = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.txt)?$", 1).alias("name"), "value")
+    size = rows.agg(F.sum(F.octet_length("value"))).first()[0] or 0
+    if size > most_bytes:
+        raise ValueError(f"{size} bytes of templates, {most_bytes} at most")
+    return {r["name"]: r["value"] for r in rows.collect()}
+
+
 def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, least: float = LEAST_COVERAGE, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, license, coverage, start and end (code points) of every match."""
     schema = T.StructType([docs.schema[key], T.StructField("license", T.StringType()), T.StructField("coverage", T.DoubleType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])

@@ -4,10 +4,9 @@ import random
 import re
 from itertools import combinations
 
-import pyarrow as pa
 import pytest
 
-from palisade.llm import bpe, language, licenses, neardup
+from palisade.llm import bpe, language, neardup
 
 WORDS = [f"w{i}x" for i in range(400)]
 
@@ -62,25 +61,6 @@ def test_bpe(spark):
         assert list(memoryview(bytes(r["token_ids"])).cast("I")) == ids and r["decoded"] == t
 
 
-def test_licenses(spark):
-    texts = ["x y z\nLicensed under the Apache License, Version 2.0.\n", "Released under the MIT license", None, "", "nothing"]
-    got = {(r["doc_id"], r["license"], texts[r["doc_id"]][r["start"] : r["end"]]) for r in licenses.scan(frame(spark, texts)).collect()}
-    assert got == {(0, "apache-2.0", "Licensed under the Apache License, Version 2.0"), (1, "mit", "Released under the MIT license")}
-
-
-@pytest.mark.parametrize("n", [1, 2, 3, 5, 12])
-@pytest.mark.parametrize("line", ["Released under the MIT License", "Licensed under CC BY-NC 4.0", "Licensed under the Apache License, Version 2.0"])
-def test_adjacent_licenses(n, line):
-    index = licenses.Index(licenses.TEMPLATES)
-    name = next(k for k, v in licenses.TEMPLATES.items() if v == line)
-    hashes, _, _, rows = licenses.tokens(*licenses.utf8(pa.array(["some words before\n" + (line + "\n") * n + "and after"])))
-    prints, place = licenses.winnow(hashes, rows)
-    found = [(int(index.row[e]), int(index.place[e]), int(p)) for h, p in zip(prints, place, strict=True) for e in (index.prints == h).nonzero()[0]]
-    width = len(index.words[index.names.index(name)])
-    got = [(a, b) for t, _, a, b in licenses.matches(hashes, index, found, licenses.LEAST_COVERAGE) if index.names[t] == name]
-    assert got == [(3 + width * i, 3 + width * (i + 1)) for i in range(n)]
-
-
 def test_language(spark):
     rows = [(i, " ".join(("the house and water" if i % 2 else "das haus und wasser").split() * (1 + i % 3)), "en" if i % 2 else "de") for i in range(60)] + [(60, None, "en"), (61, "123 !!", "de")]
     got = {r["doc_id"]: r for r in language.held_out_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
@@ -98,4 +78,4 @@ def test_language_stage(spark):
 
 def test_empty_tables(spark):
     docs = frame(spark, []).select("doc_id", "text")
-    assert neardup.near_duplicates(docs).count() == 0 and licenses.scan(docs).count() == 0
+    assert neardup.near_duplicates(docs).count() == 0
