@@ -8,14 +8,17 @@ one-versus-rest kernel ridge regression on them gives one weight per landmark an
 language. Because the kernel is a sum of inner products, landmarks times weights is
 one matrix per n, and a batch of texts is scored by four matrix products.
 
-Training rows are a bounded sample: at most ``per_language`` whole texts of at most
-``longest`` characters for each of the ``languages`` most frequent languages, the
-ones with the lowest hash of doc_id. Every text is scored whole.
+Training rows are a bounded sample: at most ``rows`` whole texts in all, so at most
+``per_language`` and the same number for each language, with ``characters`` together at
+most for each language (one text at least); those of at most ``longest`` characters come
+first, then by the lowest hash of doc_id. All languages are learned, ``languages`` at most
+(more are refused, not cut). Every text is scored whole.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; without
 training rows everything is ``und``; equal texts get equal answers; ties go to the
-alphabetically first language. Columns of the input that clash with an output column
-are replaced.
+alphabetically first language; repeated rows and null ids are rows like others; an empty
+table gives no rows; a very long text is scored in a run of its own. Columns of the input
+that clash with an output column are replaced.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from .textvec import map_rows, utf8
 
 BITS = (8, 12, 14, 15)
 _STARTS = np.concatenate([[0], np.cumsum([1 << b for b in BITS])])
-PER_LANGUAGE, LANGUAGES, LANDMARKS, LONGEST, RIDGE, SHARPNESS = 300, 100, 256, 20_000, 1e-3, 8.0
+PER_LANGUAGE, ROWS, LANGUAGES, LANDMARKS, LONGEST, CHARACTERS, RIDGE, SHARPNESS = 300, 30_000, 2000, 256, 20_000, 3_000_000, 1e-3, 8.0
 # Texts are rejected below the score that this share of rightly answered held-out rows, LEAST_ROWS at least, falls short of.
 REJECTED, LEAST_ROWS = 1e-4, 30
 _ROWS = 96
@@ -118,19 +121,24 @@ def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float =
     return Model(labels, [(block.T @ alpha) / np.float32(len(BITS)) for _, block in _blocks(marks)])
 
 
-def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES, longest: int = LONGEST,
+def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES, longest: int = LONGEST, rows: int = ROWS, characters: int = CHARACTERS,
           text: str = "text", lang: str = "lang", key: str = "doc_id") -> Model:
     """Fit on a bounded, hash-ordered sample of ``labelled`` rows."""
-    rows = labelled.select(F.col(text).alias("t"), F.col(lang).alias("l"), F.xxhash64(F.col(key)).alias("h")).where("l IS NOT NULL")
-    counts = rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(languages).collect()
+    known = labelled.select(F.col(text).alias("t"), F.col(lang).alias("l"), F.xxhash64(F.col(key)).alias("h")).where("l IS NOT NULL AND length(t) > 0")
+    counts = known.groupBy("l").count().limit(languages + 1).collect()
     if not counts:
         return Model([], [])
-    # three times the rows wanted, as the hash is only roughly even and long or empty texts fall away
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["l"], min(1.0, 3.0 * per_language / r["count"] + 30.0 / r["count"]))])
+    if len(counts) > languages:
+        raise ValueError(f"more than {languages} languages")
+    most = max(1, min(per_language, rows // len(counts)))
+    # three times the rows wanted, as the hash is only roughly even and long texts come last
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["l"], min(1.0, 3.0 * most / r["count"] + 30.0 / r["count"]))])
     unit = F.pmod(F.col("h"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    drawn = rows.where((unit < F.element_at(share, F.col("l"))) & F.length("t").between(1, longest))
-    order = Window.partitionBy("l").orderBy("h", "t")
-    kept = drawn.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language)
+    drawn = known.where(unit < F.element_at(share, F.col("l"))).withColumn("long", F.length("t") > longest)
+    order = Window.partitionBy("l").orderBy("long", "h", "t")
+    kept = drawn.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most)
+    so_far = F.sum(F.length("t")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    kept = kept.withColumn("c", so_far).where((F.col("n") == 1) | (F.col("c") <= characters))
     return fit([(r["t"], r["l"]) for r in kept.orderBy("n", "l").collect()])
 
 

@@ -61,21 +61,6 @@ def test_bpe(spark):
         assert list(memoryview(bytes(r["token_ids"])).cast("I")) == ids and r["decoded"] == t
 
 
-def test_language(spark):
-    rows = [(i, " ".join(("the house and water" if i % 2 else "das haus und wasser").split() * (1 + i % 3)), "en" if i % 2 else "de") for i in range(60)] + [(60, None, "en"), (61, "123 !!", "de")]
-    got = {r["doc_id"]: r for r in language.held_out_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
-    assert all(got[i]["lang_pred"] == rows[i][2] for i in range(60)) and got[60]["lang_pred"] == got[61]["lang_pred"] == "und"
-
-
-def test_language_stage(spark):
-    schema = "doc_id long, text string, lang string"
-    unlabelled = spark.createDataFrame([(0, "the house", None), (1, "12 !", None), (2, None, None), (3, "漢字", None)], schema)
-    assert sorted(r["doc_id"] for r in language.identified(unlabelled).collect()) == [0, 3]
-    rows = [(i, " ".join(("the house and water of this town" if i % 2 else "das haus und wasser in der stadt").split() * (2 + i % 3)), "en" if i % 2 else "de") for i in range(200)]
-    rows += [(200, "q", None), (201, "xq zj kv wp", None), (202, None, "en")]
-    assert sorted(r["doc_id"] for r in language.identified(spark.createDataFrame(rows, schema)).collect()) == list(range(200))
-
-
 def test_empty_tables(spark):
     docs = frame(spark, []).select("doc_id", "text")
     assert neardup.near_duplicates(docs).count() == 0
