@@ -6,8 +6,10 @@ and their ancestors, so a pre-token of n bytes costs O(n log n) even where it is
 whole document without white space.
 
 Defined cases: a null text counts as empty, an empty text has no tokens, equal texts
-have equal tokens, the string of a special token in a text is that token. An input
-column named like an output column is replaced.
+have equal tokens, the string of a special token in a text is that token; repeated rows
+and null ids are rows like others, an empty table gives no rows, a very long text is
+coded whole. An input column named like an output column is replaced. Vocabulary files
+that ask for what is not done here are refused.
 """
 
 from __future__ import annotations
@@ -48,8 +50,18 @@ class Codec:
         model, letters = spec["model"], byte_alphabet()
         if model["type"] != "BPE" or spec.get("normalizer") or (spec.get("pre_tokenizer") or {}).get("type") != "ByteLevel":
             raise ValueError(f"{path} is not a plain byte-level BPE vocabulary")
+        before = spec["pre_tokenizer"]
+        odd = [k for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges", "byte_fallback") if model.get(k)]
+        odd += [k for k, plain in (("add_prefix_space", False), ("use_regex", True)) if before.get(k, True) is not plain]
+        odd += [f"added token {t['content']!r}" for t in spec.get("added_tokens", []) if t.get("single_word") or t.get("lstrip") or t.get("rstrip") or t.get("normalized")]
+        if (spec.get("decoder") or {"type": "ByteLevel"}).get("type") != "ByteLevel":
+            odd.append("decoder")
+        if odd:
+            raise ValueError(f"{path} sets {', '.join(odd)}, which is not supported")
         vocab = model["vocab"]
         special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+        if max([*vocab.values(), *special.values()]) >= 1 << 20:
+            raise ValueError(f"{path} has ids of {1 << 20} or more")
         self.token_bytes = [b""] * (1 + max([*vocab.values(), *special.values()]))
         for token, i in vocab.items():
             if token not in special:

@@ -233,7 +233,7 @@ def possible_forest(members: DataFrame, percent: int) -> DataFrame:
 
 
 def verified_across(members: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links between components within a cluster, verified on full sets in blocks.
+    """(a, b) components that a link within a cluster ties together, verified on full sets in blocks.
 
     ``members`` has cluster, id, component, n, sketch, text and the cluster's size, m rows
     and bytes of text. A block skips pairs whose components it has linked already.
@@ -241,7 +241,7 @@ def verified_across(members: DataFrame, k: int, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(batches, ["cluster", "i", "j"]):
-            ids, comp, texts = group.column("id").to_numpy(), group.column("component").to_numpy(), group.column("text")
+            comp, texts = group.column("component").to_numpy(), group.column("text")
             sets: dict[int, np.ndarray] = {}
 
             def of(row: int, texts=texts, sets=sets) -> np.ndarray:
@@ -256,7 +256,7 @@ def verified_across(members: DataFrame, k: int, percent: int) -> DataFrame:
                     a, b = int(comp[x]), int(comp[y])
                     if forest.root(a) != forest.root(b) and _near(of(x), of(y), percent):
                         forest.union(a, b)
-                        links.append((int(ids[x]), int(ids[y])))
+                        links.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([e[c] for e in links], pa.int64()) for c in (0, 1)], names=["a", "b"])
 
     return _blocks(members, "cluster", F.greatest(F.col("m") / (4 * BLOCK), F.col("bytes") / BLOCK_BYTES), ["text"]).mapInArrow(run, "a long, b long").distinct()
