@@ -36,7 +36,8 @@ BITS = (8, 12, 14, 15)
 _STARTS = np.concatenate([[0], np.cumsum([1 << b for b in BITS])])
 PER_LANGUAGE, ROWS, LANGUAGES, LANDMARKS, LONGEST, CHARACTERS, RIDGE, SHARPNESS = 300, 30_000, 2000, 256, 20_000, 3_000_000, 1e-3, 8.0
 # Texts are rejected below the score that this share of rightly answered held-out rows, LEAST_ROWS at least, falls short of.
-REJECTED, LEAST_ROWS = 1e-4, 30
+# ... but never above what is nearly undecided: this share of the way from even chances to certainty.
+REJECTED, LEAST_ROWS, UNDECIDED = 1e-4, 30, 0.2
 _ROWS = 96
 
 _FOLD = np.full(256, 0x20, np.uint8)
@@ -178,14 +179,15 @@ def held_out_languages(docs: DataFrame) -> DataFrame:
 
 
 def least_score(docs: DataFrame, rejected: float = REJECTED, least_rows: int = LEAST_ROWS) -> float:
-    """The score that a share ``rejected`` of rightly answered held-out rows falls short of; 0 if fewer than ``least_rows`` are at hand."""
+    """The score that a share ``rejected`` of rightly answered held-out rows falls short of, or what is nearly undecided if that is less; 0 if fewer than ``least_rows`` are at hand."""
     held = F.coalesce(fold_of("doc_id", 4) == 2, F.lit(False))
     model = train(docs.where(~held))
     if len(model.labels) < 2:
         return 0.0
     tested = predict(docs.where(held & F.col("lang").isNotNull()).select("text", "lang"), model)
     found = tested.where(F.col("lang_pred") == F.col("lang")).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("score", rejected, 10_000).alias("low")).first()
-    return float(found["low"]) if found["n"] >= least_rows else 0.0
+    even = 1 / len(model.labels)
+    return min(float(found["low"]), even + UNDECIDED * (1 - even)) if found["n"] >= least_rows else 0.0
 
 
 def identified(docs: DataFrame) -> DataFrame:
