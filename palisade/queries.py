@@ -16,6 +16,7 @@ from .operators import detectors as d
 from .operators import policy, requests, tokens
 from .sources import bodies, sse
 from .staging import stage
+from .streaming import events
 
 SALT = bytes(range(32))
 KEYWORDS, BLOCKED, ALLOWED = ("idiot", "clown"), ("worthless",), ("contact@", "example.com")
@@ -267,6 +268,20 @@ def sse_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sse.events(chunks.withColumn("seq", F.col("turn") * 2 + F.col("part"))).select("stream_id", "nth", "event", "data")
 
 
+def sse_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as event streams in which a placeholder is split over two events, a foreign one stays."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    mail = F.concat(F.lit("ann"), F.col("turn").cast("string"), F.lit("@corp.com"))
+    name = tokens.spelled(F.lit("email"), tokens.digest(SALT, F.lit("email"), mail))
+    cut = F.col("turn") % 20 + 3
+    data = lambda text: F.concat(F.lit("data: "), F.to_json(F.struct(F.col("turn").alias("n"), text.alias("t"))), F.lit("\n\n"))
+    text = F.concat(data(F.concat("text", F.lit(" "), F.left(name, cut))), F.lit(": ping\n\n"), data(F.concat(F.substring(name, cut + 1, F.lit(100)), F.lit(" __PII_email_ffffffffffff__"))))
+    streams = rows.groupBy(F.col("conv_id").alias("stream_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", text.alias("x")))), lambda r: r["x"]), "").alias("body"))
+    minted = rows.select(mail.alias("secret"), name.alias("placeholder")).distinct()
+    done = events.restored_streams(streams, minted)
+    return done.select("stream_id", F.sha2("restored", 256).alias("body_sha256"), F.col("n_restored").cast("long").alias("n_restored"))
+
+
 def restored_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Restored occurrences: how often each planted key's placeholder stands in the redacted texts."""
     minted, done = _redacted(spark, sf_dir)
@@ -277,7 +292,7 @@ def restored_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     findings_email, findings_luhn, findings_prefix_planted, findings_jwt_planted, findings_pem_planted, findings_entropy_planted, regex_rule, keyword_rule, blocklist, allowlist_suppression,
     findings_all_ordered, decision_by_doc, counters, refusal_documents, redaction_log, audit_log, budget_cut, budget_report, findings_cube, mask_findings, vault_distinct, vault_second_run, redaction_lengths,
-    redact_roundtrip, restore_exclusions, restored_counts, json_leaves, sensitive_keys, json_request_decisions, json_request_redacted, json_roundtrip, response_streams, route_longest_prefix, body_gate, sse_decode)}
+    redact_roundtrip, restore_exclusions, restored_counts, json_leaves, sensitive_keys, json_request_decisions, json_request_redacted, json_roundtrip, response_streams, sse_restored, route_longest_prefix, body_gate, sse_decode)}
 
 
 def _matches(name: str, source: str, pattern: str) -> str:
@@ -430,6 +445,9 @@ ORACLE_SQL: dict[str, str] = {
     "response_streams": f"""WITH e AS (SELECT conv_id, {' OR '.join(f"contains(lower(role), '{w}') OR contains(lower(text), '{w}')" for w in STOP_TURNS)} AS stop, {' OR '.join(f"contains(lower(role), '{w}') OR contains(lower(text), '{w}')" for w in RUDE_TURNS)} AS rude, turn % 3 = 0 AS j FROM conversations),
         a AS (SELECT conv_id, bool_or(j AND stop) AS stop, bool_or(j AND rude) AS rude FROM e GROUP BY conv_id)
         SELECT conv_id AS stream_id, CASE WHEN stop THEN 'block' WHEN rude THEN 'warn' ELSE 'allow' END AS action, CASE WHEN stop THEN 'stop' WHEN rude THEN 'rude' ELSE '' END AS rule_ids, CAST(0 AS BIGINT) AS walk_skips FROM a""",
+    "sse_restored": """WITH e AS (SELECT conv_id, turn, 'data: {"n":' || turn || ',"t":' || to_json(text || ' ') || '}' || chr(10) || chr(10) || ': ping' || chr(10) || chr(10)
+            || 'data: {"n":' || turn || ',"t":' || to_json('ann' || turn || '@corp.com __PII_email_ffffffffffff__') || '}' || chr(10) || chr(10) AS x FROM conversations)
+        SELECT conv_id AS stream_id, sha256(string_agg(x, '' ORDER BY turn, x)) AS body_sha256, count(*) AS n_restored FROM e GROUP BY conv_id""",
     "route_longest_prefix": """WITH p AS (SELECT page_id, rtrim(regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*', ''), '[?#].*$', ''), '/') AS q FROM pages), r AS (SELECT page_id, CASE WHEN q = '' THEN '/' ELSE q END AS path FROM p)
         SELECT page_id, path, CASE WHEN path = '/fr/8' OR starts_with(path, '/fr/8/') THEN 'eight' WHEN path = '/en/1' OR starts_with(path, '/en/1/') THEN 'one'
             WHEN path = '/en' OR starts_with(path, '/en/') THEN 'english' WHEN path = '/fr' OR starts_with(path, '/fr/') THEN 'french' ELSE 'root' END AS target FROM r""",
