@@ -4,6 +4,7 @@ import random
 import re
 from itertools import combinations
 
+import numpy as np
 import pytest
 
 from palisade.llm import graph, neardup
@@ -81,6 +82,16 @@ def test_large_group_and_long_text(spark):
     assert [got[i] for i in range(5000, 5300)] == list(range(5000, 5300)) and got[5301] == got[5300] == 5300
 
 
+def test_registers_merge():
+    rng = np.random.default_rng(3)
+    a, b = (rng.integers(1, 2**63, n, dtype=np.int64).astype(np.uint64) for n in (300, 40))
+    sketch = lambda x: neardup.registers(x, np.array([0]))
+    assert (neardup.merge(sketch(a), sketch(b)) == sketch(np.concatenate([a, b]))).all() and (sketch(a) == sketch(np.concatenate([a, a[:50]]))).all()
+    near = np.concatenate([a[30:], b])
+    got = neardup.likely_jaccard(sketch(a), sketch(near), np.array([300]), np.array([310]))[0]
+    assert abs(got - 270 / 340) < 0.12
+
+
 @pytest.mark.parametrize("shape", ["random", "path", "star", "grid"])
 def test_components(spark, monkeypatch, shape):
     monkeypatch.setattr(graph, "CHUNK", 16)
