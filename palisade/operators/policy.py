@@ -14,6 +14,7 @@ from .detectors import SENSITIVE_ID
 # Actions from weak to strong, and the findings that one body may have.
 ACTIONS = ("allow", "warn", "redact", "block")
 MOST_FINDINGS = 4096
+WALK_ERRORS = ("malformed_json", "trailing_data", "invalid_utf8", "max_depth")
 
 
 def action_rank(action: Column) -> Column:
@@ -64,11 +65,26 @@ def counters(decided: DataFrame, applied: str = "applied", walk_skips: str | Non
 
 
 def refusals(decided: DataFrame, key: str) -> DataFrame:
-    """key, status and body: the refusal document of every body that is not let through; it names the first rule, never content."""
-    rule = F.try_element_at("rule_ids", F.lit(1))
-    reason = F.when(F.col("refusal").isNotNull(), F.lit("refused")).otherwise(F.lit("blocked"))
-    document = F.to_json(F.struct(F.struct(reason.alias("type"), F.coalesce("refusal", F.lit("content_policy")).alias("reason"), rule.alias("rule_id")).alias("error")))
-    return decided.where("action = 'block'").select(key, F.lit(403).alias("status"), document.alias("body"))
+    """key, status and body: the refusal document of every body that is not let through; it names codes and the first rule, never content.
+
+    A body that cannot be walked is refused by what is wrong with it, one that cannot be
+    evaluated with the reason, one that a rule blocks with the rule.
+    """
+    walked = F.col("refusal").isin(*WALK_ERRORS)
+    error = F.when(F.col("refusal").isNull(), "rule_blocked").when(walked, F.col("refusal")).otherwise("plugin_failure")
+    rule = F.when(F.col("refusal").isNull(), F.try_element_at("rule_ids", F.lit(1)))
+    document = F.to_json(F.struct(error.alias("error"), F.when(~walked, F.col("refusal")).alias("reason"), rule.alias("rule_id")))
+    return decided.where("action = 'block'").select(key, F.when(walked, 400).otherwise(403).alias("status"), document.alias("body"))
+
+
+def status(totals: DataFrame) -> DataFrame:
+    """One row, status: the counters as a document."""
+    return totals.select(F.to_json(F.struct("requests", "redactions", "content_policy_blocks", "rule_blocks", "walk_skips")).alias("status"))
+
+
+def restore_log(restored: DataFrame, key: str) -> DataFrame:
+    """key and placeholders of every body in which something was restored."""
+    return restored.where("n_restored > 0").select(key, F.col("n_restored").alias("placeholders"))
 
 
 def redaction_log(decided: DataFrame, key: str) -> DataFrame:

@@ -123,6 +123,15 @@ def refusal_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.refusals(_decided(spark, sf_dir), "doc_id")
 
 
+def status_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return policy.status(counters(spark, sf_dir))
+
+
+def restore_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    minted, done = _redacted(spark, sf_dir)
+    return policy.restore_log(tokens.restore(done, minted, "doc_id"), "doc_id").select("doc_id", F.col("placeholders").cast("long").alias("placeholders"))
+
+
 def redaction_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.redaction_log(_decided(spark, sf_dir), "doc_id").select("doc_id", F.col("nth").cast("long").alias("nth"), "category", F.col("n_bytes").cast("long").alias("n_bytes"), "masked")
 
@@ -291,7 +300,7 @@ def restored_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     findings_email, findings_luhn, findings_prefix_planted, findings_jwt_planted, findings_pem_planted, findings_entropy_planted, regex_rule, keyword_rule, blocklist, allowlist_suppression,
-    findings_all_ordered, decision_by_doc, counters, refusal_documents, redaction_log, audit_log, budget_cut, budget_report, findings_cube, mask_findings, vault_distinct, vault_second_run, redaction_lengths,
+    findings_all_ordered, decision_by_doc, counters, status_document, refusal_documents, restore_log, redaction_log, audit_log, budget_cut, budget_report, findings_cube, mask_findings, vault_distinct, vault_second_run, redaction_lengths,
     redact_roundtrip, restore_exclusions, restored_counts, json_leaves, sensitive_keys, json_request_decisions, json_request_redacted, json_roundtrip, response_streams, sse_restored, route_longest_prefix, body_gate, sse_decode)}
 
 
@@ -392,6 +401,11 @@ def _gate_body(mail: str, password: str) -> str:
     return f"""'{{"content":' || to_json(t || ' ' || {mail}) || ',"inner":' || to_json({inner}) || ',"Password":' || to_json({password}) || ',"list":[' || to_json({mail}) || ',' || to_json(role) || ']}}'"""
 
 
+_COUNTERS = f"""{_DECIDED}, kept AS (SELECT id, list_reduce(list({{'s': s, 'e': e, 'n': 0}} ORDER BY s, e, rk), lambda acc, x: CASE WHEN x.s >= acc.e THEN {{'s': x.s, 'e': x.e, 'n': acc.n + 1}} ELSE acc END, {{'s': 0, 'e': 0, 'n': 0}}).n AS n
+            FROM f JOIN top USING (id) WHERE t = 2 AND action = 'redact' GROUP BY id)
+        SELECT (SELECT count(*) FROM dec) AS requests, CAST((SELECT coalesce(sum(n), 0) FROM kept) AS BIGINT) AS redactions, (SELECT count(*) FROM dec WHERE action = 'block') AS content_policy_blocks,
+               (SELECT count(*) FROM dec WHERE action = 'block') AS rule_blocks, CAST(0 AS BIGINT) AS walk_skips"""
+
 ORACLE_SQL: dict[str, str] = {
     "findings_email": f"WITH {_SOURCE}, {_email()} {_OUT} email",
     "findings_luhn": f"WITH {_SOURCE}, {_cards()} {_OUT} card",
@@ -410,11 +424,10 @@ ORACLE_SQL: dict[str, str] = {
     "findings_all_ordered": f"""WITH {_every()} SELECT id AS doc_id, CAST(row_number() OVER (PARTITION BY id ORDER BY s, e, rk, rule_id) AS INTEGER) AS nth,
         s AS span_start, e AS span_end, v AS value, rule_id, category, action FROM f""",
     "decision_by_doc": f"{_DECIDED} SELECT * FROM dec",
-    "counters": f"""{_DECIDED}, kept AS (SELECT id, list_reduce(list({{'s': s, 'e': e, 'n': 0}} ORDER BY s, e, rk), lambda acc, x: CASE WHEN x.s >= acc.e THEN {{'s': x.s, 'e': x.e, 'n': acc.n + 1}} ELSE acc END, {{'s': 0, 'e': 0, 'n': 0}}).n AS n
-            FROM f JOIN top USING (id) WHERE t = 2 AND action = 'redact' GROUP BY id)
-        SELECT (SELECT count(*) FROM dec) AS requests, CAST((SELECT coalesce(sum(n), 0) FROM kept) AS BIGINT) AS redactions, (SELECT count(*) FROM dec WHERE action = 'block') AS content_policy_blocks,
-               (SELECT count(*) FROM dec WHERE action = 'block') AS rule_blocks, CAST(0 AS BIGINT) AS walk_skips""",
-    "refusal_documents": f"""{_DECIDED} SELECT doc_id, 403 AS status, '{{"error":{{"type":"blocked","reason":"content_policy","rule_id":"' || split_part(rule_ids, ',', 1) || '"}}}}' AS body FROM dec WHERE action = 'block'""",
+    "counters": _COUNTERS,
+    "status_document": f"""SELECT '{{"requests":' || requests || ',"redactions":' || redactions || ',"content_policy_blocks":' || content_policy_blocks || ',"rule_blocks":' || rule_blocks || ',"walk_skips":' || walk_skips || '}}' AS status FROM ({_COUNTERS})""",
+    "restore_log": f"WITH {_builtin()} SELECT id AS doc_id, count(*) AS placeholders FROM f GROUP BY id",
+    "refusal_documents": f"""{_DECIDED} SELECT doc_id, 403 AS status, '{{"error":"rule_blocked","rule_id":"' || split_part(rule_ids, ',', 1) || '"}}' AS body FROM dec WHERE action = 'block'""",
     "redaction_log": f"""{_DECIDED} SELECT f.id AS doc_id, row_number() OVER (PARTITION BY f.id ORDER BY s, e, rk) - 1 AS nth, category, CAST(e - s AS BIGINT) AS n_bytes,
         CASE category WHEN 'api_key' THEN left(v, 4) || '…' || right(v, 2) WHEN 'email' THEN '****@' || split_part(v, '@', 2) ELSE '****' END AS masked FROM f JOIN top USING (id) WHERE t = 2 AND action = 'redact'""",
     "audit_log": f"""{_DECIDED}, al AS (SELECT f.id, array_to_string(list_sort(list(DISTINCT rule_id)), ',') AS rules, array_to_string(list_sort(list(DISTINCT category)), ',') AS categories

@@ -76,6 +76,7 @@ def test_request_path(spark):
     assert got == {
         1: ("redact", None, ["sensitive_key", "email"], [(0, "ann@corp.com allowed"), (1, "ann@corp.com")]), 2: ("allow", None, [], []), 3: ("block", None, ["stop"], [(0, "stop")]),
         4: ("block", "malformed_json", [], []), 5: ("redact", None, ["email"], [(0, "ann@corp.com")]), 6: ("block", "malformed_json", [], []), 7: ("allow", None, [], [])}
+    assert {r["k"]: (r["status"], json.loads(r["body"])) for r in policy.refusals(made, "k").collect()} == {3: (403, {"error": "rule_blocked", "rule_id": "stop"}), 4: (400, {"error": "malformed_json"}), 6: (400, {"error": "malformed_json"})}
     minted = tokens.vault(requests.secrets_of(made), b"s" * 32)
     done = requests.redacted(made, b"s" * 32, "k")
     assert {r["k"]: r["applied"] for r in done.collect()} == {1: 2, 2: 0, 3: 0, 4: 0, 5: 1, 6: 0, 7: 0}
@@ -208,7 +209,7 @@ def test_too_many_findings(spark, monkeypatch):
     made = policy.decided(detectors.with_findings(rows, [detectors.keyword_rule("b", ("boom",), action="warn")]))
     assert [(r["k"], r["action"], r["refusal"], r["n_findings"]) for r in made.orderBy("k").collect()] == [(1, "warn", None, 3), (2, "block", "budget", 0)]
     refused = policy.refusals(made, "k").collect()
-    assert [r["k"] for r in refused] == [2] and json.loads(refused[0]["body"])["error"]["reason"] == "budget"
+    assert [r["k"] for r in refused] == [2] and json.loads(refused[0]["body"]) == {"error": "plugin_failure", "reason": "budget"} and refused[0]["status"] == 403
     assert policy.counters(made.withColumn("applied", F.lit(0))).first().asDict() == {"requests": 2, "redactions": 0, "content_policy_blocks": 1, "rule_blocks": 0, "walk_skips": 0}
 
 
