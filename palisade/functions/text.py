@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,9 +11,12 @@ from pyspark.sql import functions as F
 PEM_KINDS = ("PRIVATE KEY", "RSA PRIVATE KEY", "EC PRIVATE KEY", "DSA PRIVATE KEY", "OPENSSH PRIVATE KEY", "ENCRYPTED PRIVATE KEY", "PGP PRIVATE KEY BLOCK")
 
 
-def ascii_fold(text: Column) -> Column:
-    """A-Z to a-z and nothing else; the length stays."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+def free_name(name: str, taken: Sequence[str]) -> str:
+    """``name``, with underscores before it until no column has it (names are compared without case)."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name = f"_{name}"
+    return name
 
 
 def entropy(text: Column) -> Column:

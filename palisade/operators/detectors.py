@@ -1,19 +1,27 @@
 """Detectors: each turns a text column into an array of byte spans.
 
 Everything is a Column expression, so a rule set becomes one projection; rules are
-unrolled into the plan instead of being joined to the rows.
+unrolled into the plan instead of being joined to the rows. Literals of keyword rules,
+blocklists and allowlists are unrolled while they are few; more of them are looked for by
+one automaton in one Arrow pass over the texts, and their rules read what it found.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.automaton import literals_of, slices
+from ..functions.re2 import PatternError, java
 from ..functions.spans import let, literal_matches, matches, trimmed_to
-from ..functions.text import entropy, luhn_valid
+from ..functions.text import entropy, free_name, luhn_valid
 
 # Patterns of the detectors.
 KEY_SHAPES = (r"sk-[A-Za-z0-9_-]{16,}|AKIA[A-Z0-9]{16}|ghp_[A-Za-z0-9]{20,}|glpat-[A-Za-z0-9_-]{20,}"
@@ -122,6 +130,8 @@ class Rule:
     primitive: bool = False  # a built-in algorithm: scans no more than the byte budget
     narrows: bool = False  # a mail rule that does without the built-in suffixes
     allow: tuple[str, ...] = field(default=())
+    literals: tuple[str, ...] = field(default=())  # of a rule that is nothing but these
+    fold: bool = False  # whether its literals are compared without the case of A-Z
 
 
 BUILTIN = (
@@ -135,22 +145,22 @@ HIGH_ENTROPY = Rule("high_entropy", "high_entropy", entropy_spans, confidence=0.
 
 
 def regex_rule(id: str, pattern: str, category: str = "custom", **more) -> Rule:
-    """A rule of a pattern; one that can match the empty string is refused."""
-    import re
-
-    if re.compile(pattern).match("") is not None:
-        raise ValueError(f"rule {id}: the pattern matches the empty string")
-    return Rule(id, category, lambda text: matches(text, pattern), **more)
+    """A rule of a pattern with RE2's syntax and meaning; one that can match an empty text is refused."""
+    try:
+        translated = java(pattern)
+    except PatternError as e:
+        raise PatternError(f"rule {id}: {e}") from None
+    return Rule(id, category, lambda text: matches(text, translated), **more)
 
 
 def keyword_rule(id: str, keywords: Sequence[str], case_sensitive: bool = False, category: str = "custom", **more) -> Rule:
     """A rule of literals, grouped by keyword."""
-    return Rule(id, category, lambda text: F.concat(*[literal_matches(text, k, not case_sensitive) for k in keywords]), **more)
+    return Rule(id, category, lambda text: F.concat(*[literal_matches(text, k, not case_sensitive) for k in keywords]), literals=tuple(keywords), fold=not case_sensitive, **more)
 
 
 def blocklist_rule(literals: Sequence[str]) -> Rule:
     """Global literals that block and that no allowlist excuses."""
-    return Rule("blocklist", "custom", lambda text: F.concat(*[literal_matches(text, x) for x in literals]), action="block", scope="both", priority=-1, confidence=1.0)
+    return Rule("blocklist", "custom", lambda text: F.concat(*[literal_matches(text, x) for x in literals]), action="block", scope="both", priority=-1, confidence=1.0, literals=tuple(literals))
 
 
 def excused(span: Column, raw: Column, literals: Sequence[str]) -> Column:
@@ -168,6 +178,75 @@ def excused(span: Column, raw: Column, literals: Sequence[str]) -> Column:
     return out
 
 
+# literals that are unrolled into the plan; more are looked for by an automaton
+UNROLLED = 16
+PLACES = "array<struct<owner:int,start:int,end:int>>"
+
+
+def _owners(rules: Sequence[Rule], allowlist: Sequence[str], phase: str) -> tuple[tuple, tuple]:
+    """(literal, fold, owner) of rules, by rank, and of allowlists: the number of rules for the global one, more by rank for each rule's."""
+    own = ranked(rules, phase)
+    seek = tuple((x.encode(), r.fold, n) for n, r in enumerate(own) for x in r.literals)
+    allow = (*((x.encode(), False, len(own)) for x in allowlist), *((x.encode(), False, len(own) + 1 + n) for n, r in enumerate(own) for x in r.allow))
+    return seek, allow
+
+
+def needs_places(rules: Sequence[Rule], allowlist: Sequence[str] = (), phase: str = "request") -> bool:
+    """Whether a rule set has more literals than a plan should hold."""
+    return sum(map(len, _owners(rules, allowlist, phase))) > UNROLLED
+
+
+def with_places(df: DataFrame, rules: Sequence[Rule], name: str, text: str = "text", allowlist: Sequence[str] = (), phase: str = "request", leaves: bool = False) -> DataFrame:
+    """``df`` with the places (owner, start, end) of all literals of the rules and allowlists in each text; one Arrow pass.
+
+    With ``leaves``, ``text`` is an array of structs with a ``value``, and the places are an
+    array for each.
+    """
+    seek, allow = _owners(rules, allowlist, phase)
+    kind = pa.list_(pa.struct([("owner", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
+    at = df.columns.index(text)
+    schema = T.StructType([*df.schema.fields, T.StructField(name, T.DataType.fromDDL(f"array<{PLACES}>" if leaves else PLACES))])
+
+    def placed(column: pa.Array) -> pa.Array:
+        parts = []
+        for part in slices(column):
+            found = [np.concatenate(x) for x in zip(literals_of(seek).spans(part), literals_of(allow).spans(part, overlapping=True), strict=True)]
+            order = np.argsort(found[0], kind="stable")
+            row, start, end, owner = (x[order] for x in found)
+            values = pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in (owner, start, end)], names=["owner", "start", "end"])
+            parts.append(pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(part) + 1)).astype(np.int32)), values, kind))
+        return pa.concat_arrays(parts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            column = batch.column(at)
+            if leaves:
+                sizes = np.array([0 if x is None else x for x in pc.list_value_length(column).to_pylist()], np.int32)
+                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                values = column.flatten().field("value")
+                inner = placed(values) if len(values) else pa.array([], kind)
+                made = pa.ListArray.from_arrays(pa.array(offsets), inner)
+            else:
+                made = placed(column)
+            yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, name])
+
+    return df.mapInArrow(run, schema)
+
+
+def _at_places(text: Column, places: Column, owner: int) -> Column:
+    """The spans of one owner as the expressions of few literals give them."""
+    own = F.filter(places, lambda p: p["owner"] == owner)
+    cut = lambda raw: F.transform(own, lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), F.substring(raw, p["start"] + 1, p["end"] - p["start"]).cast("string").alias("value")))
+    return F.when(F.exists(places, lambda p: p["owner"] == owner), let(text.cast("binary"), cut)).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
+
+
+def _unexcused_at(spans: Column, places: Column, owners: Sequence[int]) -> Column:
+    allowed = F.filter(places, lambda p: p["owner"].isin(*owners))
+    return let(spans, lambda s: F.when(F.size(s) > 0, let(allowed, lambda a: F.filter(s, lambda x: ~F.exists(a, lambda p: (p["start"] <= x["start"]) & (p["end"] >= x["end"]))))).otherwise(s))
+
+
 def _unexcused(spans: Column, text: Column, literals: Sequence[str]) -> Column:
     some = lambda s: F.when(F.size(s) > 0, let(text.cast("binary"), lambda raw: F.filter(s, lambda x: ~excused(x, raw, literals)))).otherwise(s)
     return let(spans, some)
@@ -194,20 +273,24 @@ def ranked(rules: Sequence[Rule], phase: str = "request") -> list[Rule]:
     return sorted((r for r in rules if r.scope in (phase, "both")), key=lambda r: (r.priority, r.id))
 
 
-def found(text: Column, rules: Sequence[Rule] = BUILTIN, allowlist: Sequence[str] = (), phase: str = "request", budget: int | None = None, gated: Column | None = None, gate_allow: Column | None = None) -> Column:
+def found(text: Column, rules: Sequence[Rule] = BUILTIN, allowlist: Sequence[str] = (), phase: str = "request", budget: int | None = None, gated: Column | None = None, gate_allow: Column | None = None, places: Column | None = None) -> Column:
     """Every finding in a text as an array, by start, end and rule.
 
     Rules of another phase are not planned at all; ``budget`` limits the bytes that the
     built-in algorithms scan, not those of pattern, keyword and block rules. Where
     ``gated`` is true, rules that redact are skipped and the whole value is one finding
     of the sensitive-key gate, unless ``gate_allow``. Empty and null texts have none.
+    With ``places`` (:func:`with_places`) no literal is in the plan.
     """
     arrays, own = [], ranked(rules, phase)
     for rank, rule in enumerate(own):
-        spans = rule.spans(cut_to(text, budget) if budget is not None and rule.primitive else text)
+        if places is not None and rule.literals:
+            spans = _at_places(text, places, rank)
+        else:
+            spans = rule.spans(cut_to(text, budget) if budget is not None and rule.primitive else text)
         literals = (*allowlist, *rule.allow)
         if literals and rule.id != "blocklist":
-            spans = _unexcused(spans, text, literals)
+            spans = _unexcused(spans, text, literals) if places is None else _unexcused_at(spans, places, (len(own), len(own) + 1 + rank))
         made = _stamped(spans, rule, rank)
         if gated is not None and rule.action == "redact":
             made = F.when(gated, F.array().cast(FINDINGS)).otherwise(made)
@@ -220,13 +303,23 @@ def found(text: Column, rules: Sequence[Rule] = BUILTIN, allowlist: Sequence[str
     return F.when(F.octet_length(text) > 0, every).otherwise(F.array().cast(FINDINGS))
 
 
-def with_findings(df: DataFrame, rules: Sequence[Rule] = BUILTIN, text: str = "text", name: str = "findings", **more) -> DataFrame:
-    """``df`` with its findings as an array; one projection, no shuffle. A column of that name is replaced."""
-    return df.withColumn(name, found(F.col(f"`{text}`"), rules, **more))
+def _prepared(df: DataFrame, rules: Sequence[Rule], text: str, allowlist: Sequence[str], phase: str) -> tuple[DataFrame, dict[str, Column]]:
+    if not needs_places(rules, allowlist, phase):
+        return df, {}
+    name = free_name("_places", df.columns)
+    return with_places(df, rules, name, text, allowlist, phase), {"places": F.col(name)}
+
+
+def with_findings(df: DataFrame, rules: Sequence[Rule] = BUILTIN, text: str = "text", name: str = "findings", allowlist: Sequence[str] = (), phase: str = "request", **more) -> DataFrame:
+    """``df`` with its findings as an array; one projection, after an Arrow pass if there are many literals, and no shuffle. A column of that name is replaced."""
+    rows, places = _prepared(df, rules, text, allowlist, phase)
+    made = rows.withColumn(name, found(F.col(f"`{text}`"), rules, allowlist, phase, **places, **more))
+    return made.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() != name.lower()], name)
 
 
 def findings(df: DataFrame, rules: Sequence[Rule] = BUILTIN, text: str = "text", allowlist: Sequence[str] = (), phase: str = "request", budget: int | None = None) -> DataFrame:
     """``df`` without ``text``, a row for each finding: start, end, value, rule and rank columns."""
     kept = [F.col(f"`{c}`") for c in df.columns if c != text]
-    made = found(F.col(f"`{text}`"), rules, allowlist, phase, budget)
-    return df.select(*kept, F.explode(made).alias("_f")).select(*kept, "_f.*")
+    rows, places = _prepared(df, rules, text, allowlist, phase)
+    made = found(F.col(f"`{text}`"), rules, allowlist, phase, budget, **places)
+    return rows.select(*kept, F.explode(made).alias("_f")).select(*kept, "_f.*")

@@ -12,11 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.spans import let
-from ..functions.text import sanitized_kind
+from ..functions.text import free_name, sanitized_kind
 from ..sources import bodies as b
 from . import policy
-from .detectors import BUILTIN, Rule, excused, found
-from .tokens import digest, spelled
+from .detectors import BUILTIN, Rule, excused, found, needs_places, with_places
+from .tokens import TOKEN, digest, own_secrets, spelled
 
 def _gated(leaf: Column, keys: Sequence[str], case_sensitive: bool) -> Column:
     name = leaf["key"] if case_sensitive else F.lower(leaf["key"])
@@ -31,18 +31,20 @@ def evaluated(walked: DataFrame, rules: Sequence[Rule] = BUILTIN, sensitive: Seq
     cannot be walked is refused in requests; in responses it is let through, and counted by
     ``walk_skip`` if it is JSON.
     """
-    def one(leaf: Column) -> Column:
+    places = free_name("_places", walked.columns) if needs_places(rules, allowlist, phase) else None
+
+    def one(leaf: Column, at: Column) -> Column:
         text, gate = leaf["value"], None
         allow = F.lit(False)
         if sensitive and phase == "request":
             gate = F.coalesce(_gated(leaf, sensitive, case_sensitive), F.lit(False))
             span = F.struct(F.lit(0).alias("start"), F.octet_length(text).alias("end"))
             allow = let(text.cast("binary"), lambda raw: excused(span, raw, allowlist)) if allowlist else allow
-        made = found(text, rules, allowlist, phase, budget, gate, allow)
+        made = found(text, rules, allowlist, phase, budget, gate, allow, None if places is None else F.get(places, at))
         return F.transform(made, lambda f: F.struct(leaf["leaf_index"].alias("leaf_index"), *[f[n].alias(n) for n in ("start", "end", "rule_rank", "rule_id", "value", "category", "action", "confidence", "origin")]))
 
-    rows = walked.withColumn("findings", F.flatten(F.transform("leaves", one)))
-    made = policy.decided(rows)
+    rows = walked if places is None else with_places(walked, rules, places, "leaves", allowlist, phase, leaves=True)
+    made = policy.decided(rows.withColumn("findings", F.flatten(F.transform("leaves", one))).select(*[F.col(f"`{c}`") for c in walked.columns if c != "findings"], "findings"))
     failed = F.col("walk_error").isNotNull()
     if phase != "request":
         return made.withColumn("walk_skip", (failed & F.col("is_json")).cast("int"))
@@ -59,6 +61,19 @@ def redacted(decided: DataFrame, salt: bytes, key: str, body: str = "body") -> D
     return b.rewritten(decided.select(key, F.col(body).alias("body"), edits.alias("edits")), key)
 
 
+def restored(bodies: DataFrame, minted: DataFrame, key: str, body: str = "body", exclusions: DataFrame | None = None) -> DataFrame:
+    """key, restored and n_restored of every body, placeholders of the vault spelled at the depth where they stand.
+
+    Secrets in ``exclusions`` (secret) stay placeholders. Only bodies with placeholders are
+    shuffled, to meet their own secrets; rows may share a key, or have none.
+    """
+    plain = bodies.select(F.col(key).alias("_key"), F.col(f"`{body}`").cast("binary").alias("body"))
+    has = F.coalesce(F.contains(F.col("body").cast("string"), F.lit("__PII_")), F.lit(False))
+    rows, secrets = own_secrets(plain.where(has), minted, "body", exclusions)
+    done = b.restored_with(rows, secrets, "_key", TOKEN).union(plain.where(~has).select("_key", "body", F.lit(0)))
+    return done.select(F.col("_key").alias(key), "restored", "n_restored")
+
+
 def secrets_of(decided: DataFrame) -> DataFrame:
     """category and value of everything that a redaction of evaluated bodies replaces: what a vault is minted from."""
     return decided.where("action = 'redact'").select(F.explode("backing").alias("f")).select("f.category", "f.value")

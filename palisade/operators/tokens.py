@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.spans import let, matches
-from ..functions.text import hmac_sha256, sanitized_kind
+from ..functions.text import free_name, hmac_sha256, sanitized_kind
 
 # The placeholder grammar and the digest lengths tried in turn.
 LADDER = (12, 16, 24, 32, 48, 64)
@@ -102,31 +102,49 @@ def redact(df: DataFrame, salt: bytes, minted: DataFrame | None = None, text: st
         return disjoint(F.transform(F.col(findings), one))
 
     def done(rows: DataFrame, spell: Callable[[Column, Column], Column], columns: list[str]) -> DataFrame:
-        made = rows.withColumn("_edits", edits(spell))
-        return made.select(*[F.col(f"`{c}`") for c in columns], splice(F.col(f"`{text}`"), F.col("_edits")).alias("redacted"), F.size("_edits").alias("applied"))
+        name = free_name("_edits", rows.columns)
+        made = rows.withColumn(name, edits(spell))
+        return made.select(*[F.col(f"`{c}`") for c in columns], splice(F.col(f"`{text}`"), F.col(name)).alias("redacted"), F.size(name).alias("applied"))
 
     plain = lambda kind, secret: spelled(kind, digest(salt, kind, secret))
     columns = [c for c in df.columns if c not in ("redacted", "applied")]
     more = None if minted is None else longer(minted).select("kind", "secret", "placeholder")
     if more is None or more.isEmpty():
         return done(df, plain, columns)
-    row = df.withColumn("_row", F.monotonically_increasing_id())
-    secrets = row.select("_row", F.explode(findings).alias("f")).select("_row", sanitized_kind(F.col("f.category")).alias("kind"), F.col("f.value").alias("secret"))
-    told = secrets.join(more, ["kind", "secret"]).groupBy("_row").agg(F.collect_set(F.struct("kind", "secret", "placeholder")).alias("_longer"))
-    longest = lambda kind, secret: F.coalesce(F.get(F.filter("_longer", lambda x: (x["kind"] == kind) & (x["secret"] == secret)), 0)["placeholder"], plain(kind, secret))
-    return done(row.join(told, "_row", "left"), longest, columns)
+    # rows with the same secrets need the same placeholders
+    by, name = free_name("_by", df.columns), free_name("_longer", df.columns)
+    held = F.transform(findings, lambda f: F.struct(sanitized_kind(f["category"]).alias("kind"), f["value"].alias("secret")))
+    row = df.withColumn(by, F.sha2(F.to_json(F.array_sort(F.array_distinct(held))).cast("binary"), 256))
+    secrets = row.select(by, F.explode(held).alias("f")).select(by, "f.kind", "f.secret").distinct()
+    told = secrets.join(more, ["kind", "secret"]).groupBy(by).agg(F.collect_set(F.struct("kind", "secret", "placeholder")).alias(name))
+    longest = lambda kind, secret: F.coalesce(F.get(F.filter(name, lambda x: (x["kind"] == kind) & (x["secret"] == secret)), 0)["placeholder"], plain(kind, secret))
+    return done(row.join(told, by, "left"), longest, columns)
+
+
+def own_secrets(rows: DataFrame, minted: DataFrame, text: str, exclusions: DataFrame | None = None) -> tuple[DataFrame, str]:
+    """``rows`` with a map of the secrets behind the placeholders in a text column, and the map's name; null where there are none.
+
+    What a text needs depends on the text alone, so rows meet their secrets by its digest:
+    rows may share a key, or have none. Secrets in ``exclusions`` (secret) are left out.
+    """
+    known = minted if exclusions is None else minted.join(exclusions.select("secret").distinct(), "secret", "left_anti")
+    by, name = free_name("_text", rows.columns), free_name("_secrets", rows.columns)
+    marked = rows.withColumn(by, F.sha2(F.col(f"`{text}`").cast("binary"), 256))
+    found = F.array_distinct(F.regexp_extract_all(F.col(f"`{text}`").cast("string"), F.lit(f"({TOKEN})"), F.lit(0)))
+    asked = marked.select(by, F.explode(found).alias("placeholder")).distinct()
+    own = asked.join(known.select("placeholder", "secret"), "placeholder").groupBy(by).agg(F.map_from_entries(F.collect_set(F.struct("placeholder", "secret"))).alias(name))
+    return marked.join(own, by, "left").drop(by), name
 
 
 def restore(df: DataFrame, minted: DataFrame, key: str, text: str = "redacted", exclusions: DataFrame | None = None) -> DataFrame:
-    """key, restored and n_restored: placeholders of the vault replaced by their secrets.
+    """key, restored and n_restored: placeholders of the vault replaced by their secrets, row by row.
 
     Unknown placeholders stay, as do those whose secret is in ``exclusions`` (secret). Texts
     without a placeholder are not shuffled.
     """
-    known = minted if exclusions is None else minted.join(exclusions.select("secret").distinct(), "secret", "left_anti")
     has = F.coalesce(F.contains(text, F.lit("__PII_")), F.lit(False))
-    rows = df.where(has)
-    spans = rows.select(key, F.explode(matches(F.col(text), TOKEN)).alias("m")).select(key, "m.start", "m.end", F.col("m.value").alias("placeholder"))
-    edits = spans.join(known.select("placeholder", "secret"), "placeholder").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end", F.col("secret").alias("replacement")))).alias("_edits"))
-    joined = rows.join(edits, key, "left").select(key, splice(F.col(text), F.col("_edits")).alias("restored"), F.coalesce(F.size("_edits"), F.lit(0)).alias("n_restored"))
+    rows, secrets = own_secrets(df.where(has).select(key, text) if key != text else df.where(has).select(key), minted, text, exclusions)
+    placed = F.transform(matches(F.col(f"`{text}`"), TOKEN), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.try_element_at(secrets, m["value"]).alias("replacement")))
+    edits = let(F.when(F.col(secrets).isNotNull(), F.filter(placed, lambda e: e["replacement"].isNotNull())), lambda e: F.struct(splice(F.col(f"`{text}`"), e).alias("restored"), F.coalesce(F.size(e), F.lit(0)).alias("n_restored")))
+    joined = rows.withColumn("_done", edits).select(key, "_done.restored", "_done.n_restored")
     return joined.union(df.where(~has).select(key, F.col(text), F.lit(0)))

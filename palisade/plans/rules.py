@@ -8,6 +8,7 @@ from collections.abc import Mapping
 from dataclasses import dataclass, field
 from typing import Any
 
+from ..functions.re2 import PatternError
 from ..operators import detectors as d
 
 # Closed sets, bounds and defaults of rule documents.
@@ -98,11 +99,11 @@ def _rule(raw: Any, at: str, origin: str) -> d.Rule | None:
         return None
     if kind == "regex":
         pattern = r.get("pattern", "")
-        if not 0 < len(pattern.encode()) <= PATTERN_BYTES or re.search(r"\(\?[=!<]|\\[1-9]|\\z|\(\?P<|[*+?}]\+", pattern):
-            raise RuleError(f"{at}.pattern: empty, too long or not a plain pattern")
+        if not 0 < len(pattern.encode()) <= PATTERN_BYTES:
+            raise RuleError(f"{at}.pattern: empty or too long")
         try:
             return d.regex_rule(ident, pattern, **more)
-        except (re.error, ValueError) as e:
+        except PatternError as e:
             raise RuleError(f"{at}.pattern: {e}") from None
     if kind == "keyword":
         words = _literals(r.get("keywords", []), MOST_KEYWORDS, f"{at}.keywords")

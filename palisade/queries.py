@@ -22,6 +22,9 @@ SALT = bytes(range(32))
 KEYWORDS, BLOCKED, ALLOWED = ("idiot", "clown"), ("worthless",), ("contact@", "example.com")
 BUDGET = 2000
 RUDE_TURNS, STOP_TURNS = ("the",), ("assistant", "zz")
+SYLLABLES = ("an", "ar", "as", "at", "ci", "co", "de", "di", "el", "en", "er", "es", "ie", "in", "is", "it", "la", "le", "li", "me", "nd", "ne", "on", "or", "ou", "ra", "re", "se", "st", "te", "th", "ti")
+REGEXES = (("head", r"^\S+\s\S+"), ("tail", r"\w+\W*$"), ("line", r"(?m)^.{3,40}$"), ("cased", r"(?i)\bthe\b|\bles?\b|ÉT"), ("posix", r"[[:upper:]][[:lower:]]+ [[:digit:]]+"), ("letters", r"[^\W\d_]{12,}"),
+           ("named", r"(?P<user>[\w.]+)@(?P<host>[\w-]+)"), ("lazy", r"(?s)[(].*?[)]"), ("quoted", r"\Q.\E\s+\p{Lu}"), ("ungreedy", r"(?U)q.+[aeiou]{2,}\s"), ("boundary", r"\B[a-z]{1,3}\b\pP"), ("any", r"\x{E9}|[\x{C0}-\x{D6}\p{Nd}]{4}"))
 ROUTES = (("/", "root"), ("/en", "english"), ("/fr", "french"), ("/fr/8", "eight"), ("/en/1", "one"))
 
 
@@ -88,6 +91,25 @@ def keyword_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _spans(_docs(spark, sf_dir), d.keyword_rule("rude", KEYWORDS).spans)
 
 
+def _pack() -> list[d.Rule]:
+    """Sixteen rules of 64 literals; those of even rules are compared without case."""
+    words = [[SYLLABLES[2 * i + k // 32] + SYLLABLES[k % 32] for k in range(64)] for i in range(16)]
+    return [d.keyword_rule(f"r{i:02d}", w, case_sensitive=i % 2 == 1, action="warn") for i, w in enumerate(words)]
+
+
+def keyword_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pack of 1,024 literals."""
+    found = d.findings(_docs(spark, sf_dir), _pack())
+    return found.groupBy("doc_id", "rule_id").agg(F.count(F.lit(1)).alias("n"), F.sum("start").alias("sum_start"), F.max("end").alias("last_end"), F.count_distinct("value").alias("n_values"))
+
+
+def regex_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patterns with anchors, classes, flags and names, as RE2 means them."""
+    rows = d.with_findings(_docs(spark, sf_dir), [d.regex_rule(k, p) for k, p in REGEXES])
+    own = F.concat(*[F.transform(F.filter("findings", lambda f, k=k: f["rule_id"] == k), lambda f, i: F.struct(f["rule_id"].alias("rule_id"), i.cast("long").alias("nth"), f["value"].alias("value"))) for k, _ in REGEXES])
+    return rows.select("doc_id", F.inline(own))
+
+
 def blocklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _spans(_docs(spark, sf_dir), d.blocklist_rule(BLOCKED).spans)
 
@@ -186,7 +208,17 @@ def vault_second_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A vault of two runs: the second one's known secrets keep their placeholders."""
     found = d.findings(planted(spark, sf_dir, PLANTED_KEY), d.BUILTIN)
     earlier = tokens.vault(found.where("doc_id % 2 = 0"), SALT)
-    return tokens.vault(found, SALT, known=earlier)
+    # what was minted before need not be what would be minted now
+    longer = earlier.withColumn("placeholder", tokens.spelled(F.col("kind"), tokens.digest(SALT, F.col("kind"), F.col("secret")), F.lit(16)))
+    return tokens.vault(found, SALT, known=longer)
+
+
+def restore_shared_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that share a key or have none are restored each by its own text."""
+    minted, done = _redacted(spark, sf_dir)
+    shared = done.select(F.when(F.col("doc_id") % 7 > 0, F.col("doc_id") % 7).alias("shared"), "redacted")
+    back = tokens.restore(shared, minted, "shared")
+    return back.select("shared", F.sha2(F.col("restored").cast("binary"), 256).alias("text_sha256"), F.col("n_restored").cast("long").alias("n_restored"))
 
 
 def restore_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,14 +266,15 @@ def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = _request(spark, sf_dir)
     minted = stage(tokens.vault(requests.secrets_of(made), SALT), "vault")
     done = stage(requests.redacted(made, SALT, "conv_turn"), "redacted")
-    back = bodies.restore_json(done.select("conv_turn", F.col("redacted").alias("body")), minted, "conv_turn", tokens.TOKEN)
+    back = requests.restored(done.select("conv_turn", F.col("redacted").alias("body")), minted, "conv_turn")
     return back.select("conv_turn", F.sha2("restored", 256).alias("body_sha256"), F.col("n_restored").cast("long").alias("n_restored"))
 
 
 def response_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as event streams, evaluated as responses."""
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    data = F.when(F.col("turn") % 3 == 0, F.to_json(F.struct("role", "text"))).otherwise(F.col("text"))
+    # JSON, JSON with a broken character, and no JSON
+    data = F.when(F.col("turn") % 5 == 4, F.unhex(F.lit("7B2261223A22FF227D"))).when(F.col("turn") % 3 == 0, F.to_json(F.struct("role", "text")).cast("binary")).otherwise(F.col("text").cast("binary"))
     rules = [d.keyword_rule("rude", RUDE_TURNS, action="warn", scope="both"), d.keyword_rule("stop", STOP_TURNS, action="block", scope="response"), d.BUILTIN[1]]
     made = requests.response_streams(rows.select(F.col("conv_id").alias("stream_id"), data.alias("data")), rules)
     return made.select("stream_id", "action", F.array_join("rule_ids", ",").alias("rule_ids"), F.col("walk_skips").cast("long").alias("walk_skips"))
@@ -299,9 +332,9 @@ def restored_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    findings_email, findings_luhn, findings_prefix_planted, findings_jwt_planted, findings_pem_planted, findings_entropy_planted, regex_rule, keyword_rule, blocklist, allowlist_suppression,
+    findings_email, findings_luhn, findings_prefix_planted, findings_jwt_planted, findings_pem_planted, findings_entropy_planted, regex_rule, regex_rules, keyword_rule, keyword_pack, blocklist, allowlist_suppression,
     findings_all_ordered, decision_by_doc, counters, status_document, refusal_documents, restore_log, redaction_log, audit_log, budget_cut, budget_report, findings_cube, mask_findings, vault_distinct, vault_second_run, redaction_lengths,
-    redact_roundtrip, restore_exclusions, restored_counts, json_leaves, sensitive_keys, json_request_decisions, json_request_redacted, json_roundtrip, response_streams, sse_restored, route_longest_prefix, body_gate, sse_decode)}
+    redact_roundtrip, restore_shared_keys, restore_exclusions, restored_counts, json_leaves, sensitive_keys, json_request_decisions, json_request_redacted, json_roundtrip, response_streams, sse_restored, route_longest_prefix, body_gate, sse_decode)}
 
 
 def _matches(name: str, source: str, pattern: str) -> str:
@@ -406,7 +439,25 @@ _COUNTERS = f"""{_DECIDED}, kept AS (SELECT id, list_reduce(list({{'s': s, 'e':
         SELECT (SELECT count(*) FROM dec) AS requests, CAST((SELECT coalesce(sum(n), 0) FROM kept) AS BIGINT) AS redactions, (SELECT count(*) FROM dec WHERE action = 'block') AS content_policy_blocks,
                (SELECT count(*) FROM dec WHERE action = 'block') AS rule_blocks, CAST(0 AS BIGINT) AS walk_skips"""
 
+def _regexes() -> str:
+    each = " UNION ALL ".join(f"SELECT id, '{k}' AS rule_id, regexp_extract_all(x, '(?-s){p}') AS v FROM src" for k, p in REGEXES)
+    return f"WITH {_SOURCE}, m AS ({each}) SELECT id AS doc_id, rule_id, generate_subscripts(v, 1) - 1 AS nth, unnest(v) AS value FROM m"
+
+
+def _literals() -> str:
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""WITH {_SOURCE}, s AS (SELECT {list(SYLLABLES)} AS l), w AS (SELECT i // 64 AS rule, l[2 * (i // 64) + (i % 64) // 32 + 1] || l[i % 32 + 1] AS w FROM s, (SELECT unnest(range(1024)) AS i)),
+        y AS (SELECT id, x, translate(x, '{upper}', '{lower}') AS y FROM src),
+        h AS (SELECT id, x, rule, w, string_split(CASE WHEN rule % 2 = 0 THEN y ELSE x END, w) AS g FROM y JOIN w ON contains(CASE WHEN rule % 2 = 0 THEN y ELSE x END, w)),
+        u AS (SELECT id, x, rule, w, unnest(g[1:len(g) - 1]) AS g, generate_subscripts(g[1:len(g) - 1], 1) AS i FROM h),
+        e AS (SELECT id, rule, w, i, CAST(sum(strlen(g) + 4) OVER (PARTITION BY id, rule, w ORDER BY i) AS BIGINT) AS e, sum(len(g) + 4) OVER (PARTITION BY id, rule, w ORDER BY i) AS c, x FROM u)
+        SELECT id AS doc_id, 'r' || lpad(CAST(rule AS VARCHAR), 2, '0') AS rule_id, count(*) AS n, CAST(sum(e - 4) AS BIGINT) AS sum_start, CAST(max(e) AS INTEGER) AS last_end, count(DISTINCT substr(x, CAST(c - 3 AS BIGINT), 4)) AS n_values FROM e GROUP BY id, rule"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "regex_rules": _regexes(),
+    "keyword_pack": _literals(),
+    "restore_shared_keys": f"WITH {_builtin()}, ed AS (SELECT id, count(*) AS n FROM f GROUP BY id) SELECT nullif(src.id % 7, 0) AS shared, sha256(x) AS text_sha256, coalesce(n, 0) AS n_restored FROM src LEFT JOIN ed USING (id)",
     "findings_email": f"WITH {_SOURCE}, {_email()} {_OUT} email",
     "findings_luhn": f"WITH {_SOURCE}, {_cards()} {_OUT} card",
     "findings_prefix_planted": f"WITH {_KEYED}, {_keys()} {_OUT} pk",
@@ -442,7 +493,8 @@ ORACLE_SQL: dict[str, str] = {
     "mask_findings": f"""WITH {_builtin()} SELECT id AS doc_id, s AS span_start, rule_id,
         CASE category WHEN 'api_key' THEN left(v, 4) || '…' || right(v, 2) WHEN 'email' THEN '****@' || split_part(v, '@', 2) ELSE '****' END AS masked FROM f""",
     "vault_distinct": f"WITH {_builtin()}, {_VAULT} SELECT * FROM vault",
-    "vault_second_run": f"WITH {_builtin()}, {_VAULT} SELECT * FROM vault",
+    "vault_second_run": f"""WITH {_builtin()}, {_VAULT}, early AS (SELECT DISTINCT category AS kind, v AS secret FROM f WHERE id % 2 = 0)
+        SELECT kind, secret, CASE WHEN early.secret IS NULL THEN placeholder ELSE '__PII_' || kind || '_' || left({_hmac("encode(kind) || unhex('00') || encode(secret)")}, 16) || '__' END AS placeholder FROM vault LEFT JOIN early USING (kind, secret)""",
     "restore_exclusions": f"WITH {_builtin()}, ed AS (SELECT id, count(*) AS n FROM f WHERE category <> 'email' GROUP BY id) SELECT src.id AS doc_id, coalesce(n, 0) AS n_restored FROM src LEFT JOIN ed USING (id)",
     "redaction_lengths": f"""WITH {_builtin()}, {_VAULT}, ed AS (SELECT id, sum(strlen(placeholder) - strlen(v)) AS more, count(*) AS n FROM f JOIN vault ON kind = category AND secret = v GROUP BY id)
         SELECT src.id AS doc_id, CAST(strlen(x) + coalesce(more, 0) AS BIGINT) AS n_bytes, coalesce(n, 0) AS applied FROM src LEFT JOIN ed USING (id)""",
@@ -455,9 +507,9 @@ ORACLE_SQL: dict[str, str] = {
     "json_request_redacted": f"""WITH {_GATE} SELECT id AS conv_turn, sha256(CASE WHEN ids IS NULL THEN {_gate_body('ph', 'pw')} ELSE {_gate_body('mail', "'pw ' || mail")} END) AS body_sha256,
         CAST(CASE WHEN ids IS NULL THEN 4 ELSE 0 END AS BIGINT) AS applied FROM g""",
     "json_roundtrip": f"""WITH {_GATE} SELECT id AS conv_turn, sha256({_gate_body('mail', "'pw ' || mail")}) AS body_sha256, CAST(CASE WHEN ids IS NULL THEN 4 ELSE 0 END AS BIGINT) AS n_restored FROM g""",
-    "response_streams": f"""WITH e AS (SELECT conv_id, {' OR '.join(f"contains(lower(role), '{w}') OR contains(lower(text), '{w}')" for w in STOP_TURNS)} AS stop, {' OR '.join(f"contains(lower(role), '{w}') OR contains(lower(text), '{w}')" for w in RUDE_TURNS)} AS rude, turn % 3 = 0 AS j FROM conversations),
-        a AS (SELECT conv_id, bool_or(j AND stop) AS stop, bool_or(j AND rude) AS rude FROM e GROUP BY conv_id)
-        SELECT conv_id AS stream_id, CASE WHEN stop THEN 'block' WHEN rude THEN 'warn' ELSE 'allow' END AS action, CASE WHEN stop THEN 'stop' WHEN rude THEN 'rude' ELSE '' END AS rule_ids, CAST(0 AS BIGINT) AS walk_skips FROM a""",
+    "response_streams": f"""WITH e AS (SELECT conv_id, {' OR '.join(f"contains(lower(role), '{w}') OR contains(lower(text), '{w}')" for w in STOP_TURNS)} AS stop, {' OR '.join(f"contains(lower(role), '{w}') OR contains(lower(text), '{w}')" for w in RUDE_TURNS)} AS rude, turn % 3 = 0 AND turn % 5 <> 4 AS j, turn % 5 = 4 AS torn FROM conversations),
+        a AS (SELECT conv_id, bool_or(j AND stop) AS stop, bool_or(j AND rude) AS rude, count(*) FILTER (torn) AS walk_skips FROM e GROUP BY conv_id)
+        SELECT conv_id AS stream_id, CASE WHEN stop THEN 'block' WHEN rude THEN 'warn' ELSE 'allow' END AS action, CASE WHEN stop THEN 'stop' WHEN rude THEN 'rude' ELSE '' END AS rule_ids, walk_skips FROM a""",
     "sse_restored": """WITH e AS (SELECT conv_id, turn, 'data: {"n":' || turn || ',"t":' || to_json(text || ' ') || '}' || chr(10) || chr(10) || ': ping' || chr(10) || chr(10)
             || 'data: {"n":' || turn || ',"t":' || to_json('ann' || turn || '@corp.com __PII_email_ffffffffffff__') || '}' || chr(10) || chr(10) AS x FROM conversations)
         SELECT conv_id AS stream_id, sha256(string_agg(x, '' ORDER BY turn, x)) AS body_sha256, count(*) AS n_restored FROM e GROUP BY conv_id""",

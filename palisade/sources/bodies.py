@@ -364,28 +364,18 @@ def restored_body(body: bytes, secrets: dict[str, str], token: re.Pattern) -> tu
     return b"".join(out) + rest, total
 
 
-def restore_json(bodies: DataFrame, minted: DataFrame, key: str, token: str, body: str = "body", exclusions: DataFrame | None = None) -> DataFrame:
-    """key, restored and n_restored of every body, placeholders spelled at the depth where they stand.
-
-    ``minted`` has placeholder and secret; secrets in ``exclusions`` (secret) stay
-    placeholders. Only bodies with placeholders are shuffled, to meet their own secrets.
-    """
-    known = minted if exclusions is None else minted.join(exclusions.select("secret").distinct(), "secret", "left_anti")
-    plain = bodies.select(key, F.col(body).cast("binary").alias("body"))
-    text = F.col("body").cast("string")
-    has = F.coalesce(F.contains(text, F.lit("__PII_")), F.lit(False))
-    tokens = plain.where(has).select(key, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(f"({token})"), F.lit(0)))).alias("placeholder"))
-    own = tokens.join(known.select("placeholder", "secret"), "placeholder").groupBy(key).agg(F.map_from_entries(F.collect_set(F.struct("placeholder", "secret"))).alias("secrets"))
-    joined = plain.where(has).join(own, key, "left")
-    schema = T.StructType([joined.schema[key], T.StructField("restored", T.BinaryType()), T.StructField("n_restored", T.IntegerType())])
+def restored_with(bodies: DataFrame, secrets: str, key: str, token: str, body: str = "body") -> DataFrame:
+    """key, restored and n_restored of bodies that have a map of their own secrets; placeholders are spelled at the depth where they stand."""
+    rows = bodies.select(key, F.col(f"`{body}`").cast("binary").alias("_body"), F.col(f"`{secrets}`").alias("_secrets"))
+    schema = T.StructType([rows.schema[0], T.StructField("restored", T.BinaryType()), T.StructField("n_restored", T.IntegerType())])
     pattern = re.compile(token.encode())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [restored_body(raw, dict(own or []), pattern) for raw, own in zip(batch.column("body").to_pylist(), batch.column("secrets").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.int32())], names=schema.names)
+            out = [restored_body(raw, dict(own or []), pattern) for raw, own in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.int32())], names=schema.names)
 
-    return joined.mapInArrow(run, schema).union(plain.where(~has).select(key, "body", F.lit(0)))
+    return rows.mapInArrow(run, schema)
 
 
 def rewritten(bodies: DataFrame, key: str, body: str = "body", edits: str = "edits") -> DataFrame:
@@ -407,9 +397,3 @@ def rewritten(bodies: DataFrame, key: str, body: str = "body", edits: str = "edi
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.int32())], names=schema.names)
 
     return joined.mapInArrow(run, schema)
-
-
-def redact_json(bodies: DataFrame, findings: DataFrame, key: str, body: str = "body") -> DataFrame:
-    """``rewritten`` for edits that stand as rows of key, leaf_index, start, end and replacement."""
-    edits = findings.groupBy(key).agg(F.collect_list(F.struct("leaf_index", "start", "end", "replacement")).alias("edits"))
-    return rewritten(bodies.select(key, body).join(edits, key, "left"), key, body)

@@ -186,7 +186,9 @@ def restored_streams(streams: DataFrame, minted: DataFrame, key: str = "stream_i
     streams are gone through twice: for their placeholders, which meet the vault
     (placeholder, secret) in a join, and with their own secrets.
     """
-    plain = streams.select(key, F.col(body).cast("binary").alias("body"))
+    plain = streams.select(F.col(key).alias(key), F.col(body).cast("binary").alias("body"))
+    # streams of the same bytes need the same secrets; keys may be shared or null
+    marked = plain.withColumn("_text", F.sha2("body", 256))
 
     def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,10 +198,10 @@ def restored_streams(streams: DataFrame, minted: DataFrame, key: str = "stream_i
                 stitched(raw or b"", lambda name, seen=seen: seen.add(name) or "")
                 keys += [k] * len(seen)
                 found += sorted(seen)
-            yield pa.RecordBatch.from_arrays([pa.array([k.as_py() for k in keys], batch.schema.field(0).type), pa.array(found, pa.string())], names=[key, "placeholder"])
+            yield pa.RecordBatch.from_arrays([pa.array([k.as_py() for k in keys], pa.string()), pa.array(found, pa.string())], names=["_text", "placeholder"])
 
-    asked = plain.mapInArrow(names, T.StructType([plain.schema[key], T.StructField("placeholder", T.StringType())]))
-    own = asked.join(minted.select("placeholder", "secret"), "placeholder").groupBy(key).agg(F.map_from_entries(F.collect_set(F.struct("placeholder", "secret"))).alias("secrets"))
+    asked = marked.select("_text", "body").mapInArrow(names, "_text string, placeholder string").distinct()
+    own = asked.join(minted.select("placeholder", "secret"), "placeholder").groupBy("_text").agg(F.map_from_entries(F.collect_set(F.struct("placeholder", "secret"))).alias("secrets"))
     schema = T.StructType([plain.schema[key], T.StructField("restored", T.BinaryType()), T.StructField("n_restored", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,4 +209,4 @@ def restored_streams(streams: DataFrame, minted: DataFrame, key: str = "stream_i
             out = [stitched(raw or b"", dict(s or []).get) for raw, s in zip(batch.column("body").to_pylist(), batch.column("secrets").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.int32())], names=schema.names)
 
-    return plain.join(own, key, "left").mapInArrow(run, schema)
+    return marked.join(own, "_text", "left").select(key, "body", "secrets").mapInArrow(run, schema)

@@ -80,7 +80,7 @@ def test_request_path(spark):
     minted = tokens.vault(requests.secrets_of(made), b"s" * 32)
     done = requests.redacted(made, b"s" * 32, "k")
     assert {r["k"]: r["applied"] for r in done.collect()} == {1: 2, 2: 0, 3: 0, 4: 0, 5: 1, 6: 0, 7: 0}
-    back = bodies.restore_json(done.withColumnRenamed("redacted", "body"), minted, "k", tokens.TOKEN)
+    back = requests.restored(done.withColumnRenamed("redacted", "body"), minted, "k")
     assert {r["k"]: r["restored"] and bytes(r["restored"]).decode() for r in back.collect()} == dict(rows)
     late = requests.evaluated(bodies.walked(spark.createDataFrame([(1, b'{"a":"\xff"}'), (2, b"no json"), (3, b'{"a":"b"}')], "k int, body binary")), rules_, phase="response")
     assert {r["k"]: (r["action"], r["walk_skip"]) for r in late.collect()} == {1: ("allow", 1), 2: ("allow", 0), 3: ("allow", 0)}
@@ -92,11 +92,11 @@ def test_restore_at_depth_in_keys_and_plain(spark):
     minted = spark.createDataFrame([(token, secret), ("__PII_email_0123456789ab__", "ann@corp.com")], "placeholder string, secret string")
     body = json.dumps({"a": f"x {token}", token: json.dumps({"in": f"{token}{token} {other}"}), "e": "__PII_email_0123456789ab__"})
     df = spark.createDataFrame([(1, body), (2, f"plain {token} {other}"), (3, "none"), (4, None)], "k int, body string")
-    out = {r["k"]: (r["restored"] and bytes(r["restored"]).decode(), r["n_restored"]) for r in bodies.restore_json(df, minted, "k", tokens.TOKEN).collect()}
+    out = {r["k"]: (r["restored"] and bytes(r["restored"]).decode(), r["n_restored"]) for r in requests.restored(df, minted, "k").collect()}
     back = json.loads(out[1][0])
     assert back["a"] == f"x {secret}" and json.loads(back[secret])["in"] == f"{secret}{secret} {other}" and back["e"] == "ann@corp.com" and out[1][1] == 5
     assert out[2] == (f"plain {secret} {other}", 1) and out[3] == ("none", 0) and out[4] == (None, 0)
-    left = bodies.restore_json(df, minted, "k", tokens.TOKEN, exclusions=minted.where("secret LIKE 'ann%'").select("secret")).where("k = 1").first()
+    left = requests.restored(df, minted, "k", exclusions=minted.where("secret LIKE 'ann%'").select("secret")).where("k = 1").first()
     assert b"__PII_email_0123456789ab__" in bytes(left["restored"]) and left["n_restored"] == 4
 
 
