@@ -27,8 +27,11 @@ MOST_HELD = 256 << 10
 _TOKEN, _LINE = re.compile(TOKEN), re.compile(rb"[^\r\n]*(?:\r\n|\n|\r|$)")
 
 
-def records(raw: bytes) -> Iterator[tuple[bytes, tuple[int, int] | None]]:
-    """Each event's bytes, its blank line included, and the place of its data if it has one line of it."""
+def records(raw: bytes) -> Iterator[tuple[bytes, tuple[int, int] | None, bool]]:
+    """Each event's bytes, its blank line included, the place of its data if it has one line of it, and whether a blank line ends it.
+
+    An event of more than ``MOST_HELD`` bytes is not looked into.
+    """
     at, start, data = 0, 0, []
     while at < len(raw):
         m = _LINE.match(raw, at)
@@ -38,7 +41,7 @@ def records(raw: bytes) -> Iterator[tuple[bytes, tuple[int, int] | None]]:
             data.append((at + skip - start, at + len(line) - start))
         at = m.end()
         if not line or at >= len(raw):
-            yield raw[start:at], data[0] if len(data) == 1 else None
+            yield raw[start:at], data[0] if len(data) == 1 and at - start <= MOST_HELD else None, not line
             start, data = at, []
 
 
@@ -50,6 +53,14 @@ class _Event:
     names: list[str | None] = field(default_factory=list)
     edits: list[tuple[int, int, int, str]] = field(default_factory=list)  # leaf, start, end (bytes of its value), text
 
+    def read(self) -> None:
+        """Find the leaves of the data; none where it is no JSON."""
+        try:
+            self.leaves = b.walk(self.value)
+            self.names = b.identities(self.leaves)
+        except (b.WalkError, RecursionError):
+            self.leaves, self.names = [], []
+
     @property
     def value(self) -> bytes:
         return self.raw[self.span[0] : self.span[1]] if self.span else b""
@@ -68,6 +79,7 @@ class Stitcher:
     def __init__(self, secret_of: Callable[[str], str | None]):
         self.secret_of, self.restored = secret_of, 0
         self.waiting: list[_Event] = []
+        self.queued = 0  # bytes of the events that wait, those that nothing held refers to included
         self.carry, self.name, self.held = "", None, 0
         self.parts: list[tuple[_Event, int, int, int]] = []
 
@@ -100,13 +112,12 @@ class Stitcher:
 
     def add(self, event: _Event) -> None:
         self.waiting.append(event)
+        self.queued += len(event.raw)
+        if self.parts and self.queued > MOST_HELD:
+            self._drop()
         if not event.span:
             return
-        try:
-            event.leaves = b.walk(event.value)
-            event.names = b.identities(event.leaves)
-        except (b.WalkError, RecursionError):
-            event.leaves = []
+        event.read()
         if not any(n is not None for n in event.names):
             self._drop()
             return
@@ -162,8 +173,25 @@ class Stitcher:
                 yield event.raw[: event.span[0]] + value + event.raw[event.span[1] :]
             else:
                 yield event.raw
+        self.queued -= sum(len(e.raw) for e in self.waiting[:keep])
         self.waiting = self.waiting[keep:]
 
+    def saved(self) -> tuple[tuple, list[tuple]]:
+        """What is needed to go on elsewhere: (carry, name, held, parts, restored) and (raw, start, end, edits) of each event that waits."""
+        at = {id(e): i for i, e in enumerate(self.waiting)}
+        parts = [(at[id(e)], leaf, start, end) for e, leaf, start, end in self.parts]
+        return (self.carry, self.name, self.held, parts, self.restored), [(e.raw, *(e.span or (-1, -1)), list(e.edits)) for e in self.waiting]
+
+    def resume(self, state: tuple, events: list[tuple]) -> None:
+        """Go on from what :meth:`saved` gave."""
+        self.carry, self.name, self.held, parts, self.restored = state
+        self.waiting = [_Event(bytes(raw), (start, end) if start >= 0 else None, edits=[tuple(x) for x in edits]) for raw, start, end, edits in events]
+        self.queued = sum(len(e.raw) for e in self.waiting)
+        for e in self.waiting:
+            if e.span:
+                e.read()
+        self.parts = [(self.waiting[i], leaf, start, end) for i, leaf, start, end in parts]
+
     def _told(self, value: bytes) -> dict[str, str]:
         names = {m.group().decode() for m in re.finditer(TOKEN.encode(), value)}
         return {n: s for n in names if (s := self.secret_of(n)) is not None}
@@ -172,7 +200,7 @@ class Stitcher:
 def stitched(raw: bytes, secret_of: Callable[[str], str | None]) -> tuple[bytes, int]:
     """A stream's bytes with its placeholders restored, and their number."""
     run, out = Stitcher(secret_of), []
-    for record, span in records(raw):
+    for record, span, _ in records(raw):
         run.add(_Event(record, span))
         out += run.ready()
     out += run.ready(end=True)
