@@ -106,7 +106,12 @@ def keyword_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 def regex_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Patterns with anchors, classes, flags and names, as RE2 means them."""
     rows = d.with_findings(_docs(spark, sf_dir), [d.regex_rule(k, p) for k, p in REGEXES])
-    own = F.concat(*[F.transform(F.filter("findings", lambda f, k=k: f["rule_id"] == k), lambda f, i: F.struct(f["rule_id"].alias("rule_id"), i.cast("long").alias("nth"), f["value"].alias("value"))) for k, _ in REGEXES])
+
+    def of(rule: str) -> Column:
+        own = F.filter("findings", lambda f: f["rule_id"] == rule)
+        return F.transform(own, lambda f, i: F.struct(f["rule_id"].alias("rule_id"), i.cast("long").alias("nth"), f["value"].alias("value")))
+
+    own = F.concat(*[of(k) for k, _ in REGEXES])
     return rows.select("doc_id", F.inline(own))
 
 
