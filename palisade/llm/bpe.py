@@ -30,6 +30,21 @@ CACHE_ENTRIES = 150_000
 CACHED_CHARS = 48
 _NONE = 1 << 62
 _STEPPED, _STEP_ROWS = 33, 4096
+RUN_CHARS = 1 << 19
+_SPACE, _LETTER, _NUMBER, _OTHER, _BREAK = range(5)
+_CUT = regex.compile(r"(?<=\S)\s")
+_BASE = 0x9E3779B97F4A7C15
+_tables: dict[str, np.ndarray] = {}
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base of hashes and of its inverse modulo 2**64, at least ``n`` of each."""
+    if not _tables or len(_tables["up"]) < n:
+        for key, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
+            table = np.full(max(n, 2 * RUN_CHARS), np.uint64(base))
+            table[0] = 1
+            _tables[key] = np.cumprod(table, dtype=np.uint64)
+    return _tables["up"], _tables["down"]
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -81,8 +96,9 @@ class Codec:
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.pieces = regex.compile(self.PATTERN).findall
         self.cache_entries = cache_entries
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        # hashes (in order) and second hashes of known pre-tokens, and where their ids stand
+        self.cache = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+        self._kinds()
 
     def merge(self, raw: bytes) -> list[int]:
         """The token ids of one pre-token."""
@@ -172,9 +188,10 @@ class Codec:
         """
         n, width = len(pieces), size + 1
         lengths = np.fromiter(map(len, pieces), np.int64, n)
-        raw = np.frombuffer(b"".join([x.ljust(width, b"\0") for x in pieces]), np.uint8).reshape(n, width)
+        flat = np.frombuffer(b"".join(pieces), np.uint8)
         columns = np.arange(width)
         inside = columns < lengths[:, None]
+        raw = flat[np.where(inside, (np.cumsum(lengths) - lengths)[:, None] + columns, 0)]
         ids = np.full((n, width + 1), -1, np.int64)
         ids[:, :width] = np.where(inside, np.array(self.byte_id)[raw], -1)
         after = np.where(columns + 1 < lengths[:, None], columns + 1, width)
@@ -220,47 +237,151 @@ class Codec:
         ends = (4 * np.cumsum(alive.sum(axis=1))).tolist()
         return [packed[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
-    def learn(self, pieces: set[str]) -> dict[str, bytes]:
-        """Packed ids of pre-tokens that the cache lacks."""
-        made: dict[str, bytes] = {}
-        classes: dict[int, list[tuple[str, bytes]]] = {}
-        for text in pieces:
-            raw = text.encode()
-            n = len(raw)
-            if n == 1 or n > _STEPPED:
-                made[text] = np.array(self.merge(raw), "<u4").tobytes()
-            else:
-                classes.setdefault(1 << (n - 2).bit_length(), []).append((text, raw))
-        for size, members in classes.items():
-            for a in range(0, len(members), _STEP_ROWS):
-                part = members[a : a + _STEP_ROWS]
-                made.update(zip([t for t, _ in part], self.merge_many([r for _, r in part], size), strict=True))
+    def learn(self, pieces: list[str]) -> list[bytes]:
+        """Packed ids of pre-tokens, of each in its place."""
+        raw = [p.encode() for p in pieces]
+        lengths = np.fromiter(map(len, raw), np.int64, len(raw))
+        made: list[bytes] = [b""] * len(raw)
+        for i in np.flatnonzero((lengths == 1) | (lengths > _STEPPED)).tolist():
+            made[i] = np.array(self.merge(raw[i]), "<u4").tobytes()
+        low, size = 1, 1
+        while low < _STEPPED:  # pre-tokens of low + 1 to size + 1 bytes have trees of one size
+            own = np.flatnonzero((lengths > low) & (lengths <= size + 1)).tolist()
+            for a in range(0, len(own), _STEP_ROWS):
+                part = own[a : a + _STEP_ROWS]
+                for i, ids in zip(part, self.merge_many([raw[i] for i in part], size), strict=True):
+                    made[i] = ids
+            low, size = size + 1, size * 2
         return made
 
+    def _kinds(self) -> None:
+        """What pre-tokens are made of, by code point: white space, letters, numbers or others; and two random numbers for each."""
+        every = np.frombuffer("".join(map(chr, range(0xD800))).encode("utf-32-le") + bytes(4 * 0x800) + "".join(map(chr, range(0xE000, 0x110000))).encode("utf-32-le"), np.uint32).astype("<u4")
+        self.kinds = np.full(0x110000, _OTHER, np.uint8)
+        text = every.tobytes().decode("utf-32-le")
+        for kind, pattern in ((_SPACE, r"\s+"), (_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+")):
+            for m in regex.finditer(pattern, text):
+                self.kinds[m.start() : m.end()] = kind
+        self.values = np.random.default_rng(7).integers(1, 2**63, (2, 0x110000), dtype=np.int64).astype(np.uint64)
+
+    def starts(self, codes: np.ndarray, breaks: np.ndarray) -> np.ndarray:
+        """Which code points begin a pre-token, as :attr:`PATTERN` has them; ``breaks`` are places between texts, pre-tokens of their own.
+
+        A run of letters, numbers or others takes the blank before it; what is left of a run
+        of white space before it is one pre-token. An apostrophe that begins a pre-token takes
+        the letters of a contraction after it.
+        """
+        kind = self.kinds[codes]
+        kind[breaks] = _BREAK
+        start = np.ones(len(codes), bool)
+        np.not_equal(kind[1:], kind[:-1], out=start[1:])
+        start[breaks] = True
+        first = np.flatnonzero((kind[:-1] == _SPACE) & (kind[1:] != _SPACE) & (kind[1:] != _BREAK)) + 1
+        start[first - 1] = True
+        start[first[codes[first - 1] == 0x20]] = False
+        quote = np.flatnonzero((codes[:-1] == 0x27) & start[:-1] & (kind[1:] == _LETTER))
+        if len(quote):
+            one, two = codes[quote + 1], codes[np.minimum(quote + 2, len(codes) - 1)]
+            single = np.isin(one, [ord(c) for c in "stmd"])
+            double = (((one == ord("r")) | (one == ord("v"))) & (two == ord("e"))) | ((one == ord("l")) & (two == ord("l")))
+            for taken, n in ((quote[single], 2), (quote[double & ~single], 3)):
+                start[taken + 1] = False
+                after = taken + n
+                after = after[after < len(codes)]
+                start[after[kind[after] == _LETTER]] = True
+        return start
+
+    def encode_run(self, texts: list[str]) -> list[bytes]:
+        """The ids of texts without special tokens; each distinct pre-token is looked up once, by its hashes.
+
+        Two hashes of 64 bits over random numbers tell pre-tokens apart; where one of them
+        alone says that two are equal, every pre-token is encoded by itself.
+        """
+        joined = "\n".join(texts) + "\n"
+        codes = np.frombuffer(joined.encode("utf-32-le"), "<u4")
+        breaks = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1) - 1
+        begins = np.flatnonzero(self.starts(codes, breaks))
+        sizes = np.diff(begins, append=len(codes))
+        token_break = np.searchsorted(begins, breaks)
+        first, second = (self._hashes(codes, begins, sizes, values) for values in self.values)
+        keys, pick, own = np.unique(first, return_index=True, return_inverse=True)
+        checks = second[pick]
+        if (second != checks[own]).any():
+            return [b"".join(self.learn(self.pieces(t))) for t in texts]
+        at, lengths, pool = self._looked_up(joined, begins[pick], sizes[pick], keys, checks)
+        own_lengths = lengths[own]
+        own_lengths[token_break] = 0
+        ends = np.cumsum(own_lengths)
+        ids = pool[np.repeat(at[own] - ends + own_lengths, own_lengths) + np.arange(ends[-1])].tobytes()
+        cuts = (4 * ends[token_break]).tolist()
+        return [ids[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
+
+    @staticmethod
+    def _hashes(codes: np.ndarray, begins: np.ndarray, sizes: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """A hash of each pre-token that does not depend on where it stands."""
+        up, down = _powers(len(codes))
+        sums = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum(values[codes] * up[: len(codes)], out=sums[1:])
+        return (sums[begins + sizes] - sums[begins]) * down[begins] + sizes.astype(np.uint64)
+
+    def _looked_up(self, joined: str, begins: np.ndarray, sizes: np.ndarray, keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place, length, ids) of distinct pre-tokens in a pool, from the cache or learned; a full cache starts anew with those at hand."""
+        known, known_checks, known_at, known_lengths, pool = self.cache
+        place = np.minimum(np.searchsorted(known, keys), max(0, len(known) - 1))
+        hit = (known[place] == keys) & (known_checks[place] == checks) if len(known) else np.zeros(len(keys), bool)
+        at, lengths = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        at[hit], lengths[hit] = known_at[place[hit]], known_lengths[place[hit]]
+        miss = np.flatnonzero(~hit)
+        made = self.learn([joined[a : a + n] for a, n in zip(begins[miss].tolist(), sizes[miss].tolist(), strict=True)])
+        lengths[miss] = np.fromiter(map(len, made), np.int64, len(made)) // 4
+        at[miss] = len(pool) + np.cumsum(lengths[miss]) - lengths[miss]
+        both = np.concatenate([pool, np.frombuffer(b"".join(made), "<u4")])
+        if len(known) > self.cache_entries:
+            kept = np.flatnonzero(sizes <= CACHED_CHARS)
+            ends = np.cumsum(lengths[kept])
+            fresh = both[np.repeat(at[kept] - ends + lengths[kept], lengths[kept]) + np.arange(ends[-1] if len(ends) else 0)]
+            self.cache = keys[kept], checks[kept], ends - lengths[kept], lengths[kept], fresh
+        else:
+            new = miss[sizes[miss] <= CACHED_CHARS]
+            columns = [np.concatenate(x) for x in ((known, keys[new]), (known_checks, checks[new]), (known_at, at[new]), (known_lengths, lengths[new]))]
+            order = np.argsort(columns[0], kind="stable")
+            self.cache = *(c[order] for c in columns), both
+        return at, lengths, both
+
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of whole texts as little-endian unsigned 32-bit integers."""
-        rows = []
-        for text in texts:
-            if text and self.split_special is not None and self.split_special.search(text):
-                rows.append([p for x in self.split_special.split(text) for p in ([x] if x in self.special else self.pieces(x))])
-            else:
-                rows.append(self.pieces(text or ""))
-        wanted = set().union(*rows) if rows else set()
-        known = {p: np.array([i], "<u4").tobytes() for p, i in self.special.items() if p in wanted}
-        missing = set()
-        for p in wanted:
-            if p in known:
-                continue
-            found = self.young.get(p) or self.old.get(p)
-            if found is None:
-                missing.add(p)
-            else:
-                known[p] = found
-        known.update(self.learn(missing))
-        if len(self.young) >= self.cache_entries:
-            self.old, self.young = self.young, {}
-        self.young.update((p, x) for p, x in known.items() if len(p) <= CACHED_CHARS and p not in self.special)
-        return [b"".join(map(known.__getitem__, row)) for row in rows]
+        """The ids of whole texts as little-endian unsigned 32-bit integers.
+
+        Texts are taken in runs of about ``RUN_CHARS``; longer ones are cut where white space
+        follows something else, as a pre-token begins there whatever stands around it.
+        """
+        out: list[list[bytes]] = [[] for _ in texts]
+        run: list[tuple[int, str]] = []
+        size = 0
+
+        def flush() -> None:
+            nonlocal run, size
+            for (row, _), ids in zip(run, self.encode_run([p for _, p in run]) if run else [], strict=True):
+                out[row].append(ids)
+            run, size = [], 0
+
+        for row, text in enumerate(texts):
+            special = text and self.split_special is not None and self.split_special.search(text)
+            for part in self.split_special.split(text) if special else [text or ""]:
+                if part in self.special:
+                    flush()
+                    out[row].append(np.array([self.special[part]], "<u4").tobytes())
+                    continue
+                at = 0
+                while len(part) - at > RUN_CHARS and (cut := _CUT.search(part, at + RUN_CHARS)):
+                    run.append((row, part[at : cut.start()]))
+                    at = cut.start()
+                    flush()
+                run.append((row, part[at:]))
+                size += len(part) - at
+                if size >= RUN_CHARS:
+                    flush()
+        flush()
+        return [x[0] if len(x) == 1 else b"".join(x) for x in out]
 
     def decode(self, packed: bytes | None) -> str:
         """The text of packed ids; bytes that are not UTF-8 become U+FFFD."""

@@ -2,13 +2,15 @@
 
 A document's tokens, closed by an end id, are one piece, or pieces of the sequence length
 where they are longer (the first may be shorter). Pieces are dealt to groups of bounded
-size by the hash of their row. In a group they are placed one by one, the longest first:
-with N(g) open bins of residual gap g, a piece goes to the gap, or to a new bin, that
-leaves the sum of N(g)^2 over all gaps smallest (ties: the smallest gap). The least
-filled eighth of a group's bins is opened again and its pieces go on to the next level,
-where fewer groups meet, until all that is left fits into one group, which is packed,
-opened and packed again a few times. So a level has an eighth of the tokens of the one
-before, no task holds more than a group, and what group borders cost is won back.
+size by the hash of their row. In a group they are placed one by one: with N(g) open bins
+of residual gap g (open as long as some later piece fits), a piece goes to the gap, or to a new bin, that leaves the sum of N(g)^2
+over all gaps smallest (ties: the smallest gap). Both the longest first and a shuffled
+order are tried, and the one with fewer bins is kept. The least filled eighth of a group's
+bins, and half as many with the shortest pieces, are opened again and their pieces go on
+to the next level, where fewer groups meet, until all that is left fits into one group,
+whose worst bins are opened and packed again a few times. So a level has at most a fifth
+of the bins of the one before, no task holds more than a group, and what group borders
+cost is won back.
 
 Defined cases: a null text counts as empty, an empty text is one piece of the end id
 alone; repeated rows, null ids and ties are rows of their own; an empty table gives no
@@ -32,7 +34,8 @@ from .textvec import slices
 LIMIT, END_ID = 2048, 0
 GROUP = 1 << 14
 REOPENED = 8
-LAST_ROUNDS = 5
+LAST_ROUNDS, LAST_SHARES = 12, (8, 4, 16, 2)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 _NEVER = 1 << 60
 
 
@@ -68,16 +71,20 @@ def numbered(rows: DataFrame, name: str) -> DataFrame:
 
 
 def placements(sizes: list[int], limit: int) -> tuple[list[int], list[int], list[int]]:
-    """Bin and offset of each size, in this order, and the bins' fill: sum-of-squares."""
+    """Bin and offset of each size, in this order, and the bins' fill: sum-of-squares over the bins that a later size may still go to."""
     count = np.zeros(limit + 1, np.int64)
     bins_of: list[list[int]] = [[] for _ in range(limit + 1)]
     bins, offsets, fill = [], [], []
-    for size in sizes:
+    later = np.minimum.accumulate(np.array([*sizes[1:], limit], np.int64)[::-1])[::-1].tolist() if sizes else []
+    for size, least in zip(sizes, later, strict=True):
         before, after = count[size:], count[: limit + 1 - size]
         cost = np.where(before > 0, 2 * (after - before) + 2, _NEVER)
-        if before[0]:
-            cost[0] = 1 - 2 * before[0]  # closed: no gap is left to count
-        cost[-1] = 2 * after[-1] + 1 if size < limit else 0  # a new bin
+        cost[-1] = 2 * after[-1] + 1  # a new bin
+        # a gap below all later sizes is closed and counts no more
+        closed = np.where(before[:least] > 0, 1 - 2 * before[:least], _NEVER)
+        cost[:least] = closed
+        if limit - size < least:
+            cost[-1] = 0
         gap = size + int(cost.argmin())
         if gap == limit:
             bin = len(fill)
@@ -88,28 +95,56 @@ def placements(sizes: list[int], limit: int) -> tuple[list[int], list[int], list
         bins.append(bin)
         offsets.append(fill[bin])
         fill[bin] += size
-        if gap > size:
+        if gap - size >= least:
             count[gap - size] += 1
             bins_of[gap - size].append(bin)
+        count[:least] = 0
     return bins, offsets, fill
 
 
-def _packed(lengths: np.ndarray, order: np.ndarray, limit: int, last: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Bin, or -1 where the bin is opened again, and offset of each length; bins are numbered over all rounds."""
-    bin_of, offset_of, first = np.full(len(lengths), -1, np.int64), np.zeros(len(lengths), np.int64), 0
-    for k in range(LAST_ROUNDS if last else 1):
-        bins, offsets, fill = (np.array(x, np.int64) for x in placements(lengths[order].tolist(), limit))
-        bin_of[order], offset_of[order] = bins + first, offsets
-        if last and k == LAST_ROUNDS - 1:
-            break
-        opened = np.zeros(len(fill), bool)
-        worst = np.argsort(fill, kind="stable")[: len(fill) // REOPENED]
-        opened[worst[fill[worst] < limit]] = True
-        again = opened[bins]
-        order, first = order[again], first + len(fill)
-        bin_of[order] = -1
-        if not len(order):
-            break
+def _placed(lengths: np.ndarray, rows: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bin and offset of each length, and the bins' fill: the longest first or in the order of hashed rows, whichever needs fewer bins."""
+    best = None
+    for order in (np.lexsort((rows, -lengths)), np.argsort(rows.astype(np.uint64) * _MIX, kind="stable")):
+        bins, offsets, fill = placements(lengths[order].tolist(), limit)
+        if best is None or len(fill) < len(best[2]):
+            bin_of, offset_of = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+            bin_of[order], offset_of[order] = bins, offsets
+            best = bin_of, offset_of, np.array(fill, np.int64)
+    return best
+
+
+def _opened(lengths: np.ndarray, bin_of: np.ndarray, fill: np.ndarray, share: int, limit: int) -> np.ndarray:
+    """Which bins to open again: one in ``share``, the least filled, and half as many of those with the shortest pieces, to fill gaps with."""
+    opened = np.zeros(len(fill), bool)
+    worst = np.argsort(fill, kind="stable")[: len(fill) // share]
+    opened[worst[fill[worst] < limit]] = True
+    if opened.any():
+        longest = np.zeros(len(fill), np.int64)
+        np.maximum.at(longest, bin_of, lengths)
+        longest[opened] = limit
+        opened[np.argsort(longest, kind="stable")[: len(fill) // (2 * share)]] = True
+    return opened
+
+
+def _packed(lengths: np.ndarray, rows: np.ndarray, limit: int, last: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Bin, or -1 where the bin is opened for the next level, and offset of each length; the last level opens bins itself while that saves any."""
+    bin_of, offset_of, fill = _placed(lengths, rows, limit)
+    if not last:
+        bin_of[_opened(lengths, bin_of, fill, REOPENED, limit)[bin_of]] = -1
+        return bin_of, offset_of
+    for k in range(LAST_ROUNDS):
+        opened = _opened(lengths, bin_of, fill, LAST_SHARES[k % len(LAST_SHARES)], limit)
+        again = np.flatnonzero(opened[bin_of])
+        if not len(again):
+            continue
+        new_bin, new_offset, new_fill = _placed(lengths[again], rows[again], limit)
+        if len(new_fill) <= opened.sum():
+            # closed up, so that bins are numbered from 0 without gaps
+            number = np.cumsum(~opened) - 1
+            bin_of = number[bin_of]
+            bin_of[again], offset_of[again] = new_bin + (~opened).sum(), new_offset
+            fill = np.concatenate([fill[~opened], new_fill])
     return bin_of, offset_of
 
 
@@ -126,7 +161,7 @@ def pack(rows: DataFrame, limit: int = LIMIT, group: int = GROUP) -> DataFrame:
     def at(level: int, last: bool):
         def packed(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
             lengths, own = (table.column(c).to_numpy() for c in ("length", "row"))
-            bins, offsets = _packed(lengths, np.lexsort((own, -lengths)), limit, last)
+            bins, offsets = _packed(lengths, own, limit, last)
             sequence = np.where(bins < 0, -1, bins + (key[0].as_py() << 20) + (level << 56))
             return table.select(columns).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offsets))
 
