@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .bits import fresh
 from .textvec import map_rows, utf8
 
 BITS = (8, 12, 14, 15)
@@ -201,4 +202,5 @@ def identified(docs: DataFrame) -> DataFrame:
     if not model.labels:
         return docs.where(F.col("text").rlike(r"\p{L}")).select(*columns)
     least = least_score(docs)
-    return predict(docs, model, lang_pred="_lang_pred", score="_score").where((F.col("_lang_pred") != "und") & (F.col("_score") >= least)).select(*columns)
+    told, score = fresh("told", docs.columns), fresh("sure", docs.columns)
+    return predict(docs, model, lang_pred=told, score=score).where((F.col(told) != "und") & (F.col(score) >= least)).select(*columns)

@@ -171,13 +171,13 @@ def cleaned(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS) ->
 
 def remove_repeats(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS) -> DataFrame:
     """``docs`` with repeated sentences removed from ``text``; every row and every other column stays. Only rows with repeats are shuffled."""
-    flag, left = fresh("repeated", docs.columns), fresh("left", docs.columns)
-    made = stage(cleaned(docs, run, least_words).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("text").alias(left)), "cleaned")
+    flag, left, id, hashed = (fresh(x, docs.columns) for x in ("repeated", "left", "id", "hashed"))
+    made = stage(cleaned(docs, run, least_words).select(F.col("doc_id").alias(id), F.col("h").alias(hashed), F.col("text").alias(left)), "cleaned")
     columns = [F.col(f"`{c}`") for c in docs.columns]
     own = [F.col("doc_id").cast("long"), F.xxhash64("text")]
-    marked = flagged(docs, bit_map(made, "_id", "_h"), own, flag)
+    marked = flagged(docs, bit_map(made, id, hashed), own, flag)
     hit = F.col(flag) & F.col("doc_id").isNotNull() & F.col("text").isNotNull()
-    joined = marked.where(hit).join(made, (own[0] == F.col("_id")) & (own[1] == F.col("_h")), "left")
+    joined = marked.where(hit).join(made, (own[0] == F.col(id)) & (own[1] == F.col(hashed)), "left")
     changed = joined.select(*[F.coalesce(F.col(left), F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
     return marked.where(~hit).select(*columns).union(changed)
 

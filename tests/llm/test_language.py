@@ -21,6 +21,9 @@ def test_language_stage(spark):
     rows = [(i, " ".join(("the house and water of this town" if i % 2 else "das haus und wasser in der stadt").split() * (2 + i % 3)), "en" if i % 2 else "de") for i in range(200)]
     rows += [(200, "q", None), (201, "xq zj kv wp", None), (202, None, "en")]
     assert sorted(r["doc_id"] for r in language.identified(spark.createDataFrame(rows, schema)).collect()) == list(range(200))
+    named = spark.createDataFrame(rows, schema).selectExpr("*", "'mine' AS _lang_pred", "'own' AS _score", "'a' AS told", "'b' AS sure")
+    kept = language.identified(named)
+    assert kept.columns == named.columns and {tuple(r)[3:] for r in kept.collect()} == {("mine", "own", "a", "b")} and kept.count() == 200
 
 
 def plain_kernel(a, b):

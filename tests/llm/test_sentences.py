@@ -73,6 +73,8 @@ def test_rows_that_share_an_id(spark):
     df = spark.createDataFrame(rows, "doc_id int, text string, left int")
     got = {r["left"]: r["text"] for r in sentences.remove_repeats(df).collect()}
     assert got == {1: "Head. ", 2: rows[1][1], 3: passage, 4: "Head. ", 5: passage, 6: None, 7: ""}
+    named = df.selectExpr("*", "'a' AS _id", "'b' AS id", "'c' AS hashed", "'d' AS _h", "1 AS repeated")
+    assert {r["left"]: r["text"] for r in sentences.remove_repeats(named).collect()} == got and sentences.remove_repeats(named).columns == named.columns
     assert [(r["doc_id"], r["first_doc_ids"]) for r in sentences.report(df).collect()] == [(2, [1])]
     empty = df.where("false")
     assert sentences.report(empty).count() == 0 and sentences.remove_repeats(empty).count() == 0
