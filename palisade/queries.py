@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions.text import mask_secret, route
 from .operators import detectors as d
-from .operators import policy, requests, tokens
+from .operators import policy, requests, responses, tokens
 from .sources import bodies, sse
 from .staging import stage
 from .streaming import events
@@ -285,6 +285,36 @@ def response_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("stream_id", "action", F.array_join("rule_ids", ",").alias("rule_ids"), F.col("walk_skips").cast("long").alias("walk_skips"))
 
 
+def _little(n: Column, size: int) -> Column:
+    """Hex of a number, its lowest byte first."""
+    digits = F.lpad(F.hex(n), 2 * size, "0")
+    return F.concat(*[F.substring(digits, 2 * i + 1, 2) for i in reversed(range(size))])
+
+
+def _deflated(raw: Column) -> Column:
+    """A body as one stored block of raw deflate, in hex."""
+    return F.concat(F.lit("01"), _little(F.octet_length(raw), 2), _little(F.lit(65535) - F.octet_length(raw), 2), F.hex(raw))
+
+
+def buffered_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation turns as responses of every kind: coded, broken, blocked, too long, torn, plain."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").withColumn("conv_turn", F.concat_ws("-", "conv_id", "turn"))
+    mail = F.concat(F.lit('an"n'), F.col("turn").cast("string"), F.lit("@corp.com"))
+    name = tokens.spelled(F.lit("email"), tokens.digest(SALT, F.lit("email"), mail))
+    minted = rows.select(mail.alias("secret"), name.alias("placeholder")).distinct()
+    kind = F.conv(F.substring(_md5("conv_turn"), 1, 2), 16, 10).cast("int") % 9
+    text = F.concat("text", F.lit(" "), name)
+    document = F.to_json(F.struct("role", text.alias("t"))).cast("binary")
+    gzip = F.concat(F.lit("1F8B0800000000000003"), _deflated(document), _little(F.crc32(document), 4), _little(F.octet_length(document), 4))
+    coded = F.when(kind == 1, gzip).when(kind == 2, _deflated(document)).when(kind == 3, F.concat(F.lit("1F8B08"), F.hex(document)))
+    body = (F.when(kind.between(1, 3), F.unhex(coded)).when(kind == 5, F.encode(text, "UTF-8")).when(kind == 6, F.concat(F.lit(b'{"a":"\xff'), name.cast("binary"), F.lit(b'"}')))
+            .when(kind == 7, F.to_json(F.struct(F.lit("zz stop").alias("t"))).cast("binary")).otherwise(document))
+    header = F.when(kind == 1, " X-GZIP ").when(kind == 2, "identity, deflate").when(kind == 3, "gzip").when(kind == 4, "br")
+    rules = [d.keyword_rule("rude", RUDE_TURNS, action="warn", scope="both"), d.keyword_rule("stop", ("ZZ",), action="block", scope="response"), d.BUILTIN[1]]
+    made = responses.buffered(rows.select("conv_turn", F.lit(200).alias("status"), body.alias("body"), header.alias("content_encoding")), minted, "conv_turn", rules, cap=600)
+    return made.select("conv_turn", "status", F.sha2("body", 256).alias("body_sha256"), "error", "rule_id", F.array_join("warnings", ",").alias("warnings"), F.col("walk_skip").cast("long").alias("walk_skip"), F.col("n_restored").cast("long").alias("n_restored"))
+
+
 def sensitive_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaves = bodies.leaves(_conversations(spark, sf_dir), "conv_turn")
     return policy.sensitive_keys(leaves, ["NOTE", "role"]).select("conv_turn", "path", F.col("end").cast("int").alias("n_bytes"), "rule_id")
@@ -339,7 +369,7 @@ def restored_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     findings_email, findings_luhn, findings_prefix_planted, findings_jwt_planted, findings_pem_planted, findings_entropy_planted, regex_rule, regex_rules, keyword_rule, keyword_pack, blocklist, allowlist_suppression,
     findings_all_ordered, decision_by_doc, counters, status_document, refusal_documents, restore_log, redaction_log, audit_log, budget_cut, budget_report, findings_cube, mask_findings, vault_distinct, vault_second_run, redaction_lengths,
-    redact_roundtrip, restore_shared_keys, restore_exclusions, restored_counts, json_leaves, sensitive_keys, json_request_decisions, json_request_redacted, json_roundtrip, response_streams, sse_restored, route_longest_prefix, body_gate, sse_decode)}
+    redact_roundtrip, restore_shared_keys, restore_exclusions, restored_counts, json_leaves, sensitive_keys, json_request_decisions, json_request_redacted, json_roundtrip, response_streams, buffered_responses, sse_restored, route_longest_prefix, body_gate, sse_decode)}
 
 
 def _matches(name: str, source: str, pattern: str) -> str:
@@ -444,6 +474,20 @@ _COUNTERS = f"""{_DECIDED}, kept AS (SELECT id, list_reduce(list({{'s': s, 'e':
         SELECT (SELECT count(*) FROM dec) AS requests, CAST((SELECT coalesce(sum(n), 0) FROM kept) AS BIGINT) AS redactions, (SELECT count(*) FROM dec WHERE action = 'block') AS content_policy_blocks,
                (SELECT count(*) FROM dec WHERE action = 'block') AS rule_blocks, CAST(0 AS BIGINT) AS walk_skips"""
 
+def _responses() -> str:
+    coded, plain = (f"""'{{"role":' || to_json(role) || ',"t":' || to_json(text || ' ' || {x}) || '}}'""" for x in ("ph", "mail"))
+    gzip, deflate = 10 + 5 + 8, 5
+    return f"""WITH r AS (SELECT conv_id || '-' || turn AS conv_turn, role, text, 'an"n' || turn || '@corp.com' AS mail, {_placeholder('email', "('an' || chr(34) || 'n' || turn || '@corp.com')")} AS ph FROM conversations),
+        q AS (SELECT *, CAST('0x' || substr(md5(conv_turn), 1, 2) AS INTEGER) % 9 AS kind, {coded} AS coded, {plain} AS plain FROM r),
+        s AS (SELECT *, CASE kind WHEN 1 THEN strlen(coded) + {gzip} WHEN 2 THEN strlen(coded) + {deflate} WHEN 3 THEN strlen(coded) + 3 WHEN 5 THEN strlen(text || ' ' || ph) WHEN 6 THEN strlen(ph) + 9 WHEN 7 THEN 15 ELSE strlen(coded) END AS size FROM q),
+        e AS (SELECT *, CASE WHEN size > 600 THEN 'bad_gateway' WHEN kind IN (3, 4) THEN 'undecodable_content_encoding' WHEN kind = 7 OR kind NOT IN (5, 6) AND (contains(lower(coded), 'zz')) THEN 'rule_blocked' END AS error FROM s)
+        SELECT conv_turn, CASE WHEN error IS NULL THEN 200 ELSE 502 END AS status,
+               CASE WHEN error = 'rule_blocked' THEN sha256('{{"error":"rule_blocked","rule_id":"stop"}}') WHEN error IS NOT NULL THEN sha256('{{"error":"' || error || '"}}')
+                    WHEN kind = 5 THEN sha256(text || ' ' || mail) WHEN kind = 6 THEN sha256(unhex('7B2261223A22FF') || encode(mail) || unhex('227D')) ELSE sha256(plain) END AS body_sha256,
+               error, CASE WHEN error = 'rule_blocked' THEN 'stop' END AS rule_id, CASE WHEN error IS NULL AND kind NOT IN (5, 6) AND (contains(lower(role), 'the') OR contains(lower(text), 'the')) THEN 'rude' ELSE '' END AS warnings,
+               CAST(CASE WHEN error IS NULL AND kind = 6 THEN 1 ELSE 0 END AS BIGINT) AS walk_skip, CAST(CASE WHEN error IS NULL THEN 1 ELSE 0 END AS BIGINT) AS n_restored FROM e"""
+
+
 def _regexes() -> str:
     each = " UNION ALL ".join(f"SELECT id, '{k}' AS rule_id, regexp_extract_all(x, '(?-s){p}') AS v FROM src" for k, p in REGEXES)
     return f"WITH {_SOURCE}, m AS ({each}) SELECT id AS doc_id, rule_id, generate_subscripts(v, 1) - 1 AS nth, unnest(v) AS value FROM m"
@@ -515,6 +559,7 @@ ORACLE_SQL: dict[str, str] = {
     "response_streams": f"""WITH e AS (SELECT conv_id, {' OR '.join(f"contains(lower(role), '{w}') OR contains(lower(text), '{w}')" for w in STOP_TURNS)} AS stop, {' OR '.join(f"contains(lower(role), '{w}') OR contains(lower(text), '{w}')" for w in RUDE_TURNS)} AS rude, turn % 3 = 0 AND turn % 5 <> 4 AS j, turn % 5 = 4 AS torn FROM conversations),
         a AS (SELECT conv_id, bool_or(j AND stop) AS stop, bool_or(j AND rude) AS rude, count(*) FILTER (torn) AS walk_skips FROM e GROUP BY conv_id)
         SELECT conv_id AS stream_id, CASE WHEN stop THEN 'block' WHEN rude THEN 'warn' ELSE 'allow' END AS action, CASE WHEN stop THEN 'stop' WHEN rude THEN 'rude' ELSE '' END AS rule_ids, walk_skips FROM a""",
+    "buffered_responses": _responses(),
     "sse_restored": """WITH e AS (SELECT conv_id, turn, 'data: {"n":' || turn || ',"t":' || to_json(text || ' ') || '}' || chr(10) || chr(10) || ': ping' || chr(10) || chr(10)
             || 'data: {"n":' || turn || ',"t":' || to_json('ann' || turn || '@corp.com __PII_email_ffffffffffff__') || '}' || chr(10) || chr(10) AS x FROM conversations)
         SELECT conv_id AS stream_id, sha256(string_agg(x, '' ORDER BY turn, x)) AS body_sha256, count(*) AS n_restored FROM e GROUP BY conv_id""",
