@@ -8,7 +8,8 @@ one automaton in one Arrow pass over the texts, and their rules read what it fou
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+import time
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -132,6 +133,7 @@ class Rule:
     allow: tuple[str, ...] = field(default=())
     literals: tuple[str, ...] = field(default=())  # of a rule that is nothing but these
     fold: bool = False  # whether its literals are compared without the case of A-Z
+    python: Callable[[bytes], Iterable[tuple[int, int]]] | None = None  # a rule of another origin, run under guard
 
 
 BUILTIN = (
@@ -158,6 +160,52 @@ def keyword_rule(id: str, keywords: Sequence[str], case_sensitive: bool = False,
     return Rule(id, category, lambda text: F.concat(*[literal_matches(text, k, not case_sensitive) for k in keywords]), literals=tuple(keywords), fold=not case_sensitive, **more)
 
 
+# What a guarded rule may give and take, and how its failures are named.
+MOST_SPANS, MOST_SECONDS = 4096, 30.0
+PANIC, TIMEOUT, BUDGET, MALFORMED, ERROR = "panic", "timeout", "budget", "malformed", "error"
+FAILED = "failed:"
+
+
+def python_rule(id: str, spans: Callable[[bytes], Iterable[tuple[int, int]]], category: str = "custom", **more) -> Rule:
+    """A rule in Python: from the bytes of a text to (start, end) spans; the rest of a finding is stamped here.
+
+    It is called under guard (:func:`guarded`), and a failure refuses the whole text.
+    """
+    more.setdefault("origin", "plugin")
+    return Rule(id, category, lambda text: F.array().cast("array<struct<start:int,end:int,value:string>>"), python=spans, **more)
+
+
+def guarded(rule: Rule, text: bytes, seconds: float = MOST_SECONDS) -> tuple[list[tuple[int, int]], str | None]:
+    """The checked spans of a Python rule in a text, or none and the reason why it failed.
+
+    An exception is a panic, no spans at all (None) an error, more than ``MOST_SPANS`` the
+    budget, and anything but whole pairs in order within the text, at borders of
+    characters, malformed. A call cannot be stopped; one that took too long fails after it.
+    """
+    began, out = time.monotonic(), []
+    try:
+        found = rule.python(text)
+        if found is None:
+            return [], ERROR
+        for n, span in enumerate(found):
+            if n == MOST_SPANS:
+                return [], BUDGET
+            out.append(span)
+    except Exception:
+        return [], PANIC
+    if time.monotonic() - began > seconds:
+        return [], TIMEOUT
+    inside = lambda at: at == len(text) or text[at] & 0xC0 != 0x80
+    for span in out:
+        whole = isinstance(span, tuple) and len(span) == 2 and all(isinstance(x, int) and not isinstance(x, bool) for x in span)
+        if not whole or not 0 <= span[0] < span[1] <= len(text) or not inside(span[0]) or not inside(span[1]):
+            return [], MALFORMED
+    return out, None
+
+
+_REASONS = (PANIC, TIMEOUT, BUDGET, MALFORMED, ERROR)
+
+
 def blocklist_rule(literals: Sequence[str]) -> Rule:
     """Global literals that block and that no allowlist excuses."""
     return Rule("blocklist", "custom", lambda text: F.concat(*[literal_matches(text, x) for x in literals]), action="block", scope="both", priority=-1, confidence=1.0, literals=tuple(literals))
@@ -192,17 +240,30 @@ def _owners(rules: Sequence[Rule], allowlist: Sequence[str], phase: str) -> tupl
 
 
 def needs_places(rules: Sequence[Rule], allowlist: Sequence[str] = (), phase: str = "request") -> bool:
-    """Whether a rule set has more literals than a plan should hold."""
-    return sum(map(len, _owners(rules, allowlist, phase))) > UNROLLED
+    """Whether a rule set has more literals than a plan should hold, or rules in Python."""
+    return sum(map(len, _owners(rules, allowlist, phase))) > UNROLLED or any(r.python for r in ranked(rules, phase))
 
 
 def with_places(df: DataFrame, rules: Sequence[Rule], name: str, text: str = "text", allowlist: Sequence[str] = (), phase: str = "request", leaves: bool = False) -> DataFrame:
     """``df`` with the places (owner, start, end) of all literals of the rules and allowlists in each text; one Arrow pass.
 
     With ``leaves``, ``text`` is an array of structs with a ``value``, and the places are an
-    array for each.
+    array for each. Rules in Python add theirs in the order of rules up to the first that
+    fails: that is the place (owner, -1, number of the reason).
     """
     seek, allow = _owners(rules, allowlist, phase)
+    own = [(n, r) for n, r in enumerate(ranked(rules, phase)) if r.python]
+
+    def told(texts: pa.Array) -> list[np.ndarray]:
+        rows = []
+        for i, text in enumerate(texts.to_pylist()):
+            for n, rule in own if text else ():
+                spans, failure = guarded(rule, text.encode())
+                rows += [(i, a, z, n) for a, z in spans]
+                if failure:
+                    rows.append((i, -1, _REASONS.index(failure), n))
+                    break
+        return list(np.array(rows, np.int64).reshape(-1, 4).T)
     kind = pa.list_(pa.struct([("owner", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
     at = df.columns.index(text)
     schema = T.StructType([*df.schema.fields, T.StructField(name, T.DataType.fromDDL(f"array<{PLACES}>" if leaves else PLACES))])
@@ -210,7 +271,7 @@ def with_places(df: DataFrame, rules: Sequence[Rule], name: str, text: str = "te
     def placed(column: pa.Array) -> pa.Array:
         parts = []
         for part in slices(column):
-            found = [np.concatenate(x) for x in zip(literals_of(seek).spans(part), literals_of(allow).spans(part, overlapping=True), strict=True)]
+            found = [np.concatenate(x) for x in zip(literals_of(seek).spans(part), literals_of(allow).spans(part, overlapping=True), told(part), strict=True)]
             order = np.argsort(found[0], kind="stable")
             row, start, end, owner = (x[order] for x in found)
             values = pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in (owner, start, end)], names=["owner", "start", "end"])
@@ -237,7 +298,7 @@ def with_places(df: DataFrame, rules: Sequence[Rule], name: str, text: str = "te
 
 def _at_places(text: Column, places: Column, owner: int) -> Column:
     """The spans of one owner as the expressions of few literals give them."""
-    own = F.filter(places, lambda p: p["owner"] == owner)
+    own = F.filter(places, lambda p: (p["owner"] == owner) & (p["start"] >= 0))
     cut = lambda raw: F.transform(own, lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), F.substring(raw, p["start"] + 1, p["end"] - p["start"]).cast("string").alias("value")))
     return F.when(F.exists(places, lambda p: p["owner"] == owner), let(text.cast("binary"), cut)).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
 
@@ -258,6 +319,15 @@ def _stamped(spans: Column, rule: Rule, rank: int) -> Column:
         F.lit(rule.action).alias("action"), F.lit(rule.confidence).alias("confidence"), F.lit(rule.origin).alias("origin")))
 
 
+def _failures(places: Column, rule: Rule, rank: int) -> Column:
+    """The failure of a Python rule as a finding without a place, whose action names the reason."""
+    reasons = F.array(*[F.lit(FAILED + x) for x in _REASONS])
+    failed = F.filter(places, lambda p: (p["owner"] == rank) & (p["start"] == -1))
+    return F.transform(failed, lambda p: F.struct(
+        F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit(rank).alias("rule_rank"), F.lit(rule.id).alias("rule_id"), F.lit("").alias("value"), F.lit(rule.category).alias("category"),
+        F.element_at(reasons, p["end"] + 1).alias("action"), F.lit(rule.confidence).alias("confidence"), F.lit(rule.origin).alias("origin")))
+
+
 FINDINGS = "array<struct<start:int,end:int,rule_rank:int,rule_id:string,value:string,category:string,action:string,confidence:double,origin:string>>"
 
 
@@ -284,7 +354,7 @@ def found(text: Column, rules: Sequence[Rule] = BUILTIN, allowlist: Sequence[str
     """
     arrays, own = [], ranked(rules, phase)
     for rank, rule in enumerate(own):
-        if places is not None and rule.literals:
+        if places is not None and (rule.literals or rule.python):
             spans = _at_places(text, places, rank)
         else:
             spans = rule.spans(cut_to(text, budget) if budget is not None and rule.primitive else text)
@@ -295,6 +365,10 @@ def found(text: Column, rules: Sequence[Rule] = BUILTIN, allowlist: Sequence[str
         if gated is not None and rule.action == "redact":
             made = F.when(gated, F.array().cast(FINDINGS)).otherwise(made)
         arrays.append(made)
+        if rule.python:
+            if places is None:
+                raise ValueError(f"rule {rule.id} is in Python, which needs the places of with_places")
+            arrays.append(_failures(places, rule, rank))
     if gated is not None:
         whole = F.struct(F.lit(0).alias("start"), F.octet_length(text).alias("end"), F.lit(len(own)).alias("rule_rank"), F.lit(SENSITIVE_ID).alias("rule_id"), text.alias("value"), F.lit("custom").alias("category"),
                          F.lit("redact").alias("action"), F.lit(1.0).alias("confidence"), F.lit("remote_pack").alias("origin"))

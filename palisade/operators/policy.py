@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.spans import let
 from ..functions.text import mask_secret
-from .detectors import SENSITIVE_ID
+from .detectors import FAILED, SENSITIVE_ID
 
 # Actions from weak to strong, and the findings that one body may have.
 ACTIONS = ("allow", "warn", "redact", "block")
@@ -25,16 +25,19 @@ def action_rank(action: Column) -> Column:
 def decision(findings: Column) -> Column:
     """(action, refusal, backing) of a body's findings in their order, without a shuffle.
 
-    More than ``MOST_FINDINGS`` findings refuse the body without partial results; a body
-    without findings is allowed. Only the findings of the strongest action stand behind it.
+    A rule that failed refuses the body with its reason, and so do more than
+    ``MOST_FINDINGS`` findings, both without partial results; a body without findings is
+    allowed. Only the findings of the strongest action stand behind it.
     """
-    over = F.size(findings) > MOST_FINDINGS
+    failed = F.get(F.filter(findings, lambda f: F.startswith(f["action"], F.lit(FAILED))), 0)["action"]
+    reason = F.when(failed.isNotNull(), F.replace(failed, F.lit(FAILED), F.lit(""))).when(F.size(findings) > MOST_FINDINGS, "budget")
+    over = reason.isNotNull()
     top = F.greatest(F.coalesce(F.array_max(F.transform(findings, lambda f: action_rank(f["action"]))), F.lit(0)), F.lit(0))
     none = F.filter(findings, lambda f: F.lit(False))
 
     def made(t: Column) -> Column:
         name = F.element_at(F.array(*[F.lit(a) for a in ACTIONS]), t + 1)
-        return F.struct(F.when(over, "block").otherwise(name).alias("action"), F.when(over, "budget").alias("refusal"), F.when(over, none).otherwise(F.filter(findings, lambda f: action_rank(f["action"]) == t)).alias("backing"))
+        return F.struct(F.when(over, "block").otherwise(name).alias("action"), reason.alias("refusal"), F.when(over, none).otherwise(F.filter(findings, lambda f: action_rank(f["action"]) == t)).alias("backing"))
 
     return let(top, made)
 

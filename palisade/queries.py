@@ -115,6 +115,31 @@ def regex_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.inline(own))
 
 
+def _guarded(text: bytes) -> list[tuple[int, int]] | None:
+    """A rule of another origin that fails in every way: its spans are the places of ``que``."""
+    if text.startswith(b"A"):
+        raise RuntimeError("not my kind of text")
+    if text.startswith(b"L"):
+        return None
+    if text.startswith(b"E"):
+        return [(0, len(text) + 1)]
+    if text.count(b"e") > 1000:
+        return [(i, i + 1) for i in range(len(text)) if text[i] == 101] * 5
+    out, at = [], text.find(b"que")
+    while at >= 0:
+        out.append((at, at + 3))
+        at = text.find(b"que", at + 3)
+    return out
+
+
+def guarded_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Python rule beside built-in ones: what it finds, and how texts are refused where it fails."""
+    rules = [d.BUILTIN[1], d.python_rule("que", _guarded, action="warn", confidence=0.5), d.keyword_rule("rude", KEYWORDS, action="warn")]
+    made = policy.decided(d.with_findings(_docs(spark, sf_dir), rules)).withColumn("own", F.size(F.filter("backing", lambda f: f["origin"] == "plugin")))
+    documents = policy.refusals(made, "doc_id").select(F.col("doc_id").alias("id"), "body")
+    return made.join(documents, F.col("doc_id") == F.col("id"), "left").select("doc_id", "action", "refusal", F.col("own").cast("long").alias("own"), "body")
+
+
 def blocklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _spans(_docs(spark, sf_dir), d.blocklist_rule(BLOCKED).spans)
 
@@ -367,7 +392,7 @@ def restored_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    findings_email, findings_luhn, findings_prefix_planted, findings_jwt_planted, findings_pem_planted, findings_entropy_planted, regex_rule, regex_rules, keyword_rule, keyword_pack, blocklist, allowlist_suppression,
+    findings_email, findings_luhn, findings_prefix_planted, findings_jwt_planted, findings_pem_planted, findings_entropy_planted, regex_rule, regex_rules, keyword_rule, keyword_pack, guarded_rules, blocklist, allowlist_suppression,
     findings_all_ordered, decision_by_doc, counters, status_document, refusal_documents, restore_log, redaction_log, audit_log, budget_cut, budget_report, findings_cube, mask_findings, vault_distinct, vault_second_run, redaction_lengths,
     redact_roundtrip, restore_shared_keys, restore_exclusions, restored_counts, json_leaves, sensitive_keys, json_request_decisions, json_request_redacted, json_roundtrip, response_streams, buffered_responses, sse_restored, route_longest_prefix, body_gate, sse_decode)}
 
@@ -505,6 +530,11 @@ def _literals() -> str:
 
 ORACLE_SQL: dict[str, str] = {
     "regex_rules": _regexes(),
+    "guarded_rules": f"""WITH {_SOURCE}, {_email()}, {_words('rude', 'src', KEYWORDS, True)}, m AS (SELECT DISTINCT id FROM email), u AS (SELECT DISTINCT id FROM rude),
+        g AS (SELECT src.id, CASE WHEN starts_with(x, 'A') THEN 'panic' WHEN starts_with(x, 'L') THEN 'error' WHEN starts_with(x, 'E') THEN 'malformed' WHEN len(x) - len(replace(x, 'e', '')) > 1000 THEN 'budget' END AS refusal,
+            (len(x) - len(replace(x, 'que', ''))) // 3 AS n, m.id IS NOT NULL AS mail, u.id IS NOT NULL AS rude FROM src LEFT JOIN m USING (id) LEFT JOIN u USING (id))
+        SELECT id AS doc_id, CASE WHEN refusal IS NOT NULL THEN 'block' WHEN mail THEN 'redact' WHEN n > 0 OR rude THEN 'warn' ELSE 'allow' END AS action, refusal,
+               CASE WHEN refusal IS NOT NULL OR mail THEN 0 ELSE n END AS own, CASE WHEN refusal IS NOT NULL THEN '{{"error":"plugin_failure","reason":"' || refusal || '"}}' END AS body FROM g""",
     "keyword_pack": _literals(),
     "restore_shared_keys": f"WITH {_builtin()}, ed AS (SELECT id, count(*) AS n FROM f GROUP BY id) SELECT nullif(src.id % 7, 0) AS shared, sha256(x) AS text_sha256, coalesce(n, 0) AS n_restored FROM src LEFT JOIN ed USING (id)",
     "findings_email": f"WITH {_SOURCE}, {_email()} {_OUT} email",
