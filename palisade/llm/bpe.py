@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textvec import slices
+from .textvec import give_back, slices
 
 CACHE_ENTRIES = 150_000
 CACHED_CHARS = 48
@@ -421,6 +421,7 @@ def _mapped(df: DataFrame, source: str, new: dict[str, T.DataType], make) -> Dat
                 made = make(part.column(carried).to_pylist())
                 columns = [part.column(x) for x in names] + [pa.array(m, kind) for m, kind in zip(made, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+        give_back()
 
     return wide.mapInArrow(run, schema)
 

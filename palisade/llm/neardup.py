@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 from .bits import bit_map, flagged, fresh
 from .graph import Forest, components, flattened
 from .staging import stage
-from .textvec import map_rows, mix, runs, shingles, slices, utf8, words
+from .textvec import give_back, map_rows, mix, runs, shingles, slices, utf8, words
 
 REGISTERS, BANDS = 128, 32
 BASE, SHIFT = 1.01, 400
@@ -190,6 +190,7 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
                     elif any(_near(lead, own, percent) for lead in leading):
                         out.append(i)
                 yield pa.RecordBatch.from_arrays([pa.array(a[out]), pa.array(ids[out])], names=["a", "b"])
+        give_back()
 
     return placed.mapInArrow(run, "a long, b long")
 

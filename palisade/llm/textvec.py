@@ -1,6 +1,6 @@
 """Whole-batch text kernels: words, shingles and their 64-bit hashes in NumPy.
 
-Everything works on the UTF-8 bytes of an Arrow column, a slice of about a
+Everything works on the UTF-8 bytes of an Arrow column, a slice of about half a
 megabyte at a time, so that the scratch arrays stay small whatever the batch size.
 Hashes are polynomial over a random byte table, finished with a 64-bit mixer: two
 different words or shingles share one with probability about 2**-64.
@@ -8,6 +8,7 @@ different words or shingles share one with probability about 2**-64.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -17,7 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-SLICE_BYTES = 1 << 20
+_libc = ctypes.CDLL(None)
+SLICE_BYTES = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _RANDOM = np.random.default_rng(20240229)
@@ -76,6 +78,13 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         start = stop
 
 
+def give_back() -> None:
+    """Hand memory that a finished task has freed back to the system: its worker stays, beside stages that need the memory."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
 def map_rows(
     df: DataFrame, keep: Sequence[str], sources: Sequence[str], new: dict[str, T.DataType],
     make: Callable[[pa.RecordBatch], Sequence], limit: int = SLICE_BYTES, rows: int = 1 << 16,
@@ -98,6 +107,7 @@ def map_rows(
                     part = run_of.slice(at, rows)
                     made = [x if isinstance(x, pa.Array) else pa.array(x, k) for x, k in zip(make(part), kinds, strict=True)]
                     yield pa.RecordBatch.from_arrays([*(part.column(f"k{i}") for i in range(len(keep))), *made], names=schema.names)
+        give_back()
 
     return wide.mapInArrow(run, schema)
 
