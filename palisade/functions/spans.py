@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 64
@@ -17,6 +17,16 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def held(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column ``name`` that is computed once a row whatever is asked of it later.
+
+    Filters on a projection's column are moved below it with the column's whole expression
+    in place of each mention, so that a search of texts would run once a mention; they do
+    not pass a row that is exploded from an array of one.
+    """
+    return df.select(*[F.col(f"`{c}`") for c in df.columns], F.explode(F.array(value)).alias(name))
+
+
 def _placed(pairs: Column) -> Column:
     """Spans of (v, g) pairs, match and gap before it: running sums within blocks, then of blocks, so that arrays grow little."""
     step = lambda acc, x: F.struct(

@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.spans import let
-from ..functions.text import mask_secret
+from ..functions.spans import held, let
+from ..functions.text import free_name, mask_secret
 from .detectors import FAILED, SENSITIVE_ID
 
 # Actions from weak to strong, and the findings that one body may have.
@@ -45,8 +45,9 @@ def decision(findings: Column) -> Column:
 def decided(bodies: DataFrame, findings: str = "findings") -> DataFrame:
     """``bodies`` with action, refusal, n_findings and rule_ids (in order; the first is the primary one) and backing instead of their findings."""
     kept = [F.col(f"`{c}`") for c in bodies.columns if c not in (findings, "action", "refusal", "backing", "n_findings", "rule_ids")]
-    made = bodies.select(*kept, decision(F.col(findings)).alias("_d"))
-    return made.select(*kept, "_d.action", "_d.refusal", F.size("_d.backing").alias("n_findings"), F.transform("_d.backing", lambda f: f["rule_id"]).alias("rule_ids"), "_d.backing")
+    name = free_name("_d", bodies.columns)
+    made = held(bodies, name, decision(F.col(f"`{findings}`")))
+    return made.select(*kept, f"{name}.action", f"{name}.refusal", F.size(f"{name}.backing").alias("n_findings"), F.transform(f"{name}.backing", lambda f: f["rule_id"]).alias("rule_ids"), f"{name}.backing")
 
 
 def counters(decided: DataFrame, applied: str = "applied", walk_skips: str | None = None) -> DataFrame:
