@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.spans import let, matches
+from ..functions.spans import held, let, matches
 from ..functions.text import free_name, hmac_sha256, sanitized_kind
 
 # The placeholder grammar and the digest lengths tried in turn.
@@ -146,5 +146,6 @@ def restore(df: DataFrame, minted: DataFrame, key: str, text: str = "redacted",
     rows, secrets = own_secrets(df.where(has).select(key, text) if key != text else df.where(has).select(key), minted, text, exclusions)
     placed = F.transform(matches(F.col(f"`{text}`"), TOKEN), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.try_element_at(secrets, m["value"]).alias("replacement")))
     edits = let(F.when(F.col(secrets).isNotNull(), F.filter(placed, lambda e: e["replacement"].isNotNull())), lambda e: F.struct(splice(F.col(f"`{text}`"), e).alias("restored"), F.coalesce(F.size(e), F.lit(0)).alias("n_restored")))
-    joined = rows.withColumn("_done", edits).select(key, "_done.restored", "_done.n_restored")
+    name = free_name("_done", rows.columns)
+    joined = held(rows, name, edits).select(key, f"{name}.restored", f"{name}.n_restored")
     return joined.union(df.where(~has).select(key, F.col(text), F.lit(0)))

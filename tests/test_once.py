@@ -22,3 +22,12 @@ def once(spark):
 
 def test_refusals_search_once(spark, once):
     assert 0 < searches(QUERIES["refusal_documents"](spark, SF)) == once
+
+
+def test_logged_findings_search_once(spark, once):
+    assert 0 < searches(QUERIES["redaction_log"](spark, SF)) == once
+
+
+def test_restored_placeholders_search_once(spark, once):
+    # one for the placeholders that a text asks for, one for their places
+    assert searches(QUERIES["restore_log"](spark, SF)) == 2
