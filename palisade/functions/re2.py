@@ -432,28 +432,106 @@ ASSERTIONS = {
 }
 
 
+def _side(node: Node, last: bool) -> bool | None:
+    """Whether the first (or last) character of all matches is a word character; None where that is not told, or where there may be none."""
+    if isinstance(node, Class):
+        own = _plain(node)
+        return None if not own else True if not _meet(own, complement(WORD)) else False if not _meet(own, WORD) else None
+    if isinstance(node, Sequence):
+        return _side(node.parts[-1 if last else 0], last) if node.parts else None
+    if isinstance(node, Choice):
+        every = {_side(p, last) for p in node.parts}
+        return every.pop() if len(every) == 1 else None
+    return _side(node.part, last) if isinstance(node, Repeat) and node.least else None
+
+
+def _plain(c: Class) -> Ranges | None:
+    """The code points of a class without properties."""
+    return None if c.properties else complement(c.ranges) if c.negated else union(c.ranges)
+
+
+def _meet(a: Ranges, b: Ranges) -> bool:
+    return any(x[0] <= y[1] and y[0] <= x[1] for x in a for y in b)
+
+
+def _boundary(kind: str, before: Node | None, after: Node | None) -> str:
+    """A word boundary, or none, of which one side is known: only the other is looked at."""
+    differs = kind == "word boundary"
+    side = None if before is None else _side(before, True)
+    if side is not None:
+        return f"(?{'=' if side != differs else '!'}{_IN})"
+    side = None if after is None else _side(after, False)
+    return ASSERTIONS[kind] if side is None else f"(?<{'=' if side != differs else '!'}{_IN})"
+
+
+def _keeps(own: Ranges, some: bool, after: tuple[Node, ...]) -> bool:
+    """Whether nothing that follows a repetition can begin with one of its characters, so that giving some back never helps; ``some`` tells whether it keeps one at least."""
+    for node in after:
+        if isinstance(node, Assertion):
+            word = not _meet(own, complement(WORD)) or not _meet(own, WORD)
+            return node.kind == "text end" or (node.kind == "line end" and not _meet(own, ((0x0A, 0x0A),))) or (node.kind == "word boundary" and some and word)
+        part = node.part if isinstance(node, Repeat) else node
+        ranges = _plain(part) if isinstance(part, Class) else None
+        if ranges is None or _meet(own, ranges):
+            return False
+        if not isinstance(node, Repeat) or node.least:
+            return True
+    return False
+
+
 def _code(i: int) -> str:
     return chr(i) if chr(i).isascii() and chr(i).isalnum() else rf"\x{{{i:X}}}"
 
 
-def emit(node: Node) -> str:
-    """A Java pattern that matches what the tree matches."""
+def emit(node: Node, after: tuple[Node, ...] = ()) -> str:
+    """A Java pattern that matches what the tree matches; ``after`` is what follows it."""
     if isinstance(node, Class):
         if len(node.ranges) == 1 and node.ranges[0][0] == node.ranges[0][1] and not node.properties and not node.negated:
             return _code(node.ranges[0][0])
         if not node.ranges and not node.properties:
             return r"[\x{0}-\x{10FFFF}]" if node.negated else r"(?!)"
-        inner = "".join(_code(a) if a == z else f"{_code(a)}-{_code(z)}" for a, z in node.ranges)
+        plain, negated = _plain(node), node.negated
+        if plain:
+            negated = plain[-1][1] == LAST
+        # Java looks characters below 256 up in a table if they are spelled one by one
+        ranges = node.ranges if plain is None else complement(plain) if negated else plain
+        single = lambda a, z: z < 256 and plain is not None
+        inner = "".join("".join(map(_code, range(a, z + 1))) if a == z or single(a, z) else f"{_code(a)}-{_code(z)}" for a, z in ranges)
         inner += "".join(rf"\{'P' if n else 'p'}{{{p if p in CATEGORIES else f'Is{p}'}}}" for n, p in node.properties)
-        return f"[{'^' * node.negated}{inner}]"
+        return f"[{'^' * negated}{inner}]" if inner else r"[\x{0}-\x{10FFFF}]" if negated else r"(?!)"
     if isinstance(node, Assertion):
         return ASSERTIONS[node.kind]
     if isinstance(node, Sequence):
-        return "".join(f"(?:{emit(p)})" if isinstance(p, Choice) else emit(p) for p in node.parts)
+        out = []
+        for i, p in enumerate(node.parts):
+            if isinstance(p, Assertion) and p.kind.endswith("word boundary"):
+                out.append(_boundary(p.kind, node.parts[i - 1] if i else None, node.parts[i + 1] if i + 1 < len(node.parts) else None))
+            else:
+                out.append(f"(?:{emit(p)})" if isinstance(p, Choice) else emit(p, (*node.parts[i + 1 :], *after)))
+        return "".join(out)
     if isinstance(node, Choice):
         return "|".join(map(emit, node.parts))
     times = {(0, None): "*", (1, None): "+", (0, 1): "?"}.get((node.least, node.most)) or (f"{{{node.least}}}" if node.most == node.least else f"{{{node.least},{'' if node.most is None else node.most}}}")
-    return f"(?:{emit(node.part)}){times}{'?' * node.lazy}"
+    own = _plain(node.part) if isinstance(node.part, Class) else None
+    part = emit(node.part)
+    mode = "?" if node.lazy else "+" if own and _keeps(own, node.least > 0, after) else ""
+    return f"{part if isinstance(node.part, Class) and part != '(?!)' else f'(?:{part})'}{times}{mode}"
+
+
+def _musts(node: Node) -> list[str]:
+    """Characters without which there is no match."""
+    if isinstance(node, Class):
+        own = _plain(node)
+        return [chr(own[0][0])] if own and len(own) == 1 and own[0][0] == own[0][1] and not 0xD800 <= own[0][0] < 0xE000 else []
+    if isinstance(node, Sequence):
+        return [x for p in node.parts for x in _musts(p)]
+    return _musts(node.part) if isinstance(node, Repeat) and node.least else []
+
+
+@cache
+def needed(pattern: str) -> str | None:
+    """A character without which a pattern has no match, a rarer one if there are several."""
+    return min(_musts(parse(pattern)), key=lambda c: c.isspace() * 3 + c.islower() * 2 + (c in ".,"), default=None)
 
 
 @cache

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 64
+MARK = "\x01"
 EMPTY = "array<struct<start:int,end:int,value:string>>"
 
 
@@ -51,13 +52,18 @@ def matches(text: Column, pattern: str, needs: str | None = None) -> Column:
     ``pattern`` must not match the empty string; it is not tried where the literal
     ``needs`` does not occur. A null text has no matches.
     """
+    none = F.array().cast(EMPTY)
+    # one search: matches are marked in the text, which is cut at the marks
+    marked = F.split(F.regexp_replace(text, pattern, f"{MARK}$0{MARK}"), MARK, -1)
+    between = lambda p: F.transform(F.sequence(F.lit(0), ((F.size(p) - 3) / 2).cast("int")), lambda i: F.struct(F.get(p, 2 * i + 1).alias("v"), F.octet_length(F.get(p, 2 * i)).alias("g")))
+    once = let(marked, lambda p: F.when(F.size(p) > 1, let(between(p), _placed)).otherwise(none))
+    # two searches where a text has the mark itself
     found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(0))
-    if needs:
-        found = F.when(F.contains(text, F.lit(needs)), found)
     gaps = F.split(text, pattern, -1)
     pairs = lambda v: F.zip_with(v, F.slice(gaps, 1, F.size(v)), lambda v, g: F.struct(v.alias("v"), F.octet_length(g).alias("g")))
-    none = F.array().cast(EMPTY)
-    return let(found, lambda v: F.when(F.size(v) > 0, let(pairs(v), _placed)).otherwise(none))
+    twice = let(found, lambda v: F.when(F.size(v) > 0, let(pairs(v), _placed)).otherwise(none))
+    made = F.when(F.contains(text, F.lit(MARK)), twice).otherwise(once)
+    return F.when(F.contains(text, F.lit(needs)), made).otherwise(none) if needs else made
 
 
 def literal_matches(text: Column, literal: str, fold: bool = False) -> Column:
