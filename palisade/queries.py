@@ -293,7 +293,8 @@ def json_request_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = _request(spark, sf_dir)
+    # walked and evaluated once, in tasks of their own: rewriting in the same task would take a second worker beside each
+    made = stage(_request(spark, sf_dir).select("conv_turn", "body", "action", "backing"), "decided")
     minted = stage(tokens.vault(requests.secrets_of(made), SALT), "vault")
     done = stage(requests.redacted(made, SALT, "conv_turn"), "redacted")
     back = requests.restored(done.select("conv_turn", F.col("redacted").alias("body")), minted, "conv_turn")
